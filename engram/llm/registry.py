@@ -6,9 +6,11 @@ from engram.llm import bpe as d6
 from engram.llm import decontaminate as d7
 from engram.llm import langid as d5
 from engram.llm import sharding as d1
+from engram.llm import token_files as d4
 
 QUERIES = {
     "op1_sharding": d1.op1_sharding,
+    "op4_token_files": d4.op4_token_files,
     "op5_langid": d5.op5_langid,
     "op6_bpe": d6.op6_bpe,
     "op7_decontamination": d7.op7_decontamination,

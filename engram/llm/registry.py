@@ -6,13 +6,17 @@ from engram.llm import bpe as d6
 from engram.llm import decontaminate as d7
 from engram.llm import langid as d5
 from engram.llm import sharding as d1
+from engram.llm import substring_dedup as d3
+from engram.llm import suffix_dedup as d10
 from engram.llm import token_files as d4
 
 QUERIES = {
     "op1_sharding": d1.op1_sharding,
+    "op3_substring_dedup": d3.op3_substring_dedup,
     "op4_token_files": d4.op4_token_files,
     "op5_langid": d5.op5_langid,
     "op6_bpe": d6.op6_bpe,
     "op7_decontamination": d7.op7_decontamination,
+    "op10_suffix_dedup": d10.op10_suffix_dedup,
 }
-SQL = {"op7_decontamination": d7.OP7_SQL}
+SQL = {"op3_substring_dedup": d3.OP3_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}

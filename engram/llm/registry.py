@@ -5,6 +5,7 @@ from __future__ import annotations
 from engram.llm import bpe as d6
 from engram.llm import decontaminate as d7
 from engram.llm import langid as d5
+from engram.llm import near_dups as d8
 from engram.llm import sharding as d1
 from engram.llm import substring_dedup as d3
 from engram.llm import suffix_dedup as d10
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_langid": d5.op5_langid,
     "op6_bpe": d6.op6_bpe,
     "op7_decontamination": d7.op7_decontamination,
+    "op8_near_dups": d8.op8_near_dups,
     "op10_suffix_dedup": d10.op10_suffix_dedup,
 }
-SQL = {"op3_substring_dedup": d3.OP3_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}
+SQL = {"op3_substring_dedup": d3.OP3_SQL, "op8_near_dups": d8.OP8_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from engram.llm import bpe as d6
 from engram.llm import decontaminate as d7
 from engram.llm import langid as d5
+from engram.llm import lm_score as d2
 from engram.llm import near_dups as d8
 from engram.llm import sharding as d1
 from engram.llm import substring_dedup as d3
@@ -13,6 +14,7 @@ from engram.llm import token_files as d4
 
 QUERIES = {
     "op1_sharding": d1.op1_sharding,
+    "op2_lm_score": d2.op2_lm_score,
     "op3_substring_dedup": d3.op3_substring_dedup,
     "op4_token_files": d4.op4_token_files,
     "op5_langid": d5.op5_langid,
@@ -21,4 +23,4 @@ QUERIES = {
     "op8_near_dups": d8.op8_near_dups,
     "op10_suffix_dedup": d10.op10_suffix_dedup,
 }
-SQL = {"op3_substring_dedup": d3.OP3_SQL, "op8_near_dups": d8.OP8_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}
+SQL = {"op2_lm_score": d2.OP2_SQL, "op3_substring_dedup": d3.OP3_SQL, "op8_near_dups": d8.OP8_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}

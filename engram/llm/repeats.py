@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, gram_hashes, group_count, part_of, row_chunks, slice_hashes, text_bytes, words
 
 PART_BYTES = 8 << 20
-#: Text bytes whose windows meet in one bucket (about a quarter of it, after ranking).
-BUCKET_BYTES = 16 << 20
+#: Text bytes whose windows meet in one bucket, as packed strings if they survive the ranking.
+BUCKET_BYTES = 4 << 20
 #: Occurrences from which a minimiser's windows travel one by one.
 HOT = 400
 
@@ -269,15 +269,18 @@ def _repeats(units: Units, head: np.ndarray, part: np.ndarray, text: np.ndarray)
     order = np.lexsort((head["first"], head["number"], head["id"]))
     if units.words:
         starts, ends, bounds = words(text, offsets, NOT_SPACE)
-        codes, at, stop = slice_hashes_by(text, offsets, starts, ends), starts, ends
+        at, stop = starts, ends
     else:
-        codes, bounds, at, stop = BYTE_CODES[text], offsets, None, None
-    name = gram_hashes(codes, units.width)
+        bounds, at, stop = offsets, None, None
     n = head["n"][order].astype(np.int64)
     seg = np.repeat(order, n)
     within = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     place = bounds[seg] + within  # the first unit of each window, in document order
-    _, inverse = np.unique(name[place], return_inverse=True)
+    name = np.empty(len(seg), U64)
+    for i, j, codes, base in _codes(units, text, offsets, bounds, at, stop):
+        mine = np.flatnonzero((seg >= i) & (seg < j))
+        name[mine] = gram_hashes(codes, units.width)[place[mine] - base]
+    _, inverse = np.unique(name, return_inverse=True)
     first = np.empty(int(inverse.max()) + 1, np.int64)
     first[inverse[::-1]] = np.arange(len(seg))[::-1]
     lead = first[inverse]
@@ -319,13 +322,11 @@ def _repeats_by_text(units, head, part, place, seg, within, raw, at, stop) -> tu
     return part[seg[later]], out
 
 
-def slice_hashes_by(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """slice_hashes over a long byte array, some rows at a time."""
-    out = np.empty(len(starts), U64)
-    for row, end, piece, _ in row_chunks(data, offsets):
-        i, j = np.searchsorted(starts, (offsets[row], offsets[end]))
-        out[i:j] = slice_hashes(piece, starts[i:j] - offsets[row], ends[i:j] - offsets[row])
-    return out
+def _codes(units: Units, text: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None):
+    """(first string, end string, unit codes, first unit) of some packed strings at a time."""
+    for i, j, piece, _ in row_chunks(text, offsets):
+        a, b = int(bounds[i]), int(bounds[j])
+        yield i, j, slice_hashes(piece, starts[a:b] - offsets[i], ends[a:b] - offsets[i]) if units.words else BYTE_CODES[piece], a
 
 
 def union(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:

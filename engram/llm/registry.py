@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from engram.llm import ann as d9
 from engram.llm import bpe as d6
 from engram.llm import decontaminate as d7
 from engram.llm import langid as d5
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": d6.op6_bpe,
     "op7_decontamination": d7.op7_decontamination,
     "op8_near_dups": d8.op8_near_dups,
+    "op9_ann": d9.op9_ann,
     "op10_suffix_dedup": d10.op10_suffix_dedup,
 }
 SQL = {"op2_lm_score": d2.OP2_SQL, "op3_substring_dedup": d3.OP3_SQL, "op8_near_dups": d8.OP8_SQL, "op10_suffix_dedup": d10.OP10_SQL, "op7_decontamination": d7.OP7_SQL}

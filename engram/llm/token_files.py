@@ -1,7 +1,7 @@
 """Token ids in ORC files: integer run-length encoding, row indexes and Bloom filters on document ids.
 
 Texts are dealt by ranges of doc_id, sorted, encoded by the public tokenizers library (each distinct
-space-delimited piece once in a while) and written as ORC: file k holds the k-th range, so files,
+pre-token of its pattern once in a while) and written as ORC: file k holds the k-th range, so files,
 stripes and row groups have narrow id ranges and readers skip what a filter excludes from the
 metadata alone. Stripes are read in parallel; nothing depends on a whole file being in one task.
 
@@ -21,39 +21,69 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.llm.common import group_count, table, text_bytes, with_checkpoints
-from engram.llm.pretokens import PieceCache
+from engram.llm.pretokens import Generations, PieceCache
 
 #: UTF-8 bytes of text in one file.
 FILE_BYTES = 24 << 20
 ROWS = 512
+#: Pre-tokens in one text for the library.
+JOINED = 1000
 #: ORC: a row group's rows, small stripes of many documents, Bloom filters on the ids of documents.
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 
-@lru_cache(maxsize=2)
-def worker_cache(path: str) -> PieceCache:
-    """Little-endian 32-bit ids of pieces, as bytes."""
-    from tokenizers import Tokenizer
+class PieceEncoder:
+    """Little-endian 32-bit ids of strings, as bytes; the library sees each distinct pre-token once in a while."""
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.pattern = regex.compile(pattern)
+        self.line = self._encode(["\n"])[0]
+        self.known = Generations(self.pretokens, limit=300_000)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def _encode(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def encode(strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def pretokens(self, found: list[str]) -> list[bytes]:
+        """Pre-tokens without white space inside go through the library as lines of one text; a line end is a pre-token of its own."""
+        out: dict[str, bytes] = {}
+        lines = [t for t in found if t.lstrip(" ").isprintable() and not t.isspace()]
+        for k in range(0, len(lines), JOINED):
+            part = lines[k : k + JOINED]
+            ids = np.array(self._encode(["\n".join(part)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(self.line) == 1 and len(ends) == len(part):
+                raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+                out.update((t, raw[4 * i : 4 * j]) for t, i, j in zip(part, starts.tolist(), ends.tolist()))
+        rest = [t for t in found if t not in out]
+        out.update((t, np.array(ids, "<u4").tobytes()) for t, ids in zip(rest, self._encode(rest)))
+        return [out[t] for t in found]
 
-    return PieceCache(encode)
+    def strings(self, strings: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(s) for s in strings]
+        ids = self.known.lookup({t for tokens in found for t in tokens})
+        return [ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens]) for tokens in found]
+
+
+@lru_cache(maxsize=2)
+def worker_cache(path: str, pattern: str) -> PieceCache:
+    return PieceCache(PieceEncoder(path, pattern).strings, limit=300_000)
 
 
-def _encoder(path: str, end_id: int) -> Callable:
+def _encoder(path: str, pattern: str, end_id: int) -> Callable:
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, file = worker_cache(path), TaskContext.get().partitionId()
+        cache, file = worker_cache(path, pattern), TaskContext.get().partitionId()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
@@ -66,13 +96,13 @@ def _encoder(path: str, end_id: int) -> Callable:
     return run
 
 
-def write_token_ids(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Write docs' ids to the folder `out`, in ascending order of id_col; returns the folder."""
+def write_token_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write docs' ids to the folder `out`, in ascending order of id_col; returns the folder. pattern: the tokenizer's own."""
     files = group_count(text_bytes(docs, text_col), FILE_BYTES)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     dealt = narrow.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("_text").asc_nulls_first())
     schema = narrow.select("doc_id", F.lit(0).alias("file"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids")).schema
-    dealt.mapInArrow(_encoder(tokenizer_path, end_id), schema).write.mode("overwrite").options(**ORC).orc(out)
+    dealt.mapInArrow(_encoder(tokenizer_path, pattern, end_id), schema).write.mode("overwrite").options(**ORC).orc(out)
     return out
 
 
@@ -107,4 +137,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_index(read_token_ids(spark, write_token_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"), 2)))
+    return token_index(read_token_ids(spark, write_token_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)))

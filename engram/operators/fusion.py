@@ -120,3 +120,9 @@ def materialise(items: DataFrame, capacity: int, score: float = 0.1, novelty: fl
     order = Window.partitionBy("store", F.col("outcome").isNull()).orderBy(F.round("score", 9).desc(), "id")
     place = F.row_number().over(order)
     return first.withColumn("outcome", F.coalesce("outcome", F.when(place <= capacity, "stored").otherwise("evicted")))
+
+
+def fail_open(pool: DataFrame, passes: Column) -> DataFrame:
+    """Rows that pass, or a query's whole pool if none does; `fallback` says which."""
+    kept = F.count_if(passes).over(Window.partitionBy("query_id"))
+    return pool.withColumn("_kept", kept).where((F.col("_kept") == 0) | passes).withColumn("fallback", F.col("_kept") == 0).drop("_kept")

@@ -1,4 +1,4 @@
 """All registered queries of the reference's own operators."""
 
-from engram.plans import telemetry  # noqa: F401
+from engram.plans import retrieval, telemetry  # noqa: F401
 from engram.plans.registry import QUERIES, SQL  # noqa: F401

@@ -180,7 +180,11 @@ def key_lines(text: Column, most: int = 50) -> Column:
 def entities(text: Column) -> Column:
     """(name, kind) of CamelCase classes, snake calls and .py files; a name keeps its first kind."""
     kinds = (("class", CAMEL_CASE), ("function", SNAKE_CALL), ("file", PY_FILE))
-    found = F.flatten(F.array(*[F.transform(F.array_distinct(matches(text, p, 1)), lambda n, k=k: F.struct(n.alias("name"), F.lit(k).alias("kind"))) for k, p in kinds]))
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.array_distinct(matches(text, pattern, 1)), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+
+    found = F.flatten(F.array(*[named(k, p) for k, p in kinds]))
     names = F.transform(found, lambda x: x["name"])
     return F.filter(found, lambda x, i: F.array_position(names, x["name"]) == i + 1)
 

@@ -129,7 +129,7 @@ def think_time(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("recorded_at", "event_id")
     start = F.unix_micros("recorded_at") / 1000.0
     end = F.lag(start + F.col("duration_ms")).over(w)
-    return rows.withColumn("think_ms", F.round(F.greatest(start - end, F.lit(0.0)), 1))
+    return rows.withColumn("think_ms", F.when(end.isNotNull(), F.round(F.greatest(start - end, F.lit(0.0)), 1)))
 
 
 def size_budget(rows: DataFrame, group: list[str], size: str, score: str, key: str, budget: int) -> DataFrame:

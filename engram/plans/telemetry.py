@@ -189,7 +189,7 @@ def jn13(spark, sf):
     return r(t.blend_priors(observed(spark, sf, 12), priors), quality_rate=6)
 
 
-@query("wn1_think_time", BASE + """SELECT event_id, round(greatest(epoch_us(recorded_at) / 1000.0 - lag(epoch_us(recorded_at) / 1000.0 + duration_ms) OVER (PARTITION BY session_id ORDER BY recorded_at, event_id), 0.0), 1) AS think_ms FROM tele""")
+@query("wn1_think_time", BASE + """SELECT event_id, CASE WHEN e IS NOT NULL THEN round(greatest(epoch_us(recorded_at) / 1000.0 - e, 0.0), 1) END AS think_ms FROM (SELECT *, lag(epoch_us(recorded_at) / 1000.0 + duration_ms) OVER (PARTITION BY session_id ORDER BY recorded_at, event_id) AS e FROM tele)""")
 def wn1(spark, sf):
     rows = telemetry(spark, sf).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
     return t.think_time(rows).select("event_id", "think_ms")

@@ -172,3 +172,29 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each item, from the rows' first items (and the total)."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def deal(docs: DataFrame, parts: int, id_col: str) -> DataFrame:
+    """docs as (part, rows): each Arrow batch's rows of a part travel as one compressed block to the part of their id."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            part = np.asarray(batch["_part"])
+            order = np.argsort(part, kind="stable")
+            rows = batch.drop_columns(["_part"]).take(pa.array(order))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]]).tolist() if len(order) else [0]
+            blocks = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(rows.slice(a, b - a))
+                blocks.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][edges[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "rows"])
+
+    return docs.withColumn("_part", part_of(parts, id_col)).mapInArrow(pack, "part int, rows binary").repartition(parts, "part")
+
+
+def undeal(blocks: pa.Table) -> pa.Table:
+    """The rows of a part."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks["rows"].to_pylist()]).combine_chunks()

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM, LOWER, U64, buffers, gram_hashes, group_count, mix, part_of, row_chunks, rows_of, slice_hashes, table, text_bytes, words
+from engram.llm.common import ALNUM, LOWER, U64, buffers, deal, gram_hashes, group_count, mix, row_chunks, rows_of, slice_hashes, table, text_bytes, undeal, words
 
 ORDER = 3
 ALPHA = 0.4
@@ -88,7 +88,7 @@ def _ask(buckets: int, text_col: str) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         part = rows["part"][0].as_py()
         out = []
-        for n, (h, count, _, _) in enumerate(distinct_grams(*word_codes(rows, text_col)), 1):
+        for n, (h, count, _, _) in enumerate(distinct_grams(*word_codes(undeal(rows), text_col)), 1):
             at = cuts(h, buckets).tolist()
             out += [(b, part, n, pack(h[i:j]), pack_counts(count[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
         cols = list(zip(*out)) or [()] * 5
@@ -117,7 +117,8 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def _score(total_words: int, id_col: str, text_col: str) -> Callable:
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = undeal(blocks)
         codes, bounds = word_codes(rows, text_col)
         doc = rows_of(bounds)
         size = len(codes)
@@ -142,7 +143,7 @@ def _score(total_words: int, id_col: str, text_col: str) -> Callable:
         count = lambda x: np.bincount(doc, weights=x, minlength=len(bounds) - 1)
         n_words = np.diff(bounds)
         score = count(np.log(p)) / np.maximum(n_words, 1)
-        kept = {n: rows[n] for n in rows.column_names if n not in ("part", text_col, "n_words", "n_trigram", "n_bigram", "score")}
+        kept = {n: rows[n] for n in rows.column_names if n not in (text_col, "n_words", "n_trigram", "n_bigram", "score")}
         return pa.table(kept | {"n_words": pa.array(n_words), "n_trigram": pa.array(count(tri).astype(np.int64)), "n_bigram": pa.array(count(bi).astype(np.int64)), "score": pa.array(score, mask=n_words == 0)})
 
     return run
@@ -163,11 +164,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without the text, with n_words, n_trigram and n_bigram (words scored at that order) and score (mean log score of a word)."""
     total = text_bytes(docs, text_col)
     parts, buckets = group_count(total, PART_BYTES), group_count(total, BUCKET_BYTES)
-    dealt = docs.drop("part").withColumn("part", part_of(parts, id_col)).repartition(parts, "part")
-    by_part = dealt.groupBy("part")
+    by_part = deal(docs, parts, id_col).groupBy("part")
     asked = by_part.applyInArrow(_ask(buckets, text_col), "bucket int, part int, n int, grams binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "part int, bucket int, n int, totals binary")
-    rest = [c for c in docs.columns if c not in ("part", text_col, "n_words", "n_trigram", "n_bigram", "score")]
+    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_trigram", "n_bigram", "score")]
     schema = docs.select(*rest, *[F.lit(0).cast("long").alias(c) for c in ("n_words", "n_trigram", "n_bigram")], F.lit(None).cast("double").alias("score")).schema
     return by_part.cogroup(answers.groupBy("part")).applyInArrow(_score(count_words(docs, text_col), id_col, text_col), schema)
 

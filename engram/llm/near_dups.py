@@ -35,7 +35,7 @@ HASHES = 128
 TREES = 64
 DEEPEST = 16
 BLOCK = 256
-RECALL = 0.9999
+RECALL = 0.99999
 BUCKET_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(8)

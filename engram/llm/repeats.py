@@ -153,7 +153,7 @@ class Part:
 
 def _rank_part(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
-        part = rows["part"][0].as_py()
+        part = rows["_part"][0].as_py()
         found = [h for *_, h in Part(rows, id_col, text_col).segments(units, False)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
         to = bucket(h, buckets)
@@ -162,34 +162,34 @@ def _rank_part(units: Units, buckets: int, id_col: str, text_col: str) -> Callab
         cuts = np.flatnonzero(np.diff(to)) + 1
         names = to[np.concatenate([[0], cuts]).astype(int)] if len(to) else to
         hs, ns = (np.split(x, cuts) if len(to) else [] for x in (h, n))
-        return pa.table({"bucket": pa.array(names, pa.int32()), "part": pa.array([part] * len(hs), pa.int32()), "hashes": pa.array([x.tobytes() for x in hs], pa.binary()), "counts": pa.array([x.tobytes() for x in ns], pa.binary())})
+        return pa.table({"bucket": pa.array(names, pa.int32()), "_part": pa.array([part] * len(hs), pa.int32()), "hashes": pa.array([x.tobytes() for x in hs], pa.binary()), "counts": pa.array([x.tobytes() for x in ns], pa.binary())})
 
     return run
 
 
 def _rank_bucket(hot: int) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
-        parts = rows["part"].to_pylist()
+        parts = rows["_part"].to_pylist()
         hs = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
         _, name = np.unique(np.concatenate(hs), return_inverse=True)
         total = np.bincount(name, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"].to_pylist()]))[name]
-        out: dict[str, list] = {"part": [], "hashes": [], "hot": []}
+        out: dict[str, list] = {"_part": [], "hashes": [], "hot": []}
         at = 0
         for part, h in zip(parts, hs):
             n = total[at : at + len(h)]
             at += len(h)
             if (keep := n >= 2).any():
-                out["part"].append(part)
+                out["_part"].append(part)
                 out["hashes"].append(h[keep].tobytes())
                 out["hot"].append((n[keep] >= hot).tobytes())
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
+        return pa.table({"_part": pa.array(out["_part"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
 
     return run
 
 
 #: What a packed string carries besides its text: document id, number, first unit, windows, length.
 _HEAD = np.dtype([("id", "<i8"), ("number", "<i4"), ("first", "<i4"), ("n", "<i4"), ("size", "<i4")])
-_TRAVEL = "bucket int, part int, head binary, text binary"
+_TRAVEL = "bucket int, _part int, head binary, text binary"
 
 
 def _travel(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
@@ -227,13 +227,13 @@ def _travel(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
                     heads, texts = out.setdefault(b, ([], []))
                     heads.append((*head, len(text)))
                     texts.append(text)
-        name = rows["part"][0].as_py() if rows.num_rows else ranks["part"][0].as_py()
+        name = rows["_part"][0].as_py() if rows.num_rows else ranks["_part"][0].as_py()
         pack = zstandard.ZstdCompressor(level=1).compress
         made = [(b, name, np.array(heads, _HEAD).tobytes(), pack(b"".join(texts))) for b, (heads, texts) in out.items()]
         if known:
             made.append((name % buckets, name, np.array([(*x, 0) for x in known], _HEAD).tobytes(), None))
         cols = list(zip(*made)) or [(), (), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "part", "head", "text"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "_part", "head", "text"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
     return run
 
@@ -243,7 +243,7 @@ def _judge(units: Units) -> Callable:
         unpack = zstandard.ZstdDecompressor().decompress
         runs: list[tuple[np.ndarray, np.ndarray]] = []
         heads, texts, parts = [], [], []
-        for part, head, text in zip(rows["part"].to_pylist(), rows["head"].to_pylist(), rows["text"].to_pylist()):
+        for part, head, text in zip(rows["_part"].to_pylist(), rows["head"].to_pylist(), rows["text"].to_pylist()):
             head = np.frombuffer(head, _HEAD)
             if text is None:
                 runs.append((np.full(len(head), part, np.int32), head))
@@ -258,7 +258,7 @@ def _judge(units: Units) -> Callable:
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         groups = np.split(order, cuts) if len(order) else []
-        return pa.table({"part": pa.array([int(part[g[0]]) for g in groups], pa.int32()), "head": pa.array([head[g].tobytes() for g in groups], pa.binary())})
+        return pa.table({"_part": pa.array([int(part[g[0]]) for g in groups], pa.int32()), "head": pa.array([head[g].tobytes() for g in groups], pa.binary())})
 
     return run
 
@@ -360,7 +360,7 @@ def _finish(units: Units, id_col: str, text_col: str, finish: Finish, names: lis
         raw = part.data.tobytes()
         made = [finish(raw[a:b], spans.get(r, [])) for r, (a, b) in enumerate(zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()))]
         cols = list(zip(*made)) or [()] * len(names)
-        kept = {n: rows[n] for n in rows.column_names if n not in ("part", text_col, *names)}
+        kept = {n: rows[n] for n in rows.column_names if n not in ("_part", text_col, *names)}
         return pa.table(kept | {n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
 
     return run
@@ -371,12 +371,12 @@ def remove_repeats(docs: DataFrame, units: Units, finish: Finish, columns: list[
     total = text_bytes(docs, text_col)
     parts, buckets = group_count(total, PART_BYTES), group_count(total, BUCKET_BYTES)
     names, kinds = [c[0] for c in columns], [c[2] for c in columns]
-    dealt = docs.drop("part").withColumn("part", part_of(parts, id_col)).repartition(parts, "part")
-    by_part = dealt.groupBy("part")
-    ranked = by_part.applyInArrow(_rank_part(units, buckets, id_col, text_col), "bucket int, part int, hashes binary, counts binary")
-    survivors = ranked.groupBy("bucket").applyInArrow(_rank_bucket(hot), "part int, hashes binary, hot binary")
-    packed = by_part.cogroup(survivors.groupBy("part")).applyInArrow(_travel(units, buckets, id_col, text_col), _TRAVEL)
-    runs = packed.groupBy("bucket").applyInArrow(_judge(units), "part int, head binary")
-    rest = [c for c in docs.columns if c not in ("part", text_col, *names)]
+    dealt = docs.drop("_part").withColumn("_part", part_of(parts, id_col)).repartition(parts, "_part")
+    by_part = dealt.groupBy("_part")
+    ranked = by_part.applyInArrow(_rank_part(units, buckets, id_col, text_col), "bucket int, _part int, hashes binary, counts binary")
+    survivors = ranked.groupBy("bucket").applyInArrow(_rank_bucket(hot), "_part int, hashes binary, hot binary")
+    packed = by_part.cogroup(survivors.groupBy("_part")).applyInArrow(_travel(units, buckets, id_col, text_col), _TRAVEL)
+    runs = packed.groupBy("bucket").applyInArrow(_judge(units), "_part int, head binary")
+    rest = [c for c in docs.columns if c not in ("_part", text_col, *names)]
     schema = docs.select(*rest, *[F.lit(None).cast(kind).alias(n) for n, kind, _ in columns]).schema
-    return by_part.cogroup(runs.groupBy("part")).applyInArrow(_finish(units, id_col, text_col, finish, names, kinds), schema)
+    return by_part.cogroup(runs.groupBy("_part")).applyInArrow(_finish(units, id_col, text_col, finish, names, kinds), schema)

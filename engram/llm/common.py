@@ -20,6 +20,11 @@ U64 = np.uint64
 CHUNK = 1 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bound the rows that a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM, LOWER, buffers, row_chunks, slice_hashes, table, words
+from engram.llm.common import ALNUM, LOWER, buffers, row_chunks, slice_hashes, small_batches, table, words
 
 WINDOW = 13
 #: Bytes of item text in one automaton.
@@ -179,17 +179,19 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield sorted((r["i"], bytes(r["t"])) for r in block.collect())
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs' id and text columns with `n_words`, `hit_spans` (word positions, end exclusive) and `hit_items`."""
+def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with `n_words`, `hit_spans` (word positions, end exclusive) and `hit_items`."""
     spark = docs.sparkSession
-    out = docs.select(id_col, text_col, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
+    small_batches(spark)
+    rest = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
+    out = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     kept = list(out.schema)
     for block in _blocks(items, item_id, item_text):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), id_col, text_col), schema=type(out.schema)(kept))
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), rest, text_col), schema=type(out.schema)(kept))
     return out
 
 
-def _scanner(block, id_col: str, text_col: str) -> Callable:
+def _scanner(block, rest: list[str], text_col: str) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ItemAutomaton(block.value)
         for batch in batches:
@@ -201,7 +203,7 @@ def _scanner(block, id_col: str, text_col: str) -> Callable:
                 spans.append([{"first": a, "last": b} for a, b in merged])
                 names.append(sorted(items.union(old_names[row])))
             kind = batch.schema
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch[text_col], pa.array(n_words, pa.int64()), pa.array(spans, kind.field("hit_spans").type), pa.array(names, kind.field("hit_items").type)], schema=kind)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(n_words, pa.int64()), pa.array(spans, kind.field("hit_spans").type), pa.array(names, kind.field("hit_items").type)], schema=kind)
 
     return scan
 
@@ -215,8 +217,9 @@ def judge(found: DataFrame, least_share: int = 20) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that the coverage limit calls contaminated; all other rows stay as they are."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    return judge(find_items(packed, items, "_row", "_text")).where("not contaminated").select("_row.*")
+    spare = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "hit_spans", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated")}
+    found = judge(find_items(docs.withColumnsRenamed(spare), items, text_col)).where("not contaminated")
+    return found.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

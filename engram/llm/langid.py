@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, mix, powers, row_chunks, rows_of, slice_hashes, table, words
+from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, mix, powers, row_chunks, rows_of, slice_hashes, small_batches, table, words
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A longer word counts as several words of this many bytes (a sum of products of so many bytes stays a float64).
 LONGEST = 32
 #: Most languages that a model holds.
@@ -120,6 +120,7 @@ def labels_of(train: DataFrame, lang_col: str) -> list[str]:
 
 def fit(train: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, probability of each piece in each language), from all rows of train with a text and a language."""
+    small_batches(train.sparkSession)
     langs = labels_of(train, lang_col)
     n = len(vocabulary(path))
     counts = np.ones((n, max(1, len(langs))))
@@ -158,16 +159,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, tex
     """docs with lang_pred and score (the posterior of that language); only the text is looked at."""
     langs, probs = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, probs))
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    named = docs.select(F.struct(*rest).alias("_row"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    schema = named.select("_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    named = docs.select(*rest, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    schema = docs.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, probs = shared.value
         pieces = Pieces(vocabulary(path))
         for batch in batches:
             total = np.zeros((batch.num_rows, probs.shape[1]))
-            for first, end, data, offsets in row_chunks(*buffers(batch["_text"]), CHUNK_BYTES):
+            for first, end, data, offsets in row_chunks(*buffers(batch[text_col]), CHUNK_BYTES):
                 groups, word, bounds = distinct_words(data, offsets)
                 if groups:
                     scores = word_scores(groups, int(word.max()) + 1, pieces, probs)
@@ -180,9 +182,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, tex
             known = np.asarray(batch["_letter"]) & bool(langs)
             names = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
             score = np.where(known, posterior[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(names), pa.array(score)], names=["_row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(names, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
 
-    return named.mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
+    return named.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

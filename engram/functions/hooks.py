@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.functions import text as tx
 from engram.sources import notes
@@ -19,7 +20,7 @@ Embed = Callable[[list[str]], list[list[float]]]
 def embedder(embed: Embed) -> Callable[[Column], Column]:
     """UD1: a Column function from a batch embedding function; it is called once a batch."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(embed(b.fillna("").tolist()), index=b.index)
@@ -58,7 +59,7 @@ def rerank_with(pool: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Seri
     """UD4: score(query texts, candidate texts) for pool (query_id, id, rank, query, content); unscored rows follow in their order."""
     from engram.operators.fusion import rerank
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(q: pd.Series, c: pd.Series) -> pd.Series:
         return score(q, c)
 

@@ -9,13 +9,14 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.operators.filters import is_secret_path
 
 MOST_BYTES = 1 << 20
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip_base64(payload: pd.Series) -> pd.Series:
     """The text of a base64 gzip payload; null if it is malformed, not UTF-8, or larger than MOST_BYTES."""
 
@@ -32,7 +33,7 @@ def gunzip_base64(payload: pd.Series) -> pd.Series:
     return payload.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_name(name: pd.Series) -> pd.Series:
     """NFKD without combining marks, lower case, without blanks, dashes and underscores."""
 

@@ -95,7 +95,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     """(rows, one row with the number of malformed lines)."""
     lines = spark.read.text(path).where(F.btrim("value") != "")
     parsed = lines.select(F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return parsed.where("r._corrupt IS NULL").select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.agg(F.count_if("r._corrupt IS NOT NULL").alias("skipped"))
+    return parsed.where("r._corrupt IS NULL").select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.agg(F.count_if(F.col("r._corrupt").isNotNull()).alias("skipped"))
 
 
 def in_days(ts: Column, first: str, last: str) -> Column:
@@ -128,7 +128,7 @@ def mapping_export(rows: DataFrame) -> DataFrame:
 def turn_pair_export(rows: DataFrame) -> DataFrame:
     """[{human, model}] or {conversations: [...]}: each turn gives a user and then an assistant message."""
     kind = "array<struct<human:string,model:string>>"
-    turns = F.coalesce(F.from_json("json", kind), F.from_json("json", f"struct<conversations:{kind}>")["conversations"])
+    turns = F.coalesce(F.from_json("json", f"struct<conversations:{kind}>")["conversations"], F.from_json("json", kind))
     items = F.flatten(F.transform(turns, lambda t: F.array(_item(F.lit("user"), t["human"]), _item(F.lit("assistant"), t["model"]))))
     return _messages(rows, items)
 

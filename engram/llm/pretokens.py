@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from operator import itemgetter
 from typing import Any
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -58,4 +59,11 @@ class PieceCache:
         cut = [pieces(t) if t else [] for t in texts]
         values = self.known.lookup(set().union(*(p[1:] for p in cut)))
         heads = iter(self.encode([p[0] for p in cut if p]))
-        return [[next(heads), *map(values.__getitem__, p[1:])] if p else [] for p in cut]
+        return [[next(heads), *_pick(values, p)] if p else [] for p in cut]
+
+
+def _pick(values: dict[str, Any], pieces: list[str]) -> tuple:
+    """The values of all pieces but the first."""
+    if len(pieces) > 2:
+        return itemgetter(*pieces[1:])(values)
+    return tuple(values[p] for p in pieces[1:])

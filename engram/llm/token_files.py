@@ -1,7 +1,7 @@
 """Token ids in ORC files: integer run-length encoding, row indexes and Bloom filters on document ids.
 
 Texts are dealt by ranges of doc_id, sorted, encoded by the public tokenizers library (each distinct
-pre-token of its pattern once in a while) and written as ORC: file k holds the k-th range, so files,
+pre-token once in a while) and written as ORC: file k holds the k-th range, so files,
 stripes and row groups have narrow id ranges and readers skip what a filter excludes from the
 metadata alone. Stripes are read in parallel; nothing depends on a whole file being in one task.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,44 +33,45 @@ from engram.llm.pretokens import Generations, PieceCache
 #: UTF-8 bytes of text in one file.
 FILE_BYTES = 24 << 20
 ROWS = 512
-#: Pre-tokens in one text for the library.
-JOINED = 1000
 #: ORC: a row group's rows, small stripes of many documents, Bloom filters on the ids of documents.
-ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "lz4"}
+
+
+#: Runs of these end a word and are a pre-token of their own.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The published byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for the characters from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
 class PieceEncoder:
-    """Little-endian 32-bit ids of strings, as bytes; the library sees each distinct pre-token once in a while."""
+    """Little-endian 32-bit ids of strings, as bytes: the library's model encodes each distinct pre-token once in a while."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
         self.pattern = regex.compile(pattern)
-        self.line = self._encode(["\n"])[0]
-        self.known = Generations(self.pretokens, limit=300_000)
-
-    def _encode(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        self.alphabet = byte_alphabet()
+        self.known = Generations(self.pretokens, limit=250_000)
 
     def pretokens(self, found: list[str]) -> list[bytes]:
-        """Pre-tokens without white space inside go through the library as lines of one text; a line end is a pre-token of its own."""
-        out: dict[str, bytes] = {}
-        lines = [t for t in found if t.lstrip(" ").isprintable() and not t.isspace()]
-        for k in range(0, len(lines), JOINED):
-            part = lines[k : k + JOINED]
-            ids = np.array(self._encode(["\n".join(part)])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-            if len(self.line) == 1 and len(ends) == len(part):
-                raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-                out.update((t, raw[4 * i : 4 * j]) for t, i, j in zip(part, starts.tolist(), ends.tolist()))
-        rest = [t for t in found if t not in out]
-        out.update((t, np.array(ids, "<u4").tobytes()) for t, ids in zip(rest, self._encode(rest)))
-        return [out[t] for t in found]
+        encode, alphabet = self.model.tokenize, self.alphabet
+        return [array("I", [t.id for t in encode(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in found]
+
+    def cut(self, s: str) -> list[str]:
+        """The pattern's matches; letters with punctuation after them need no regular expression."""
+        base = s.rstrip(PUNCTUATION)
+        if (base[1:] if base[:1] == " " else base).isalpha():
+            return [base, s[len(base) :]] if len(base) < len(s) else [base]
+        return self.pattern.findall(s)
 
     def strings(self, strings: list[str]) -> list[bytes]:
-        found = [self.pattern.findall(s) for s in strings]
+        found = [self.cut(s) for s in strings]
         ids = self.known.lookup({t for tokens in found for t in tokens})
         return [ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens]) for tokens in found]
 
@@ -97,7 +99,7 @@ def _encoder(path: str, pattern: str, end_id: int) -> Callable:
 
 
 def write_token_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Write docs' ids to the folder `out`, in ascending order of id_col; returns the folder. pattern: the tokenizer's own."""
+    """Write docs' ids to the folder `out`, in ascending order of id_col; returns the folder. pattern: that of the tokenizer's pre-tokens."""
     files = group_count(text_bytes(docs, text_col), FILE_BYTES)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     dealt = narrow.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("_text").asc_nulls_first())

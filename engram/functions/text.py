@@ -46,6 +46,10 @@ MODEL_NAMES = (
 # -----------------------------------------------------------------------------
 
 
+#: A word that isn't a stopword, in lower-cased text.
+WORD = r"\b(?!(?:" + "|".join(STOPWORDS) + r")\b)[a-z][a-z0-9_]+\b"
+
+
 def _strings(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -56,8 +60,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of two characters or more that start with a letter, without stopwords; repeats stay."""
-    found = matches(F.lower(text), r"\b[a-zA-Z][a-zA-Z0-9_]{1,}\b")
-    return F.filter(found, lambda w: ~F.array_contains(_strings(STOPWORDS), w))
+    return matches(F.lower(text), WORD)
+
+
+def token_count(text: Column) -> Column:
+    """The size of tokenize(text), without the array."""
+    return F.regexp_count(F.lower(text), F.lit(WORD))
 
 
 def session_tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators.joins import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     keep = [c for c in edges.columns if c not in ("source_id", "target_id")]
@@ -29,9 +31,11 @@ def k_hops(edges: DataFrame, origins: DataFrame, hops: int = 2, kinds: list[str]
     if not 1 <= hops <= 3:
         raise ValueError("1 to 3 hops")
     step = undirected(edges if kinds is None else edges.where(F.col("relationship").isin(kinds))).select("a", "b").distinct()
-    frontier = origins.select(F.col("node").alias("origin"), "node").distinct()
     if allowed is not None:
         step = step.join(allowed.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    step = written(step)  # every hop reads it
+    frontier = origins.select(F.col("node").alias("origin"), "node").distinct()
+    if allowed is not None:
         frontier = frontier.join(allowed, "node", "left_semi").select("origin", "node")
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):

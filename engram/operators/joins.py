@@ -105,12 +105,17 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     ).withColumn("acl_allow", F.when(F.col("_acls") > 0, F.array_sort(F.reduce(F.slice("_acl", 2, 2_000_000), F.array_distinct(F.col("_acl")[0]), lambda a, b: F.array_intersect(a, b))))).drop("_k", "_acls", "_acl")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, component): least-label propagation with pointer jumping; each round is written to the checkpoint folder."""
-    spark = edges.sparkSession
+def written(df: DataFrame) -> DataFrame:
+    """df in the shared checkpoint folder (one of our own only where none is set)."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    return df.checkpoint()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component): least-label propagation with pointer jumping; each round is written to the checkpoint folder."""
+    both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("node"), F.col("l").alias("component")).checkpoint()
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m")).select(F.col("u").alias("node"), "m")

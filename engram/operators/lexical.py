@@ -18,7 +18,8 @@ SOURCE_WEIGHTS = {"memory": 1.0, "rule": 0.95, "discovery": 0.85, "session": 0.7
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), tx.tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tok"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), tx.tokenize(text).alias("tok"), tx.token_count(text).alias("n_tok"))
 
 
 def postings(tok: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def postings(tok: DataFrame) -> DataFrame:
 
 def corpus_statistics(tok: DataFrame) -> DataFrame:
     """One row: n and avgdl."""
-    return tok.agg(F.count("*").alias("n"), F.avg(F.size("tok")).alias("avgdl"))
+    return tok.agg(F.count("*").alias("n"), F.avg("n_tok").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

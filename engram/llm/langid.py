@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, mix, powers, row_chunks, rows_of, slice_hashes, small_batches, table, words
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: A longer word counts as several words of this many bytes (a sum of products of so many bytes stays a float64).
 LONGEST = 32
 #: Most languages that a model holds.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import table
-from engram.llm.pretokens import Generations, PieceCache
+from engram.llm.pretokens import Generations, PieceCache, pretokens
 
 #: Words in one recursive query.
 WORDS = 60_000
@@ -94,7 +94,7 @@ class DuckBpe:
 
     def strings(self, strings: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids as text, decoded bytes) of each string that isn't empty."""
-        found = [self.pattern.findall(s) for s in strings]
+        found = [pretokens(s, self.pattern) for s in strings]
         coded = self.known.lookup({w for words in found for w in words})
         out = []
         for words in found:

@@ -25,6 +25,18 @@ def pieces(text: str) -> list[str]:
     return _SAFE.split(text) if odd else out
 
 
+#: Runs of these end a word and are a pre-token of their own.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def pretokens(piece: str, pattern: Any) -> list[str]:
+    """The public pattern's matches; letters with punctuation after them need no regular expression."""
+    base = piece.rstrip(PUNCTUATION)
+    if (base[1:] if base[:1] == " " else base).isalpha():
+        return [base, piece[len(base) :]] if len(base) < len(piece) else [base]
+    return pattern.findall(piece)
+
+
 class Generations:
     """A cache of bounded size; `make` is asked for the values of keys that weren't seen lately."""
 

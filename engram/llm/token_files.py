@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.llm.common import group_count, table, text_bytes, with_checkpoints
-from engram.llm.pretokens import Generations, PieceCache
+from engram.llm.pretokens import Generations, PieceCache, pretokens
 
 #: UTF-8 bytes of text in one file.
 FILE_BYTES = 24 << 20
@@ -37,10 +37,6 @@ ROWS = 512
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "lz4"}
 
 
-#: Runs of these end a word and are a pre-token of their own.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
 def byte_alphabet() -> dict[int, str]:
     """The published byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for the characters from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -57,21 +53,14 @@ class PieceEncoder:
         self.model = Tokenizer.from_file(path).model
         self.pattern = regex.compile(pattern)
         self.alphabet = byte_alphabet()
-        self.known = Generations(self.pretokens, limit=250_000)
-
-    def pretokens(self, found: list[str]) -> list[bytes]:
-        encode, alphabet = self.model.tokenize, self.alphabet
-        return [array("I", [t.id for t in encode(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in found]
+        self.known = Generations(self.encode, limit=250_000)
 
-    def cut(self, s: str) -> list[str]:
-        """The pattern's matches; letters with punctuation after them need no regular expression."""
-        base = s.rstrip(PUNCTUATION)
-        if (base[1:] if base[:1] == " " else base).isalpha():
-            return [base, s[len(base) :]] if len(base) < len(s) else [base]
-        return self.pattern.findall(s)
+    def encode(self, found: list[str]) -> list[bytes]:
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]).tobytes() for w in found]
 
     def strings(self, strings: list[str]) -> list[bytes]:
-        found = [self.cut(s) for s in strings]
+        found = [pretokens(s, self.pattern) for s in strings]
         ids = self.known.lookup({t for tokens in found for t in tokens})
         return [ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens]) for tokens in found]
 

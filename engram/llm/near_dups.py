@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 1. Every document's set of five-word shingles (lower-cased words; a text of fewer words is one shingle)
-   gets HASHES minima. Documents of equal word sequence are one class, so copies are never expanded.
-2. Each of TREES prefix tries orders the classes by its own sequence of minima. Matching prefixes are
+   gets minima of its own for each of TREES prefix tries: no two tries share a hash function, so their
+   misses are independent. Documents of equal word sequence are one class, so copies are never expanded.
+2. Each trie orders the classes by its sequence of minima. Matching prefixes are
    shortened from DEEPEST labels on, until a pair at the threshold is met in some trie with the target
    recall; classes that share a prefix of that depth are candidates. Each shared prefix gives edges to its
    least class only.
@@ -31,7 +32,6 @@ from engram.llm.common import ALNUM, LOWER, U64, buffers, gram_hashes, group_cou
 from engram.llm.components import components
 
 SHINGLE = 5
-HASHES = 128
 TREES = 64
 DEEPEST = 16
 BLOCK = 256
@@ -39,10 +39,9 @@ RECALL = 0.99999
 BUCKET_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(8)
-_XOR = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
-_ODD = _RNG.integers(1, 1 << 62, HASHES, dtype=np.uint64) * U64(2) + U64(1)
-#: The minima that each trie looks at, in its order.
-LABELS = np.array([_RNG.permutation(HASHES)[:DEEPEST] for _ in range(TREES)])
+#: The hash functions of each trie's labels, in its order.
+_XOR = _RNG.integers(1, 1 << 63, (TREES, DEEPEST), dtype=np.uint64)
+_ODD = _RNG.integers(1, 1 << 62, (TREES, DEEPEST), dtype=np.uint64) * U64(2) + U64(1)
 
 
 def depth_for(threshold: float, recall: float = RECALL) -> int:
@@ -77,15 +76,12 @@ def _signer(depth: int) -> Callable:
             for a, b, data, offsets in row_chunks(*buffers(batch["text"])):
                 sh, first, codes, bounds = shingles(data, offsets)
                 rows = np.flatnonzero(np.diff(first))
-                sig = np.empty((HASHES, len(rows)), U64)
-                for k in range(HASHES):
-                    if len(rows):
-                        sig[k] = np.minimum.reduceat((sh ^ _XOR[k]) * _ODD[k], first[rows])
-                keys = np.zeros((len(rows), TREES), U64)
-                for t in range(TREES):
+                keys, hashed = np.zeros((len(rows), TREES), U64), np.empty_like(sh)
+                for t in range(TREES if len(rows) else 0):
                     key = np.full(len(rows), t + 1, U64)
-                    for label in LABELS[t, :depth]:
-                        key = mix(key * U64(0x9E3779B97F4A7C15) ^ sig[label])
+                    for k in range(depth):
+                        np.multiply(np.bitwise_xor(sh, _XOR[t, k], out=hashed), _ODD[t, k], out=hashed)
+                        key = mix(key * U64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(hashed, first[rows]))
                     keys[:, t] = key
                 digest = [hashlib.blake2b(codes[bounds[r] : bounds[r + 1]].tobytes(), digest_size=16).digest() for r in rows.tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * TREES + 1, TREES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))

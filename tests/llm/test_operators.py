@@ -160,6 +160,24 @@ def test_forest_depth():
     assert near_dups.depth_for(0.5) < near_dups.depth_for(0.9)
 
 
+def test_isolated_pairs_meet():
+    """Of many pairs without other members, no more miss each other than the target recall allows."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(30000):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(24)]  # 20 shingles; 20 / 25 to 20 / 24 are shared
+        texts += [" ".join(a), " ".join(a + [f"w{rng.randrange(10**9)}" for _ in range(5 - i % 2)])]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    keys = []
+    for out in near_dups._signer(near_dups.depth_for(0.8))([batch]):
+        keys.append(np.asarray(out["keys"].values).reshape(out.num_rows, -1))
+    keys = np.concatenate(keys)
+    missed = int((keys[::2] != keys[1::2]).all(axis=1).sum())
+    assert missed <= 3  # 0.15 expected at independent tries
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 9), (7, 7), (9, 1)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(e).collect()}

@@ -8,6 +8,10 @@ metadata alone. Stripes are read in parallel; nothing depends on a whole file be
 Reading back, the id where a document starts is the ids of all files before its own (a table of one row
 for each file) plus a running sum in its own file.
 
+The tokenizer's added tokens (<|endoftext|> and the like) in a text are plain text, or, with
+added_tokens=True, become their own ids as in the library's default setting: the library encodes texts
+that hold one.
+
 Defined results: null and empty texts hold the end id alone; null doc_ids sort first; rows with the same
 doc_id follow each other, fewer ids first; an empty table writes no ids.
 """
@@ -65,20 +69,46 @@ class PieceEncoder:
         return [ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens]) for tokens in found]
 
 
+class AddedTokens:
+    """The ids of texts that hold an added token, by the library in its default setting."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.contents = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def held(self, text: str | None) -> bool:
+        return bool(text) and any(c in text for c in self.contents)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def worker_added(path: str) -> AddedTokens:
+    return AddedTokens(path)
+
+
 @lru_cache(maxsize=2)
 def worker_cache(path: str, pattern: str) -> PieceCache:
     return PieceCache(PieceEncoder(path, pattern).strings, limit=300_000)
 
 
-def _encoder(path: str, pattern: str, end_id: int) -> Callable:
+def _encoder(path: str, pattern: str, end_id: int, added_tokens: bool) -> Callable:
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, file = worker_cache(path, pattern), TaskContext.get().partitionId()
+        added = worker_added(path) if added_tokens else None
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                rows = [b"".join(v) + tail for v in cache.values(part["_text"].to_pylist())]
+                texts = part["_text"].to_pylist()
+                whole = {i: added.encode(t) for i, t in enumerate(texts) if added.held(t)} if added else {}
+                rows = [b"".join(v) + tail for v in cache.values([None if i in whole else t for i, t in enumerate(texts)] if whole else texts)]
+                for i, ids in whole.items():
+                    rows[i] = ids + tail
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
@@ -87,13 +117,13 @@ def _encoder(path: str, pattern: str, end_id: int) -> Callable:
     return run
 
 
-def write_token_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> str:
     """Write docs' ids to the folder `out`, in ascending order of id_col; returns the folder. pattern: that of the tokenizer's pre-tokens."""
     files = group_count(text_bytes(docs, text_col), FILE_BYTES)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     dealt = narrow.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("_text").asc_nulls_first())
     schema = narrow.select("doc_id", F.lit(0).alias("file"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids")).schema
-    dealt.mapInArrow(_encoder(tokenizer_path, pattern, end_id), schema).write.mode("overwrite").options(**ORC).orc(out)
+    dealt.mapInArrow(_encoder(tokenizer_path, pattern, end_id, added_tokens), schema).write.mode("overwrite").options(**ORC).orc(out)
     return out
 
 
@@ -128,4 +158,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_index(read_token_ids(spark, write_token_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)))
+    return token_index(read_token_ids(spark, write_token_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2, added_tokens=True)))

@@ -257,6 +257,23 @@ def test_token_files(docs, empty, tmp_path):
     token_files.write_token_ids(empty, str(tmp_path / "e"), path, P.PATTERN, 2)
 
 
+def test_token_files_of_added_tokens(spark, tmp_path):
+    """op4's result on texts that hold the tokenizer's added token equals the library's in its default setting."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n y", None, "", "<|endoftext|", "end <|endoftext|>"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in token_files.op4_token_files(spark, str(tmp_path)).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        at += len(ids)
+
+
 def test_language(spark, docs, empty):
     path = langid.piece_path()
     en, de = "the house and the river were under the old tree", "das haus und der fluss waren unter dem alten baum"

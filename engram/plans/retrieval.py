@@ -170,13 +170,13 @@ def rk13(spark, sf):
 @query("rk14_lsh_search")
 def rk14(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return out(ve.lsh_search(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")
+    return out(ve.lsh_search(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")
 
 
 @query("rk20_cluster_search")
 def rk20(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return out(ve.cluster_search(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")
+    return out(ve.cluster_search(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")
 
 
 LISTS = LEX + ", x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 20), y AS (SELECT query_id, id, 1.0 / (1 + id % 10) AS score, row_number() OVER (PARTITION BY query_id ORDER BY id % 10, id) AS rank FROM s QUALIFY rank <= 20)"

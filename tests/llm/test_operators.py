@@ -345,6 +345,17 @@ def test_packed_hashes():
     assert (lm_score.unpack(lm_score.pack(h)) == h).all() and len(lm_score.unpack(lm_score.pack(h[:0]))) == 0
 
 
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 3, dtype=np.uint64))
+    asked = [(0, part, 1, lm_score.pack(h), lm_score.pack_counts(np.array([1, 3_000_000_000, 7]))) for part in (0, 1)]
+    answer = lm_score._answer(pa.table(dict(zip(("bucket", "part", "n", "grams", "counts"), map(list, zip(*asked))))))
+    for raw in answer["totals"].to_pylist():
+        assert lm_score.unpack_counts(raw).tolist() == [2, 6_000_000_000, 14]
+    assert len(lm_score.unpack_counts(lm_score.pack_counts(np.zeros(0, np.int64)))) == 0
+
+
 def vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(300)]

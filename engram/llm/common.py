@@ -6,9 +6,13 @@ row offsets, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,46 @@ U64 = np.uint64
 CHUNK = 1 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows that a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes that a Python worker is handed at once (a row is never split), unless the session has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(name, "64m").lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = bound.rstrip("bkmg")
+    now = int(digits) * units.get(bound[len(digits) :], 1)
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept_in_worker(make: Callable, *args: Any, key: Any = None) -> Any:
+    """make(*args), kept in this Python worker until a task asks for something else: one thing at a time. key: instead of args that can't be one."""
+    key = (make.__module__, make.__qualname__, args if key is None else key)
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give what a finished task's arrays held back to the system, so that reused Python workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +83,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, from Parquet files in the shared checkpoint folder: lineage ends here."""
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts (one small aggregate over the column)."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0)).alias("b")).first()["b"])

@@ -20,7 +20,6 @@ their least doc_id; null ids take no part in groups and are returned with a null
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM, LOWER, U64, buffers, gram_hashes, group_count, mix, row_chunks, slice_hashes, table, text_bytes, with_checkpoints, words
+from engram.llm.common import ALNUM, LOWER, U64, buffers, gram_hashes, group_count, mix, row_chunks, slice_hashes, table, text_bytes, words, written
 from engram.llm.components import components
 
 SHINGLE = 5
@@ -142,14 +141,6 @@ def _verify(threshold_num: int, threshold_den: int) -> Callable:
     return run
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    with_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """For each document: doc_id, class_id (the least doc_id of its group) and n_links (other documents as similar as the threshold, copies included)."""
     num, den = threshold
@@ -157,8 +148,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col
     usable = narrow.where("doc_id is not null and text is not null")
     if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():
         usable = usable.groupBy("doc_id").agg(F.min("text").alias("text"))
-    signed = _written(usable.mapInArrow(_signer(depth_for(num / den, recall)), "doc_id long, digest binary, keys array<long>"), "signatures")
-    classes = _written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys")), "classes")
+    signed = written(usable.mapInArrow(_signer(depth_for(num / den, recall)), "doc_id long, digest binary, keys array<long>"), "signatures")
+    classes = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys")), "classes")
     posted = classes.select("rep", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     edges = posted.join(shared, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
@@ -169,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col
     n = group_count(text_bytes(usable), BUCKET_BYTES)
     tasks = tasks.select("cluster", "rep", "copies", "block", F.least("block", "_k").alias("bi"), F.greatest("block", "_k").alias("bj"), "text")
     tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("cluster", "bi", "bj"), F.lit(n)).cast("int"))
-    checked = _written(tasks.groupBy("bucket").applyInArrow(_verify(num, den), "rep long, root long, links long"), "links")
+    checked = written(tasks.groupBy("bucket").applyInArrow(_verify(num, den), "rep long, root long, links long"), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     named = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(groups, "rep", "left")

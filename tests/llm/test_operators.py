@@ -236,6 +236,60 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.digests(empty, path, P.PATTERN).count() == 0
 
 
+def test_long_words(spark):
+    """Words beyond a recursive query's stretch, with open seams too, as the library encodes them."""
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(6)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = ["-" * 5000, " " * 3001, "a" * 65, "abc" * 777, pick("abcdefghijklmnopqrstuvwxyz", 100_000), pick("ab", 9000), pick("éü漢字かな", 700), pick(["ing", "tion", "the"], 900)]
+    rows = bpe.encode_and_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN).collect()
+    assert {r["doc_id"]: (r["ids"], bytes(r["decoded"]).decode()) for r in rows} == {i: (library.encode_ordinary(t), t) for i, t in enumerate(texts)}
+
+
+def test_wide_seams(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "WINDOW", 12)
+    path = P.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    words = ["ab" * 300, "-" * 700, "the" * 200]
+    ids, sizes, _, _ = bpe.DuckBpe(path).words([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(w) for w in words]
+
+
+def test_pieces_are_pretokens():
+    """Pieces of random texts, cut in a batch, are the public pattern's matches."""
+    P = pytest.importorskip("public_tokenizers")
+    import regex
+
+    from engram.llm.pretokens import cut, pretokens
+
+    pattern, rng = regex.compile(P.PATTERN), random.Random(1)
+    alphabet = [" ", " ", "\n", "\t", "a", "b", "é", "'", "s", "!", "5", "\xa0", "\u2003", "\u3000", "漢", "\x1c", "\x85", "\r", "²", "\u0301", "😀", ".", "ll", "'re"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(20)]
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        starts, ends, bounds = cut(data, offsets)
+        for i, t in enumerate(texts):
+            got = [w.decode() for k in range(bounds[i], bounds[i + 1]) for w in pretokens(data[starts[k] : ends[k]].tobytes(), pattern)]
+            assert got == pattern.findall(t), t
+
+
+def test_memo_forgets_and_finds():
+    from engram.llm.pretokens import Memo
+
+    memo, rng = Memo([np.int64], limit=20_000, slots=4), np.random.default_rng(0)
+    for _ in range(50):
+        h = rng.integers(0, 500, 200, dtype=np.uint64) << np.uint64(54)
+        numbers = memo.numbers(h, lambda first: [(np.repeat(h[first].astype(np.int64) >> 54, 2), np.full(len(first), 2))])
+        values, sizes = memo.rows(0, numbers)
+        assert (sizes == 2).all() and (values == np.repeat(h.astype(np.int64) >> 54, 2)).all()
+
+
 def test_token_files(docs, empty, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -243,7 +297,6 @@ def test_token_files(docs, empty, tmp_path):
     spark = docs.sparkSession
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     odd = spark.createDataFrame([(100, "  a  b\n c  "), (101, "x  　y z\t w\x00q"), (102, "it's\n\n12 34!! <|endoftext|> 😀\nend")], "doc_id long, text string")
     both = docs.where("doc_id IS NULL OR doc_id <> 4").select("doc_id", "text").distinct().union(odd)
     out = token_files.write_token_ids(both, str(tmp_path / "t"), path, P.PATTERN, 2)
@@ -279,7 +332,8 @@ def test_language(spark, docs, empty):
     en, de = "the house and the river were under the old tree", "das haus und der fluss waren unter dem alten baum"
     train = spark.createDataFrame([(en, "en"), (de, "de"), (None, "en"), ("text", None)], "text string, lang string")
     model = langid.fit(train, path)
-    assert model[0] == ["de", "en"] and np.allclose(model[1].sum(axis=0), 1)
+    [(langs, probs)] = model
+    assert langs == ["de", "en"] and np.allclose(probs.sum(axis=0), 1)
     rows = spark.createDataFrame([(1, "the old river"), (2, "der alte fluss und das haus"), (3, None), (4, ""), (5, "123 !!!"), (6, "x" * 5000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.predict(rows, model, path).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 5)] == ["en", "de", "und", "und", "und"]
@@ -289,14 +343,58 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict(rows, none, path).collect()} == {"und"}
 
 
+def all_segmentations(word, probs):
+    """The sum over all segmentations, by recursion."""
+    return 1.0 if not word else sum(p * all_segmentations(word[len(t) :], probs) for t, p in probs.items() if word.startswith(t))
+
+
 def test_forward_sums_all_segmentations():
-    pieces = [b" a", b"ab", b" ab", *[bytes([b]) for b in range(256)]]
-    p = langid.Pieces(pieces)
-    probs = np.full((len(pieces), 1), 0.001)
-    probs[:3, 0] = (0.1, 0.2, 0.3)
-    groups, word, _ = langid.distinct_words(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))
-    got = np.exp(langid.word_scores(groups, 1, p, probs))[0, 0]
-    assert got == pytest.approx(0.001**3 + 0.1 * 0.001 + 0.001 * 0.2 + 0.3)
+    rng = np.random.default_rng(2)
+    texts = [b" a", b"ab", b" ab", b"ba", b"aba", b"bab a"[:3], *[bytes([b]) for b in range(256)]]
+    texts = sorted(set(texts))
+    pieces, probs = langid.Pieces(texts), rng.random((len(texts), 2)) * 0.1
+    words = [" abab", " babb", " aaaa", " bbab"]
+    matrix = np.array([list(w.encode()) for w in words], np.uint8)
+    want = [[all_segmentations(w.encode(), dict(zip(texts, probs[:, k]))) for k in range(2)] for w in words]
+    assert np.exp(langid.forward(matrix, pieces, probs)) == pytest.approx(np.array(want))
+    for row, w in zip(matrix, want):
+        assert np.exp(langid.forward_long(row, pieces, probs)) == pytest.approx(np.array(w))
+    long = np.frombuffer(b" " + b"ab" * 20000, np.uint8)
+    assert np.isfinite(langid.forward_long(long, pieces, probs)).all()
+
+
+def test_expected_counts_share_segmentations(monkeypatch):
+    """Expected counts equal those of an enumeration of all segmentations."""
+    import pyarrow as pa
+
+    texts = sorted({b" a", b"ab", b" ab", *[bytes([b]) for b in range(256)]})
+    monkeypatch.setattr(langid, "vocabulary", lambda path: texts)
+    probs = np.random.default_rng(3).random((len(texts), 1)) * 0.1
+
+    def spell(word):
+        return [[]] if not word else [[t, *rest] for t in texts if word.startswith(t) for rest in spell(word[len(t) :])]
+
+    p = dict(zip(texts, probs[:, 0]))
+    want = {}
+    for word, n in ((b" ab", 3), (b" aab", 2)):
+        ways = [(w, np.prod([p[t] for t in w])) for w in spell(word)]
+        for w, weight in ways:
+            for t in w:
+                want[t] = want.get(t, 0) + n * weight / sum(x for _, x in ways)
+    batch = pa.record_batch({"lang": pa.array([0, 0], pa.int32()), "word": pa.array([b" ab", b" aab"]), "n": pa.array([3, 2], pa.int64())})
+    [out] = list(langid._expect("own", lambda: probs, 1)(iter([batch])))
+    got = {texts[i]: x for i, x in zip(out["piece"].to_pylist(), out["n"].to_pylist())}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+
+
+def test_many_languages_take_blocks(spark, monkeypatch):
+    path = langid.piece_path()
+    train = spark.createDataFrame([("the old house by the river", "en"), ("das alte haus am fluss", "de"), ("la vieille maison du fleuve", "fr")], "text string, lang string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["the river", "das haus", "la maison", "x" * 300])], "doc_id long, text string")
+    one = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(rows, langid.fit(train, path), path).collect()}
+    monkeypatch.setattr(langid, "LANGS", 1)
+    model = langid.fit(train, path)
+    assert len(model) == 3 and {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(rows, model, path).collect()} == one
 
 
 def brute_scores(rows):

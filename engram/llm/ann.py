@@ -2,12 +2,12 @@
 
 A bounded sample of distinct vectors serves as pivots. Every vector is represented by its PREFIX nearest
 pivots in order and posted in the inverted files of the first POSTS of them; a query visits the files of its
-own nearest pivots (64, or a fourteenth of all). In a file, postings are ranked by the footrule distance of their pivot orders to the
+own nearest pivots (64, or a fourteenth of all if that is more; the same rule at every size). In a file, postings are ranked by the footrule distance of their pivot orders to the
 query's, the best RERANK of them are reranked by the exact inner product, and the best k of all files win.
 
-A file of more than FILE_ROWS postings is dealt over several tasks (the number of postings of each pivot is
-a table of at most MAX_PIVOTS rows), so one vector may make up any share of the rows. Queries that met fewer than
-k vectors visit all files. The pivots grow with the square root of the rows up to MAX_PIVOTS, and so does the
+A file of more than FILE_ROWS postings, or asked by more than FILE_QUERIES queries, is dealt over several tasks (the numbers of
+postings and of queries of each pivot are tables of at most MAX_PIVOTS rows), so one vector may make up any share of the
+rows. Queries that met fewer than k vectors visit all files. The pivots grow with the square root of the rows up to MAX_PIVOTS, and so does the
 work of a query; every row is indexed.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, vectors without an id and those of
@@ -35,8 +35,7 @@ VISIT_SHARE = 14
 LEAST_VISITS = 64
 RERANK = 1000
 FILE_ROWS = 4096
-#: Up to so many vectors, queries visit all files.
-SMALL = 4000
+FILE_QUERIES = 2048
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -112,29 +111,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     pivots = choose_pivots(base, min(MAX_PIVOTS, max(16, 4 * isqrt(n))))
     m = max(1, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
-    visits = min(m, max(LEAST_VISITS, m // VISIT_SHARE)) if n > SMALL else m
+    visits = min(m, max(LEAST_VISITS, m // VISIT_SHARE))
     schema = base.select("id", "v", F.array().cast("array<int>").alias("pivots")).schema
     indexed = base.mapInArrow(_orders(shared, PREFIX), schema)
     files = indexed.withColumn("file", F.explode(F.slice("pivots", 1, POSTS)))
     sizes = files.groupBy("file").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("parts"))
-    posted = files.join(F.broadcast(sizes), "file").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     asked = usable(queries, id_col, vec_col).dropDuplicates(["id"]).mapInArrow(_orders(shared, max(PREFIX, visits)), schema)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
 
     def visit(asking: DataFrame, depth: int) -> DataFrame:
-        asks = asking.withColumn("file", F.explode(F.slice("pivots", 1, depth))).join(F.broadcast(sizes), "file")
-        asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("file", "part", "id", "v", F.slice("pivots", 1, PREFIX).alias("pivots"))
-        found = posted.select("file", "part", "id", "v", "pivots").groupBy("file", "part").cogroup(asks.groupBy("file", "part")).applyInArrow(_search(k, PREFIX, RERANK), "query_id long, vec_id long, score double")
-        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        asks = asking.withColumn("file", F.explode(F.slice("pivots", 1, depth)))
+        cut = sizes.join(asks.groupBy("file").agg(F.ceil(F.count("*") / FILE_QUERIES).cast("int").alias("sides")), "file")
+        posted = files.join(F.broadcast(cut), "file").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("side", every("sides"))
+        asks = asks.join(F.broadcast(cut), "file").withColumn("side", F.pmod(F.xxhash64("id"), "sides").cast("int")).withColumn("part", every("parts"))
+        asks = asks.select("file", "part", "side", "id", "v", F.slice("pivots", 1, PREFIX).alias("pivots"))
+        met = posted.select("file", "part", "side", "id", "v", "pivots").groupBy("file", "part", "side").cogroup(asks.groupBy("file", "part", "side"))
+        return met.applyInArrow(_search(k, PREFIX, RERANK), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = visit(asked, visits)
     top = found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
-    if n > SMALL:
-        enough = top.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-        short = usable(queries, id_col, vec_col).dropDuplicates(["id"]).join(enough, "id", "left_anti")
-        if short.limit(1).count():
-            more = visit(short.mapInArrow(_orders(shared, m), schema), m).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
-            top = top.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
+    enough = top.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = usable(queries, id_col, vec_col).dropDuplicates(["id"]).join(enough, "id", "left_anti")
+    if visits < m and short.limit(1).count():
+        more = visit(short.mapInArrow(_orders(shared, m), schema), m).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
+        top = top.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return top.select("query_id", "rank", "vec_id", "score")
 
 

@@ -7,7 +7,7 @@
    shortened from DEEPEST labels on, until a pair at the threshold is met in some trie with the target
    recall; classes that share a prefix of that depth are candidates. Each shared prefix gives edges to its
    least class only.
-3. Components of candidate edges are cut into blocks of BLOCK classes; every pair of blocks of a component is
+3. Components of candidate edges are cut into blocks of about BLOCK classes and BLOCK_BYTES of text; every pair of blocks of a component is
    compared exactly, as products of shingle incidence matrices, and returns one row for each class: its root
    in the block pair and the documents it links to. No pair is emitted.
 4. Components of the verified roots are the groups.
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM, LOWER, U64, buffers, gram_hashes, group_count, mix, row_chunks, slice_hashes, table, text_bytes, words, written
+from engram.llm.common import ALNUM, LOWER, U64, buffers, fresh, gram_hashes, group_count, mix, part_of, release, row_chunks, slice_hashes, table, words, written
 from engram.llm.components import components
 
 SHINGLE = 5
 TREES = 64
 DEEPEST = 16
 BLOCK = 256
+BLOCK_BYTES = 2 << 20
 RECALL = 0.99999
 BUCKET_BYTES = 4 << 20
 
@@ -84,7 +85,7 @@ def _signer(depth: int) -> Callable:
                     keys[:, t] = key
                 digest = [hashlib.blake2b(codes[bounds[r] : bounds[r + 1]].tobytes(), digest_size=16).digest() for r in rows.tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * TREES + 1, TREES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(rows)), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(rows)), pa.array(np.diff(offsets)[rows]), pa.array(digest, pa.binary()), lists], names=["doc_id", "size", "digest", "keys"])
 
     return run
 
@@ -136,6 +137,7 @@ def _verify(threshold_num: int, threshold_den: int) -> Callable:
             out_root.append(rep[own[root]])
             out_links.append(count)
         made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_rep, out_root, out_links)]
+        release()
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("rep", "root", "links"), made)})
 
     return run
@@ -148,18 +150,20 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col
     usable = narrow.where("doc_id is not null and text is not null")
     if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():
         usable = usable.groupBy("doc_id").agg(F.min("text").alias("text"))
-    signed = written(usable.mapInArrow(_signer(depth_for(num / den, recall)), "doc_id long, digest binary, keys array<long>"), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys")), "classes")
+    signed = written(usable.mapInArrow(_signer(depth_for(num / den, recall)), "doc_id long, size long, digest binary, keys array<long>"), "signatures")
+    classes = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max("size").alias("size"), F.first("keys").alias("keys")), "classes")
     posted = classes.select("rep", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     edges = posted.join(shared, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     cluster = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    size = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = cluster.join(size, "cluster").join(classes.select("rep", "copies"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    tasks = members.join(usable.withColumnRenamed("doc_id", "rep"), "rep").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    n = group_count(text_bytes(usable), BUCKET_BYTES)
-    tasks = tasks.select("cluster", "rep", "copies", "block", F.least("block", "_k").alias("bi"), F.greatest("block", "_k").alias("bj"), "text")
-    tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("cluster", "bi", "bj"), F.lit(n)).cast("int"))
+    members = cluster.join(classes.select("rep", "copies", "size"), "rep")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"), F.sum("size").alias("bytes"))
+    sent = sizes.agg(F.coalesce(F.sum(F.col("bytes") * F.col("blocks")), F.lit(0)).alias("b")).first()["b"]  # every text travels once for each block
+    members = members.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    tasks = members.join(usable.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.select("cluster", "rep", "copies", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "text")
+    tasks = tasks.withColumn("bucket", part_of(group_count(int(sent), BUCKET_BYTES), "cluster", "bi", "bj"))
     checked = written(tasks.groupBy("bucket").applyInArrow(_verify(num, den), "rep long, root long, links long"), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
@@ -171,8 +175,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those whose group has a document of smaller doc_id; rows with null ids stay."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(fresh("gone", docs.columns))).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,8 +229,8 @@ def rows_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def deal(docs: DataFrame, parts: int, id_col: str) -> DataFrame:
-    """docs as (part, rows): each Arrow batch's rows of a part travel as one compressed block to the part of their id."""
+def deal(docs: DataFrame, parts: int, *keys: str | Column) -> DataFrame:
+    """docs (without a column _part) as (part, rows): each Arrow batch's rows of a part travel as one compressed block to the part of their keys."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -247,7 +247,7 @@ def deal(docs: DataFrame, parts: int, id_col: str) -> DataFrame:
                 blocks.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(part[order][edges[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "rows"])
 
-    return docs.withColumn("_part", part_of(parts, id_col)).mapInArrow(pack, "part int, rows binary").repartition(parts, "part")
+    return docs.withColumn("_part", part_of(parts, *keys)).mapInArrow(pack, "part int, rows binary").repartition(parts, "part")
 
 
 def undeal(blocks: pa.Table) -> pa.Table:

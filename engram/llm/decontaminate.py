@@ -6,8 +6,8 @@ length of the longest match ending at every word is tracked. Where it reaches a
 (13 words, or a whole item if that is shorter) the window's words are hit.
 
 Texts are never shuffled. Only stretches of words that all occur in some item reach the automaton,
-so most text costs a few numpy passes. The items are broadcast in blocks of a bounded size; a larger
-benchmark takes more passes over the texts.
+so most text costs a few numpy passes. The items are broadcast in blocks of a bounded size (a worker builds a
+block's automaton once); a larger benchmark takes more passes, each written to the shared folder before the next.
 
 Defined results: null texts have no words; items that are null, have no word or no id take no part;
 an item given twice counts once; rows of documents are judged one by one, so repeated rows repeat
@@ -16,6 +16,7 @@ their result; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM, LOWER, buffers, row_chunks, slice_hashes, small_batches, table, words
+from engram.llm.common import ALNUM, LOWER, buffers, kept_in_worker, release, row_chunks, slice_hashes, small_batches, table, words, written
 
 WINDOW = 13
 #: Bytes of item text in one automaton.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class ItemAutomaton:
@@ -186,14 +187,19 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     rest = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
     out = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     kept = list(out.schema)
-    for block in _blocks(items, item_id, item_text):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), rest, text_col), schema=type(out.schema)(kept))
+    for k, block in enumerate(_blocks(items, item_id, item_text)):
+        out = written(out, "hits") if k else out
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, rest, text_col), schema=type(out.schema)(kept))
     return out
 
 
-def _scanner(block, rest: list[str], text_col: str) -> Callable:
+def _automaton(block) -> ItemAutomaton:
+    return ItemAutomaton(block.value)
+
+
+def _scanner(block, name: str, rest: list[str], text_col: str) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton(block.value)
+        automaton = kept_in_worker(_automaton, block, key=name)
         for batch in batches:
             n_words, spans, names = [], [], []
             old_spans, old_names = batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist()
@@ -204,6 +210,7 @@ def _scanner(block, rest: list[str], text_col: str) -> Callable:
                 names.append(sorted(items.union(old_names[row])))
             kind = batch.schema
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(n_words, pa.int64()), pa.array(spans, kind.field("hit_spans").type), pa.array(names, kind.field("hit_items").type)], schema=kind)
+        release()
 
     return scan
 
@@ -217,9 +224,9 @@ def judge(found: DataFrame, least_share: int = 20) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that the coverage limit calls contaminated; all other rows stay as they are."""
-    spare = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "hit_spans", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated")}
-    found = judge(find_items(docs.withColumnsRenamed(spare), items, text_col)).where("not contaminated")
-    return found.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = judge(find_items(own, items, f"c{docs.columns.index(text_col)}")).where("not contaminated")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,10 +52,10 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
-def word_codes(rows: pa.Table, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each row) of a part."""
     codes, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for _, _, data, offsets in row_chunks(*buffers(rows[text_col])):
+    for _, _, data, offsets in row_chunks(*buffers(rows["text"])):
         low = LOWER[data]
         starts, ends, bounds = words(low, offsets, ALNUM)
         codes.append(slice_hashes(low, starts, ends))
@@ -86,11 +86,11 @@ def cuts(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
-def _ask(buckets: int, text_col: str) -> Callable:
+def _ask(buckets: int) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         part = rows["part"][0].as_py()
         out = []
-        for n, (h, count, _, _) in enumerate(distinct_grams(*word_codes(undeal(rows), text_col)), 1):
+        for n, (h, count, _, _) in enumerate(distinct_grams(*word_codes(undeal(rows))), 1):
             at = cuts(h, buckets).tolist()
             out += [(b, part, n, pack(h[i:j]), pack_counts(count[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
         cols = list(zip(*out)) or [()] * 5
@@ -118,10 +118,10 @@ def _answer(rows: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(c, t) for k, c, t in zip(("part", "bucket", "n", "totals"), zip(*made), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))})
 
 
-def _score(total_words: int, id_col: str, text_col: str) -> Callable:
+def _score(total_words: int) -> Callable:
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows = undeal(blocks)
-        codes, bounds = word_codes(rows, text_col)
+        codes, bounds = word_codes(rows)
         doc = rows_of(bounds)
         size = len(codes)
         left = np.zeros((ORDER + 1, size), np.int64)  # by order and last word: the count without the document's own
@@ -145,7 +145,7 @@ def _score(total_words: int, id_col: str, text_col: str) -> Callable:
         count = lambda x: np.bincount(doc, weights=x, minlength=len(bounds) - 1)
         n_words = np.diff(bounds)
         score = count(np.log(p)) / np.maximum(n_words, 1)
-        kept = {n: rows[n] for n in rows.column_names if n not in (text_col, "n_words", "n_trigram", "n_bigram", "score")}
+        kept = {n: rows[n] for n in rows.column_names if n != "text"}
         return pa.table(kept | {"n_words": pa.array(n_words), "n_trigram": pa.array(count(tri).astype(np.int64)), "n_bigram": pa.array(count(bi).astype(np.int64)), "score": pa.array(score, mask=n_words == 0)})
 
     return run
@@ -162,16 +162,24 @@ def count_words(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
 
 
+ADDED = ("n_words", "n_trigram", "n_bigram", "score")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the text, with n_words, n_trigram and n_bigram (words scored at that order) and score (mean log score of a word)."""
+    """docs without the text, with n_words, n_trigram and n_bigram (words scored at that order) and score (mean log score of a word).
+
+    Columns of these names are replaced; others may have any names. Counts the corpus's words while it is called.
+    """
     total = text_bytes(docs, text_col)
     parts, buckets = group_count(total, PART_BYTES), group_count(total, BUCKET_BYTES)
-    by_part = deal(docs, parts, id_col).groupBy("part")
-    asked = by_part.applyInArrow(_ask(buckets, text_col), "bucket int, part int, n int, grams binary, counts binary")
+    rest = [c for c in docs.columns if c not in (text_col, *ADDED)]
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text_col).alias("text"))
+    by_part = deal(own, parts, f"c{rest.index(id_col)}", F.xxhash64("text")).groupBy("part")
+    asked = by_part.applyInArrow(_ask(buckets), "bucket int, part int, n int, grams binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "part int, bucket int, n int, totals binary")
-    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_trigram", "n_bigram", "score")]
-    schema = docs.select(*rest, *[F.lit(0).cast("long").alias(c) for c in ("n_words", "n_trigram", "n_bigram")], F.lit(None).cast("double").alias("score")).schema
-    return by_part.cogroup(answers.groupBy("part")).applyInArrow(_score(count_words(docs, text_col), id_col, text_col), schema)
+    schema = own.drop("text").select("*", *[F.lit(0).cast("long").alias(c) for c in ADDED[:3]], F.lit(None).cast("double").alias("score")).schema
+    out = by_part.cogroup(answers.groupBy("part")).applyInArrow(_score(count_words(docs, text_col)), schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *ADDED)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ one shuffle. A window of `width` units has exactly one minimiser, its least-hash
             first in (document, position) order repeat; runs of them go back to the documents' parts.
 4. finish   Each part merges its documents' runs into spans and hands texts and spans to `finish`.
 
-Rows that share a document id and text are one document; other rows that share an id are ordered by
-text. A null id is the smallest. Null texts are empty.
+Rows that share a document id and text are one document; other rows that share an id are ordered by a
+64-bit hash of the text, and dealt by it too, so that one id (or null) may have any share of the rows. A null
+id is the smallest. Null texts are empty. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -111,30 +112,16 @@ def bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Part:
-    """A part's documents in order: `row` of each, its id and its number among those with that id."""
-
-    def __init__(self, rows: pa.Table, id_col: str, text_col: str):
-        self.data, self.offsets = buffers(rows[text_col])
-        column = rows[id_col].combine_chunks() if isinstance(rows[id_col], pa.ChunkedArray) else rows[id_col]
-        ids = np.asarray(column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min))
-        order = np.argsort(ids, kind="stable")
-        same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-        self.same_as: dict[int, int] = {}
-        self.number = np.zeros(len(ids), np.int32)
-        if len(same):
-            text = lambda r: self.data[self.offsets[r] : self.offsets[r + 1]].tobytes()
-            groups: dict[int, list[int]] = {}
-            for i in same.tolist():
-                groups.setdefault(int(ids[order[i]]), [int(order[i])]).append(int(order[i + 1]))
-            for members in groups.values():
-                seen: dict[bytes, int] = {}
-                for r in sorted(members, key=text):
-                    if (t := text(r)) in seen:
-                        self.same_as[r] = seen[t]
-                    else:
-                        self.number[r] = len(seen)
-                        seen[t] = r
-        self.ids = ids
+    """A part's documents: `data`, and of each row its id and its number (the hash of its text)."""
+
+    def __init__(self, rows: pa.Table):
+        self.data, self.offsets = buffers(rows["text"])
+        self.ids = np.asarray(rows["id"].combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).min))
+        self.number = np.asarray(rows["number"].combine_chunks())
+        order = np.lexsort((self.number, self.ids))
+        same = np.concatenate([[False], (np.diff(self.ids[order]) == 0) & (np.diff(self.number[order]) == 0)]) if len(order) else np.zeros(0, bool)
+        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        self.same_as = dict(zip(order[same].tolist(), first[same].tolist()))
 
     def chunks(self, units: Units, text: bool = True):
         """(row of the part for each row of the chunk, Chunk); repeated rows hold no units."""
@@ -151,10 +138,10 @@ class Part:
             yield chunk, row + base, first - chunk.bounds[row], first, n, h
 
 
-def _rank_part(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
+def _rank_part(units: Units, buckets: int) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         part = rows["_part"][0].as_py()
-        found = [h for *_, h in Part(rows, id_col, text_col).segments(units, False)]
+        found = [h for *_, h in Part(rows).segments(units, False)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
         to = bucket(h, buckets)
         order = np.argsort(to, kind="stable")
@@ -188,11 +175,11 @@ def _rank_bucket(hot: int) -> Callable:
 
 
 #: What a packed string carries besides its text: document id, number, first unit, windows, length.
-_HEAD = np.dtype([("id", "<i8"), ("number", "<i4"), ("first", "<i4"), ("n", "<i4"), ("size", "<i4")])
+_HEAD = np.dtype([("id", "<i8"), ("number", "<i8"), ("first", "<i4"), ("n", "<i4"), ("size", "<i4")])
 _TRAVEL = "bucket int, _part int, head binary, text binary"
 
 
-def _travel(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
+def _travel(units: Units, buckets: int) -> Callable:
     def run(rows: pa.Table, ranks: pa.Table) -> pa.Table:
         out: dict[int, tuple[list, list]] = {}
         known: list[tuple] = []  # repeats that are clear inside the part
@@ -201,7 +188,7 @@ def _travel(units: Units, buckets: int, id_col: str, text_col: str) -> Callable:
             hot = np.concatenate([np.frombuffer(x, bool) for x in ranks["hot"].to_pylist()])
             order = np.argsort(h)
             h, hot = h[order], hot[order]
-            part = Part(rows, id_col, text_col)
+            part = Part(rows)
             seen: dict[bytes, tuple] = {}
             pending: list[tuple[tuple, int, bytes]] = []
             for chunk, row, unit, first, n, own in part.segments(units, True):
@@ -341,9 +328,9 @@ def union(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
 Finish = Callable[[bytes, list[tuple[int, int]]], list]
 
 
-def _finish(units: Units, id_col: str, text_col: str, finish: Finish, names: list[str], kinds: list[pa.DataType]) -> Callable:
+def _finish(units: Units, finish: Finish, kinds: list[pa.DataType]) -> Callable:
     def run(rows: pa.Table, runs: pa.Table) -> pa.Table:
-        part = Part(rows, id_col, text_col)
+        part = Part(rows)
         spans: dict[int, list[tuple[int, int]]] = {}
         if runs.num_rows and rows.num_rows:
             head = np.concatenate([np.frombuffer(x, _HEAD) for x in runs["head"].to_pylist()])
@@ -359,9 +346,9 @@ def _finish(units: Units, id_col: str, text_col: str, finish: Finish, names: lis
                 spans[r] = spans.get(other, [])
         raw = part.data.tobytes()
         made = [finish(raw[a:b], spans.get(r, [])) for r, (a, b) in enumerate(zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()))]
-        cols = list(zip(*made)) or [()] * len(names)
-        kept = {n: rows[n] for n in rows.column_names if n not in ("_part", text_col, *names)}
-        return pa.table(kept | {n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
+        cols = list(zip(*made)) or [()] * len(kinds)
+        kept = {n: rows[n] for n in rows.column_names if n[0] == "c"}
+        return pa.table(kept | {f"m{i}": pa.array(c, t) for i, (c, t) in enumerate(zip(cols, kinds))})
 
     return run
 
@@ -370,13 +357,16 @@ def remove_repeats(docs: DataFrame, units: Units, finish: Finish, columns: list[
     """docs without the text column, with what `finish(text, spans of repeated units)` returns as `columns` (name, Spark type, Arrow type)."""
     total = text_bytes(docs, text_col)
     parts, buckets = group_count(total, PART_BYTES), group_count(total, BUCKET_BYTES)
-    names, kinds = [c[0] for c in columns], [c[2] for c in columns]
-    dealt = docs.drop("_part").withColumn("_part", part_of(parts, id_col)).repartition(parts, "_part")
-    by_part = dealt.groupBy("_part")
-    ranked = by_part.applyInArrow(_rank_part(units, buckets, id_col, text_col), "bucket int, _part int, hashes binary, counts binary")
+    names = [c[0] for c in columns]
+    rest = [c for c in docs.columns if c not in (text_col, *names)]
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(*own, F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("number"), text.alias("text"))
+    by_part = rows.withColumn("_part", part_of(parts, "id", "number")).repartition(parts, "_part").groupBy("_part")
+    ranked = by_part.applyInArrow(_rank_part(units, buckets), "bucket int, _part int, hashes binary, counts binary")
     survivors = ranked.groupBy("bucket").applyInArrow(_rank_bucket(hot), "_part int, hashes binary, hot binary")
-    packed = by_part.cogroup(survivors.groupBy("_part")).applyInArrow(_travel(units, buckets, id_col, text_col), _TRAVEL)
+    packed = by_part.cogroup(survivors.groupBy("_part")).applyInArrow(_travel(units, buckets), _TRAVEL)
     runs = packed.groupBy("bucket").applyInArrow(_judge(units), "_part int, head binary")
-    rest = [c for c in docs.columns if c not in ("_part", text_col, *names)]
-    schema = docs.select(*rest, *[F.lit(None).cast(kind).alias(n) for n, kind, _ in columns]).schema
-    return by_part.cogroup(runs.groupBy("_part")).applyInArrow(_finish(units, id_col, text_col, finish, names, kinds), schema)
+    schema = docs.select(*own, *[F.lit(None).cast(kind).alias(f"m{i}") for i, (_, kind, _) in enumerate(columns)]).schema
+    out = by_part.cogroup(runs.groupBy("_part")).applyInArrow(_finish(units, finish, [c[2] for c in columns]), schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *[F.col(f"m{i}").alias(n) for i, n in enumerate(names)])

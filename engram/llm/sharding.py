@@ -7,7 +7,7 @@ anyone who knows N and the seed can compute where row number r is.
 
 Defined results: a null text has no bytes; a null doc_id sorts first; rows equal in id, checksum
 and size are interchangeable; an empty table gives an empty result; columns of the input that
-clash with the added ones are replaced.
+clash with shard and slot are replaced.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import table
+from engram.llm.common import fresh, group_count, table
 
 ROUNDS = 6
+#: Rows that are sorted together; the starts of N / BUCKET_ROWS buckets are broadcast.
+BUCKET_ROWS = 1 << 19
 #: Applications of the network that are always enough: each one leaves the range with a chance below 2 / sqrt(N),
 #: and never more often in a row than there are values outside it.
 WALK = 64
@@ -48,25 +50,28 @@ def _step(p: Column, side: int, total: int, seed: int) -> Column:
     return F.transform(F.array(q), lambda x: F.struct((x < F.lit(total)).alias("done"), x.alias("p")))[0]
 
 
-def row_numbers(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
-    """df with `number`: 0 to N-1, by hash bucket and then by keys; one narrow shuffle and no single-task sort.
+def row_numbers(df: DataFrame, buckets: int, keys: tuple[str, ...], name: str) -> DataFrame:
+    """df with the column `name`: 0 to N-1, by hash bucket and then by keys; one narrow shuffle and no single-task sort.
 
     The bucket sizes (at most `buckets` rows) are the only thing that is broadcast.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    numbered = df.withColumn("_rank", F.row_number().over(within) - 1).join(F.broadcast(starts), "_bucket")
-    return numbered.withColumn("number", F.col("_start") + F.col("_rank")).drop("_bucket", "_n", "_start", "_rank")
+    bucket, n, start, rank = (fresh(x, [*df.columns, name]) for x in ("bucket", "n", "start", "rank"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    sizes = df.groupBy(bucket).agg(F.count("*").alias(n))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(bucket).orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    numbered = df.withColumn(rank, F.row_number().over(within) - 1).join(F.broadcast(starts), bucket)
+    return numbered.withColumn(name, F.col(start) + F.col(rank)).drop(bucket, start, rank)
 
 
-def assign_shards(df: DataFrame, shards: int, seed: int = 7, keys: tuple[str, ...] = ("doc_id",), buckets: int = 2048) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, seed: int = 7, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """df with `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard)."""
     total = df.count()
-    p = row_numbers(df.drop("shard", "slot", "number"), buckets, *keys).withColumn("_p", feistel(F.col("number"), total, seed))
-    return p.select(*[F.col(c) for c in df.columns if c not in ("shard", "slot", "number")], F.pmod("_p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("_p") / F.lit(shards)).cast("long").alias("slot"))
+    rest = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    number, p = fresh("number", df.columns), fresh("p", df.columns)
+    placed = row_numbers(df.select(*rest), group_count(total, BUCKET_ROWS, 64), keys, number).withColumn(p, feistel(F.col(number), total, seed))
+    return placed.select(*rest, F.pmod(p, F.lit(shards)).cast("int").alias("shard"), F.floor(F.col(p) / F.lit(shards)).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ Consecutive 20-word windows that share a minimiser (8 words) travel as one packe
 minimiser's bucket, where sorting counts windows exactly; see repeats.py for the passes. Every word
 covered by a window that also starts earlier is removed.
 
-Defined results: null and empty texts have no words; texts of fewer words than a window keep all.
+Defined results: null and empty texts have no words (dedup_words leaves null texts null); texts of fewer words than a window keep all.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm.common import table
+from engram.llm.common import fresh, table
 from engram.llm.repeats import Units, remove_repeats
 
 WORDS = Units(words=True, width=20, gram=8)
@@ -43,7 +44,9 @@ def _text(text: bytes, spans: list[tuple[int, int]]) -> list:
 
 def dedup_words(docs: DataFrame, units: Units = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated words taken out of the text (the rest joined by single spaces; other texts stay as they are)."""
-    return remove_repeats(docs, units, _text, [(text_col, "string", pa.string())], id_col, text_col).select(*docs.columns)
+    absent = fresh("absent", docs.columns)
+    out = remove_repeats(docs.withColumn(absent, F.col(text_col).isNull()), units, _text, [(text_col, "string", pa.string())], id_col, text_col)
+    return out.withColumn(text_col, F.when(~F.col(absent), F.col(text_col))).select(*docs.columns)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

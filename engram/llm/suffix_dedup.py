@@ -7,7 +7,7 @@ rank them and drop what is unique, and only windows around survivors go on to th
 of 100 bytes are made from pairs of names at growing offsets, sorted and compared; see repeats.py. Every byte
 covered by a 100-byte string that also starts earlier is removed.
 
-Defined results: null texts are empty; texts shorter than the threshold keep all bytes.
+Defined results: null texts are empty (dedup_bytes leaves them null); texts shorter than the threshold keep all bytes.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm.common import table
+from engram.llm.common import fresh, table
 from engram.llm.repeats import Units, remove_repeats
 
 BYTES = Units(words=False, width=100, gram=36)
@@ -57,7 +58,9 @@ def _text(text: bytes, spans: list[tuple[int, int]]) -> list:
 
 def dedup_bytes(docs: DataFrame, units: Units = BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings taken out of the text; characters that a span's edge would cut stay."""
-    return remove_repeats(docs, units, _text, [(text_col, "string", pa.string())], id_col, text_col).select(*docs.columns)
+    absent = fresh("absent", docs.columns)
+    out = remove_repeats(docs.withColumn(absent, F.col(text_col).isNull()), units, _text, [(text_col, "string", pa.string())], id_col, text_col)
+    return out.withColumn(text_col, F.when(~F.col(absent), F.col(text_col))).select(*docs.columns)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

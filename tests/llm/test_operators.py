@@ -12,7 +12,12 @@ from engram.llm import ann, bpe, decontaminate, langid, lm_score, near_dups, sha
 from engram.llm.components import components
 from engram.llm.repeats import Units, remove_repeats
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, rows string, number int, shard string, keys string, file string, bucket int"
+#: Names that the operators' own temporary columns might have.
+CLASH = "_part int, _bucket int, _rank int, _n int, _start int, _letter int, _text string, letter int, absent int, id string, c0 string, m0 string, size int, row int, best string, top double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, rows string, number int, shard string, keys string, file string, bucket int, " + CLASH
+
+
+EXTRA = (1, 2, 3, 4, 5, 6, "t", 7, 8, "i", "c", "m", 9, 10, "b", 1.5)
 
 
 def words(rng, n, vocab=40):
@@ -41,8 +46,8 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, ["en", "fr", None][i % 3], "s", 7, 1, "r", 2, "x", "k", "f", 9) for i, t in texts().items()]
-    rows += [rows[1], (None, "null id text", None, None, None, None, None, None, None, None, None, None), (4, "another text with the id of four", "en", "s", 1, 1, "r", 2, "x", "k", "f", 9)]
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", 7, 1, "r", 2, "x", "k", "f", 9, *EXTRA) for i, t in texts().items()]
+    rows += [rows[1], (None, "null id text", *[None] * 26), (4, "another text with the id of four", "en", "s", 1, 1, "r", 2, "x", "k", "f", 9, *EXTRA)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -51,8 +56,16 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def text_hash(text):
+    """What Spark's xxhash64 gives for a string."""
+    import xxhash
+
+    h = xxhash.xxh64((text or "").encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
 def order_key(row):
-    return (-(1 << 63) if row["doc_id"] is None else row["doc_id"], row["text"] or "")
+    return (-(1 << 63) if row["doc_id"] is None else row["doc_id"], text_hash(row["text"]))
 
 
 def brute_repeats(rows, split, width):
@@ -302,7 +315,7 @@ def test_token_files(docs, empty, tmp_path):
     out = token_files.write_token_ids(both, str(tmp_path / "t"), path, P.PATTERN, 2)
     got = {r["doc_id"]: r for r in token_files.token_index(token_files.read_token_ids(spark, out)).collect()}
     at = 0
-    for r in sorted(both.collect(), key=order_key):
+    for r in sorted(both.collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"]):
         ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
         assert (got[r["doc_id"]]["start"], got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
@@ -466,7 +479,8 @@ def brute_nearest(df, k):
     return {q: sorted(((-float(v @ rows[q]), i) for i, v in rows.items() if i != q))[:k] for q in rows if q % 20 == 0}
 
 
-def test_nearest_small_is_exact(spark):
+def test_nearest_of_all_files_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_VISITS", 10**6)
     df = vectors(spark)
     got = {}
     for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect():
@@ -479,10 +493,83 @@ def test_nearest_small_is_exact(spark):
     assert ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
 
 
-def test_nearest_large_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SMALL", 100)
+def test_nearest_prunes(spark, monkeypatch):
+    """A file dealt over several parts and sides, and few visits: what is found is exact in score, and recall holds."""
     monkeypatch.setattr(ann, "FILE_ROWS", 40)
+    monkeypatch.setattr(ann, "FILE_QUERIES", 3)
+    monkeypatch.setattr(ann, "LEAST_VISITS", 24)
     df = vectors(spark)
     found = ann.nearest(df, df.where("vec_id % 20 = 0"), 5).collect()
     want = {q: {i for _, i in hits} for q, hits in brute_nearest(df, 5).items()}
     assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.9 * 5 * len(want)
+
+
+def test_nearest_query_recall(spark):
+    """op9's own query on a driver table: ranks, order, exact scores and recall at 20 against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    place, got = {int(v): i for i, v in enumerate(ids)}, {}
+    for r in ann.op9_ann(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        assert r["score"] == pytest.approx(score[place[r["query_id"]], place[r["vec_id"]]], abs=1e-12)
+    assert set(got) == {int(v) for v in ids if v % 20 == 0} and all(sorted(g) == list(range(1, 21)) for g in got.values())
+    best = {q: set(ids[np.lexsort((ids, -score[place[q]]))[:20]].tolist()) for q in got}
+    assert sum(len(best[q] & set(g.values())) for q, g in got.items()) >= 0.9 * 20 * len(got)
+
+
+def test_sharding_query(spark):
+    """op1's contract on a driver table: sizes, checksums, law, gapless slots and counts at most one apart."""
+    sf = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sharding.op1_sharding(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(want)
+    slots = {}
+    for r in rows:
+        raw = (want[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(slots) <= set(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    counts = [len(slots.get(i, [])) for i in range(40)]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_language_query_accuracy(spark):
+    """op5 on a driver table: folds as the contract states them, scores in range, held-out accuracy."""
+    sf = "/root/testdata/sf0.01"
+    want = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = langid.op5_langid(spark, sf).collect()
+    assert len(rows) == len(want) and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    tested = [r for r in rows if r["held_out"] and want[r["doc_id"]] is not None]
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in tested) >= 0.99 * len(tested)
+
+
+def test_bpe_query(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    sf = "/root/testdata/sf0.001"
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.op6_bpe(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        found = got[r["doc_id"]]
+        assert (found["n_tokens"], found["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert found["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_columns_of_clashing_names_survive(docs):
+    """Operators that keep the input's columns keep all of them as they are, whatever their names."""
+    path = langid.piece_path()
+    own = {(r["doc_id"], r["text"]): tuple(r)[2:] for r in docs.collect()}
+    for out in (near_dups.keep_one(docs), decontaminate.drop_contaminated(docs, docs.where("false").select(F.col("doc_id").alias("item_id"), "text")), langid.predict(docs, langid.fit(docs, path), path).drop("lang_pred", "score")):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert tuple(r)[2:] == own[r["doc_id"], r["text"]]
+    scored = lm_score.score_documents(docs).collect()
+    assert len(scored) == docs.count() and {r["_text"] for r in scored} == {"t", None}
+    sharded = sharding.assign_shards(docs, 3).collect()
+    assert {r["_start"] for r in sharded} == {5, None} and len(sharded) == docs.count()
+    kept = {(r["doc_id"], r["c0"], r["m0"], r["_part"]) for r in suffix_dedup.dedup_bytes(docs).collect()}
+    assert {x[1:] for x in kept if x[0] is not None} == {("c", "m", 1)}
+    assert {r["text"] is None for r in suffix_dedup.dedup_bytes(docs.where("text IS NULL")).collect()} == {True}

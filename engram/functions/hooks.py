@@ -66,11 +66,16 @@ def rerank_with(pool: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Seri
     return rerank(pool, pool.select("query_id", "id", run("query", "content").alias("ext")), k)
 
 
-def alert_sink(callback: Callable[[list[dict]], None], most: int = 1000) -> Callable[[DataFrame, int], None]:
-    """UD5: a foreachBatch function that hands a batch's first alerts to a callback; the stream itself is what keeps them all."""
+def parse(rows: DataFrame, provider: str) -> DataFrame:
+    """UD3: rows (conversation, json) by the registered parser of a provider, layout or MIME type."""
+    return PARSERS[provider.lower()](rows)
+
+
+def alert_sink(callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """UD5: a foreachBatch function that hands a batch's alerts to a callback as a DataFrame, so a callback that writes or posts by partition loses none."""
 
     def batch(alerts: DataFrame, batch_id: int) -> None:
-        callback([r.asDict() for r in alerts.limit(most).collect()])
+        callback(alerts)
 
     return batch
 
@@ -85,4 +90,4 @@ def with_acl(hits: DataFrame, acls: DataFrame, ids: list[str]) -> DataFrame:
 def acl_intersection(acls: Column) -> Column:
     """UD7: the members of all arrays of an array; null members count as empty, no arrays give null."""
     clean = F.transform(acls, lambda a: F.coalesce(a, F.array().cast("array<string>")))
-    return F.when(F.size(clean) > 0, F.array_sort(F.reduce(F.slice(clean, 2, 2_000_000), F.array_distinct(clean[0]), lambda a, b: F.array_intersect(a, b))))
+    return F.when(F.size(clean) > 0, F.array_sort(F.reduce(clean, F.array_distinct(clean[0]), lambda a, b: F.array_intersect(a, b))))

@@ -46,8 +46,8 @@ MODEL_NAMES = (
 # -----------------------------------------------------------------------------
 
 
-#: A word that isn't a stopword, in lower-cased text.
-WORD = r"\b(?!(?:" + "|".join(STOPWORDS) + r")\b)[a-z][a-z0-9_]+\b"
+#: A word, in lower-cased text.
+WORD = r"\b[a-z][a-z0-9_]+\b"
 
 
 def _strings(values: tuple[str, ...]) -> Column:
@@ -60,12 +60,11 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of two characters or more that start with a letter, without stopwords; repeats stay."""
-    return matches(F.lower(text), WORD)
+    return F.filter(matches(F.lower(text), WORD), lambda w: ~w.isin(*STOPWORDS))
 
 
 def token_count(text: Column) -> Column:
-    """The size of tokenize(text), without the array."""
-    return F.regexp_count(F.lower(text), F.lit(WORD))
+    return F.size(tokenize(text))
 
 
 def session_tokens(text: Column) -> Column:
@@ -198,11 +197,11 @@ def entities(text: Column) -> Column:
 
 
 def has_negation(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(" + "|".join(NEGATIONS) + r")\b")
+    return text.rlike(r"(?iU)\b(" + "|".join(NEGATIONS) + r")\b")
 
 
 def without_negations(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(text), r"\b(" + "|".join(NEGATIONS) + r")\b", ""))
+    return F.btrim(F.regexp_replace(F.lower(text), r"(?U)\b(" + "|".join(NEGATIONS) + r")\b", ""))
 
 
 def word_set(text: Column) -> Column:

@@ -29,15 +29,22 @@ def category_stats(scores: DataFrame) -> DataFrame:
     return scores.groupBy("category").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
 
 
-def bootstrap_mean(values: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """values (grp, x): 95 % interval of the mean over resamples. Draw i of a resample takes the value at a hashed index, so runs agree."""
-    w = Window.partitionBy("grp").orderBy("x")
-    indexed = values.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("grp")))
-    draws = indexed.select("grp", F.col("_i").alias("_d"), "_n").withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_b", "_d"), "_n").cast("int")).select("grp", "_b", "_i")
-    means = draws.join(indexed.select("grp", "_i", "x"), ["grp", "_i"]).groupBy("grp", "_b").agg(F.avg("x").alias("m"))
-    ends = means.groupBy("grp").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return values.groupBy("grp").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).join(ends, "grp")
+def bootstrap_mean(values: DataFrame, resamples: int = 5000, seed: int = 7) -> DataFrame:
+    """values (grp, x): 95 % interval of the mean over resamples.
+
+    Draw d of resample b takes the value whose place is a hash (md5) of seed, b and d modulo the group's size, so runs agree. A group is a stated
+    set of scores; its values are one array that every resample indexes in its own row, and draws never become rows.
+    """
+    groups = values.groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("_x"), F.avg("x").alias("mean"), F.count("*").alias("n"))
+    runs = groups.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition(F.col("grp"), F.pmod("_b", F.lit(64)))
+
+    def pick(d: Column) -> Column:
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), d.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        return F.get("_x", F.pmod(h, F.col("n")).cast("int"))
+
+    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda a, d: a + pick(d)) / F.col("n")
+    ends = runs.select("grp", drawn.alias("m")).groupBy("grp").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return groups.select("grp", "mean", "n").join(ends, "grp")
 
 
 def delta_verdict(low: Column, high: Column, n: Column, least: int = 5) -> Column:

@@ -63,15 +63,18 @@ def _found(content: Column, patterns: tuple[str, ...], prose: bool) -> Column:
 
 
 def decisions(docs: DataFrame, key: str, content: str, least: int = 25, most: int = 50) -> DataFrame:
-    """(key, i, text, confidence): annotated and prose decisions; prose needs `least` characters and not to be a mere topic; a text contained in a
-    longer one of its document goes; longest first, `most` at the most."""
+    """(key, i, text, confidence): annotated and prose decisions; prose needs `least` characters and not to be a mere topic; a text contained in another
+    one of its document goes (of equals but for case the first stays); longest first, `most` at the most."""
     both = F.concat(_found(F.col(content), ANNOTATED, False), _found(F.col(content), PROSE, True))
     good = F.filter(both, lambda x: (x["text"] != "") & (~x["prose"] | ((F.length(x["text"]) >= least) & ~x["text"].rlike(TOPICS))))
     texts = F.array_distinct(F.transform(good, lambda x: x["text"]))
-    rows = docs.select(key, texts.alias("_all")).withColumn("_kept", F.filter("_all", lambda t: ~F.exists("_all", lambda o: (o != t) & F.contains(F.lower(o), F.lower(t)))))
-    each = rows.select(key, F.explode("_kept").alias("text"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("text")), "text"))
-    return each.withColumn("i", place).where(F.col("i") <= most).withColumn("confidence", F.lit(DECISION_CONFIDENCE))
+    ordered = F.array_sort(F.transform(texts, lambda t, p: F.struct((-F.length(t)).alias("l"), p.alias("p"), F.lower(t).alias("low"), t.alias("text"))))
+    none = F.array().cast("array<struct<l:int,p:int,low:string,text:string>>")
+    # longest first: a text stays unless a kept one holds it; no more than `most` are ever kept
+    kept = F.aggregate(ordered, none, lambda a, x: F.when((F.size(a) >= most) | F.exists(a, lambda o: F.contains(o["low"], x["low"])), a).otherwise(F.array_append(a, x)))
+    each = docs.select(key, F.posexplode(kept).alias("at", "x")).select(key, "at", "x.text")
+    place = F.col("at") + 1
+    return each.select(key, "text", place.alias("i"), F.lit(DECISION_CONFIDENCE).alias("confidence"))
 
 
 def negatives(docs: DataFrame, key: str, content: str, most: int = 30) -> DataFrame:

@@ -135,3 +135,13 @@ def delta_push(incoming: DataFrame, server: DataFrame, principal: str) -> DataFr
         .otherwise("accepted")
     )
     return both.withColumn("reason", reason).drop("_acl", "_level")
+
+
+def session_events(rows: DataFrame, mode: str | None, first: Column | None, last: Column | None, offset: int, limit: int) -> DataFrame:
+    """A page of recall events (mode, timestamp, event_id) with `total`: of one mode, between two times (rows without a time pass), oldest first."""
+    kept = rows if mode is None else rows.where(F.col("mode") == mode)
+    for bound, inside in ((first, lambda t: t >= first), (last, lambda t: t <= last)):
+        if bound is not None:
+            kept = kept.where(F.coalesce(inside(F.col("timestamp")), F.lit(True)))
+    total = kept.agg(F.count("*").alias("total"))
+    return kept.orderBy(F.asc_nulls_first("timestamp"), "event_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))

@@ -1,78 +1,104 @@
-"""Ordered folds that no window expresses: kept-row dedup, rate limits, greedy fits, running chunk state. One group is one key's rows."""
+"""Ordered folds that no window expresses: kept-row dedup, rate limits, greedy fits, running chunk state.
+
+Rows are dealt by key, sorted and streamed; a fold holds the state of one key at a time, and every row's result leaves with its row.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.names import fresh
+
+
+def fold(rows: DataFrame, keys: list[str], order: list[Column], read: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], made: dict[str, str]) -> DataFrame:
+    """rows with the columns `made` (name: type): step(state, values of `read`) returns the next state and these columns' values, row by row in order."""
+    rest = [c for c in rows.columns if c not in made]
+    sort = {fresh(f"o{i}", rows.columns): c for i, c in enumerate(order)}
+    names = list(made)
+    schema = rows.select(*rest, *[F.lit(None).cast(t).alias(n) for n, t in made.items()]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for key, values in zip(zip(*[batch[k].to_pylist() for k in keys]), zip(*[batch[c].to_pylist() for c in read])):
+                if state is None or key != last:
+                    last, state = key, start()
+                state, row = step(state, values)
+                out.append(row)
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], *[pa.array(c, types[n]) for n, c in zip(names, columns)]], names=[*rest, *names])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = {n: to_arrow_type(schema[n].dataType) for n in names}
+    dealt = rows.select(*rest, *[c.alias(n) for n, c in sort.items()]).repartition(*keys).sortWithinPartitions(*keys, *sort)
+    return dealt.drop(*sort).mapInArrow(run, schema)
+
 
 def kept_rows(rows: DataFrame, keys: list[str], seconds: float, ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """Rows that aren't within `seconds` of an earlier kept row of their key, as (keys, event_id). The state of the fold is one time."""
-    times = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(key).alias("id"))))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
+    """Rows that aren't within `seconds` of an earlier kept row of their key, as (keys, event_id)."""
+    at = fresh("at", rows.columns)
+    narrow = rows.select(*keys, key, F.unix_micros(F.col(ts).cast("timestamp")).alias(at))
 
-    def step(s: Column, x: Column) -> Column:
-        keep = s["last"].isNull() | (x["t"] - s["last"] > int(seconds * 1e6))
-        return F.when(keep, F.struct(x["t"].alias("last"), F.array_append(s["ids"], x["id"]).alias("ids"))).otherwise(s)
+    def step(last: tuple, values: tuple) -> tuple[tuple, tuple]:
+        keep = not last or values[0] - last[0] > int(seconds * 1e6)
+        return ((values[0],) if keep else last), (keep,)
 
-    return rows.groupBy(*keys).agg(F.aggregate(times, none, step, lambda s: s["ids"]).alias("ids")).select(*keys, F.explode("ids").alias(key))
+    kept = fresh("kept", narrow.columns)
+    return fold(narrow, keys, [F.col(at), F.col(key)], [at], tuple, step, {kept: "boolean"}).where(kept).select(*keys, key)
 
 
 def rate_limited(rows: DataFrame, principal: str, most: int, seconds: float, ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """Each call accepted or not under a sliding window in which only accepted calls count."""
+    """Each call accepted or not under a sliding window in which only accepted calls count; the state is at most `most` times."""
+    at = fresh("at", rows.columns)
+    narrow = rows.select(principal, key, F.unix_micros(F.col(ts).cast("timestamp")).alias(at))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([ts, key])
-        accepted: list[float] = []
-        out = []
-        for t in p[ts].to_numpy().astype("datetime64[us]").astype(np.int64):
-            accepted = [a for a in accepted if t - a < seconds * 1e6]
-            out.append(len(accepted) < most)
-            if out[-1]:
-                accepted.append(t)
-        return p[[principal, key]].assign(accepted=out)
+    def step(times: deque, values: tuple) -> tuple[deque, tuple]:
+        while times and values[0] - times[0] >= seconds * 1e6:
+            times.popleft()
+        ok = len(times) < most
+        if ok:
+            times.append(values[0])
+        return times, (ok,)
 
-    narrow = rows.select(principal, key, ts)
-    return narrow.groupBy(principal).applyInPandas(fold, narrow.select(principal, key, F.lit(True).alias("accepted")).schema)
+    return fold(narrow, [principal], [F.col(at), F.col(key)], [at], deque, step, {"accepted": "boolean"}).select(principal, key, "accepted")
 
 
 def greedy_fit(rows: DataFrame, group: str, size: str, budget: int, order: list[Column], key: str) -> DataFrame:
-    """Rows chosen in order; one that doesn't fit is skipped and the next is tried."""
-    items = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"), F.col(size).cast("long").alias("size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    """Rows chosen in order; one that doesn't fit is skipped and the next is tried. The state is what is used."""
+    chosen = fresh("chosen", rows.columns)
 
-    def step(s: Column, x: Column) -> Column:
-        return F.when(s["used"] + x["size"] <= budget, F.struct((s["used"] + x["size"]).alias("used"), F.array_append(s["ids"], x["id"]).alias("ids"))).otherwise(s)
+    def step(used: int, values: tuple) -> tuple[int, tuple]:
+        fits = values[0] is not None and used + values[0] <= budget
+        return used + (values[0] if fits else 0), (fits,)
 
-    return rows.groupBy(group).agg(F.aggregate(items, start, step, lambda s: s["ids"]).alias("ids")).select(group, F.explode("ids").alias(key))
+    return fold(rows, [group], [*order, F.col(key)], [size], int, step, {chosen: "boolean"}).where(chosen).select(group, key)
 
 
 def chunk_state(rows: DataFrame, stream: str, order: str, drift_below: float = 0.3) -> DataFrame:
     """Running state of each stream after every chunk (order, embedding or null, score): topic starts at zero and moves by 1 / (i + 1) of the way, i from 1
-    and counting skipped chunks; drift is a cosine to the state before of less than `drift_below`."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
-        topic = None
-        n, mean, drift = [], [], []
-        total = 0.0
-        for i, (e, s) in enumerate(zip(p["embedding"], p["score"]), 1):
-            d = False
-            if e is not None:
-                v = np.asarray(e, float)
-                topic = np.zeros(len(v)) if topic is None else topic
-                size = np.linalg.norm(topic) * np.linalg.norm(v)
-                d = bool(size > 0 and topic @ v / size < drift_below)
-                topic = topic + (v - topic) / (i + 1)
-            total += s
-            n.append(i)
-            mean.append(total / i)
-            drift.append(d)
-        size = 0.0 if topic is None else float(np.linalg.norm(topic))
-        return p[[stream, order]].assign(seen=n, mean_score=mean, drift=drift, topic_norm=size)
-
-    narrow = rows.select(stream, order, "embedding", "score")
-    schema = narrow.select(stream, order, F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("mean_score"), F.lit(True).alias("drift"), F.lit(0.0).alias("topic_norm")).schema
-    return narrow.groupBy(stream).applyInPandas(fold, schema)
+    and counting skipped chunks; drift is a cosine to the state before of less than `drift_below`; topic_norm is that of the state so far."""
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        i, total, topic = state
+        e, score = values
+        i, total, drift = i + 1, total + score, False
+        if e is not None:
+            v = np.asarray(e, float)
+            topic = np.zeros(len(v)) if topic is None else topic
+            size = np.linalg.norm(topic) * np.linalg.norm(v)
+            drift = bool(size > 0 and topic @ v / size < drift_below)
+            topic = topic + (v - topic) / (i + 1)
+        norm = 0.0 if topic is None else float(np.linalg.norm(topic))
+        return (i, total, topic), (i, total / i, drift, norm)
+
+    made = {"seen": "long", "mean_score": "double", "drift": "boolean", "topic_norm": "double"}
+    return fold(rows.select(stream, order, "embedding", "score"), [stream], [F.col(order)], ["embedding", "score"], lambda: (0, 0.0, None), step, made).select(stream, order, *made)

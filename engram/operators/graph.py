@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions import text as tx
 from engram.operators.joins import written
 
 
@@ -81,3 +83,54 @@ def publish(events: DataFrame) -> DataFrame:
     """events (event_id, content, agent, ts): one memory for each content hash with its first time and number of publications."""
     h = F.substring(F.sha2("content", 256), 1, 12)
     return events.groupBy(h.alias("memory_id")).agg(F.min("ts").alias("first_seen"), F.count("*").alias("published"), F.count_distinct("agent").alias("agents"))
+
+
+CONFIDENT = 0.7
+
+
+def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, text, node) for every confident entity (node, name, confidence) that a query (query_id, text) names as a whole word, without regard to case.
+
+    Queries and names meet on the name's first word; only then is the whole name looked for.
+    """
+    named = entities.where(F.col("confidence") >= CONFIDENT).select("node", F.lower(F.rtrim("name", F.lit("()"))).alias("_n")).where("_n <> ''")
+    word = r"[\p{L}\p{N}_]+"
+    keyed = named.withColumn("_k", F.regexp_extract("_n", word, 0)).where("_k <> ''")
+    words = queries.select("query_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), 0))).alias("_k"))
+    both = words.join(keyed, "_k")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.col("_n"), F.lit(r"\E\b"))
+    return both.where(F.rlike(F.lower("text"), quoted)).select("query_id", "text", "node").distinct()
+
+
+def expand_queries(queries: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, expanded): each query's text followed by the names of confident neighbours of the entities it names, in order of the named entity and the
+    neighbour; a name that the text holds already isn't added, nor is one twice."""
+    named = named_entities(queries, entities)
+    near = named.join(undirected(edges).select(F.col("a").alias("node"), F.col("b")).distinct(), "node").where("b <> node")
+    names = entities.where(F.col("confidence") >= CONFIDENT).select(F.col("node").alias("b"), F.rtrim("name", F.lit("()")).alias("term"))
+    terms = near.join(names, "b").where(~F.contains(F.lower("text"), F.lower("term")))
+    first = terms.groupBy("query_id", "term").agg(F.min(F.struct("node", "b")).alias("o"))
+    extra = first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "term"))), lambda x: x["term"]), " ").alias("_extra"))
+    return queries.join(extra, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "_extra").alias("expanded"))
+
+
+def link_and_store(sessions: DataFrame, edges: DataFrame, entity_path: str, edge_path: str, dry_run: bool = False) -> DataFrame:
+    """Session entities and PRECEDED_BY edges by entity id, appended as Parquet where they aren't stored yet; one row: sessions, edges_added, dry_run.
+
+    sessions (id, project, ts, vocabulary), edges (source_id, target_id, overlap, delta_hours). A dry run writes nothing.
+    """
+    spark = sessions.sparkSession
+    entity = lambda i, p: tx.short_id(i, F.lit("session"), p)
+    project = F.coalesce("project", F.lit("unknown"))
+    ids = sessions.select("id", entity(F.col("id"), project).alias("entity_id"), project.alias("project"))
+    linked = edges.join(ids.select(F.col("id").alias("source_id"), F.col("entity_id").alias("s"), F.col("project").alias("acl")), "source_id").join(ids.select(F.col("id").alias("target_id"), F.col("entity_id").alias("t")), "target_id")
+    edge_rows = linked.select(tx.short_id(F.col("s"), F.col("t"), F.lit("PRECEDED_BY")).alias("edge_id"), F.col("s").alias("source_id"), F.col("t").alias("target_id"), F.lit("PRECEDED_BY").alias("relationship"), "overlap", "delta_hours", F.array("acl").alias("acl_allow"))
+    nodes = sessions.select(entity(F.col("id"), project).alias("entity_id"), F.col("id").cast("string").alias("name"), F.lit("session").alias("type"), project.alias("project"), F.col("ts").alias("first_seen"), F.size("vocabulary").alias("vocabulary_size"), F.array(project).alias("acl_allow"))
+    if not dry_run:
+        for rows, path, key in ((nodes, entity_path, "entity_id"), (edge_rows, edge_path, "edge_id")):
+            try:
+                rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+            except AnalysisException:  # nothing stored yet
+                pass
+            rows.write.mode("append").parquet(path)
+    return sessions.agg(F.count("*").alias("sessions")).crossJoin(edge_rows.agg(F.count("*").alias("edges_added"))).withColumn("dry_run", F.lit(dry_run))

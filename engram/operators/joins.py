@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
@@ -17,12 +18,7 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     crossed with itself; the lower confidence merges into the higher, the smaller id wins ties.
     """
     sets = rows.select("id", "project", "confidence", tx.word_set(F.lower("text")).alias("w")).where("size(w) > 0")
-    df = sets.select("project", F.explode("w").alias("word")).groupBy("project", "word").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", "project", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, ["project", "word"])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = ordered.withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "project", "word", "n")
-    other = prefix.select(F.col("id").alias("id2"), "project", "word", F.col("n").alias("n2"))
-    pairs = prefix.join(other, ["project", "word"]).where("id < id2").where((F.least("n", "n2") >= threshold * F.greatest("n", "n2"))).select("id", "id2").distinct()
+    pairs = _prefix_pairs(sets.select("id", "project", "w"), threshold).select("id", "id2")
     a = sets.select("id", F.col("w").alias("wa"), F.col("confidence").alias("ca"))
     b = sets.select(F.col("id").alias("id2"), F.col("w").alias("wb"), F.col("confidence").alias("cb"))
     scored = pairs.join(a, "id").join(b, "id2").withColumn("similarity", tx.overlap_max(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold)
@@ -30,6 +26,22 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     return scored.select("id", "id2", "similarity", winner.alias("winner"))
 
 
+def _prefix_pairs(sets: DataFrame, threshold: float, side: str | None = None) -> DataFrame:
+    """sets (id, project, w, ...): distinct (id, id2) of a project that may share `threshold` of the larger set: they meet on one of the rarest words that
+    such a pair must share. side: a boolean column; pairs have it true for id and false for id2. Else id < id2."""
+    extra = [side] if side else []
+    df = sets.select("project", F.explode("w").alias("word")).groupBy("project", "word").agg(F.count("*").alias("df"))
+    ordered = sets.select("id", "project", *extra, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, ["project", "word"])
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
+    prefix = ordered.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "project", *extra, "word", "n", "p")
+    left, right = (prefix.where(side), prefix.where(~F.col(side))) if side else (prefix, prefix)
+    other = right.select(F.col("id").alias("id2"), "project", "word", F.col("n").alias("n2"), F.col("p").alias("p2"))
+    pairs = left.join(other, ["project", "word"]).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
+    # words of both prefixes stand in one order, so at a first common word at places p and p2 no more than the rest of either set can be common
+    pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + F.least("p", "p2") >= threshold * F.greatest("n", "n2"))
+    return (pairs if side else pairs.where("id < id2")).select("id", "id2").distinct()
+
+
 def recent_duplicates(new: DataFrame, old: DataFrame, newest: int, threshold: float) -> DataFrame:
     """new and old (id, project, ts, embedding): pairs of a project with old among its newest rows and cosine of the threshold."""
     from engram.functions.vectors import cosine
@@ -40,15 +52,19 @@ def recent_duplicates(new: DataFrame, old: DataFrame, newest: int, threshold: fl
 
 
 def contradictions(rows: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """rows (id, project, confidence, text): pairs of a project of which exactly one negates and whose other words overlap by more than the threshold."""
-    base = rows.select("id", "project", "confidence", tx.has_negation(F.col("text")).alias("neg"), tx.word_set(tx.without_negations(F.col("text"))).alias("w")).where("size(w) > 0")
-    post = base.select("id", "project", "neg", F.size("w").alias("n"), F.explode("w").alias("word"))
-    other = post.select(F.col("id").alias("id2"), "project", (~F.col("neg")).alias("neg"), F.col("n").alias("n2"), "word")
-    common = post.where("neg").join(other.where("neg"), ["project", "neg", "word"]).groupBy("id", "id2", "n", "n2").agg(F.count("*").alias("c"))
-    found = common.withColumn("overlap", F.col("c") / F.greatest("n", "n2")).where(F.col("overlap") > threshold)
-    conf = rows.select("id", "confidence")
-    both = found.join(conf, "id").join(conf.select(F.col("id").alias("id2"), F.col("confidence").alias("c2")), "id2")
-    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "overlap", F.when(F.least("confidence", "c2") > 0.8, "high").otherwise("medium").alias("severity"), (F.least("confidence", "c2") >= 0.85).alias("auto_emit"))
+    """rows (id, project, confidence, pinned, text): pairs of a project of which exactly one negates and whose other words overlap by more than the threshold.
+
+    a is the smaller id; severity is high if both confidences are above 0.8, auto_emit from 0.85; a pinned row wins, a before b.
+    """
+    base = rows.select("id", "project", tx.has_negation(F.col("text")).alias("neg"), tx.word_set(tx.without_negations(F.col("text"))).alias("w")).where("size(w) > 0")
+    pairs = _prefix_pairs(base, threshold, "neg")
+    a, b = base.select("id", F.col("w").alias("wa")), base.select(F.col("id").alias("id2"), F.col("w").alias("wb"))
+    found = pairs.join(a, "id").join(b, "id2").withColumn("overlap", tx.overlap_max(F.col("wa"), F.col("wb"))).where(F.col("overlap") > threshold)
+    found = found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "overlap")
+    mark = lambda side: rows.select(F.col("id").alias(side), F.col("confidence").alias(f"c{side}"), F.col("pinned").alias(f"p{side}"))
+    both = found.join(mark("a"), "a").join(mark("b"), "b")
+    least = F.least("ca", "cb")
+    return both.select("a", "b", "overlap", F.when(least > 0.8, "high").otherwise("medium").alias("severity"), (least >= 0.85).alias("auto_emit"), F.when(F.col("pa"), F.col("a")).when(F.col("pb"), F.col("b")).alias("pinned_winner"))
 
 
 def link_sessions(sessions: DataFrame, hours: float = 168.0, least: int = 5) -> DataFrame:
@@ -98,18 +114,28 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     empty, unless all are null), greatest confidence, least first_seen."""
     norm = F.regexp_replace(F.lower(F.btrim("name")), r"[\s_-]+", "")
     g = entities.withColumn("_k", norm).withColumn("_o", F.struct("first_seen", "entity_id")).groupBy("_k", "type")
-    acls = F.collect_list(F.coalesce("acl_allow", F.array().cast("array<string>")))
-    return g.agg(
-        F.min_by("entity_id", "_o").alias("entity_id"), F.min_by("name", "_o").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_files")))).alias("source_files"),
-        F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.count("*").alias("merged"), F.count("acl_allow").alias("_acls"), acls.alias("_acl"),
-    ).withColumn("acl_allow", F.when(F.col("_acls") > 0, F.array_sort(F.reduce(F.slice("_acl", 2, 2_000_000), F.array_distinct(F.col("_acl")[0]), lambda a, b: F.array_intersect(a, b))))).drop("_k", "_acls", "_acl")
+    named = entities.withColumn("_k", norm).withColumn("_o", F.struct("first_seen", "entity_id"))
+    size = named.groupBy("_k", "type").agg(F.count("*").alias("_n"))
+    held = named.select("_k", "type", F.explode(F.array_distinct("acl_allow")).alias("_p")).groupBy("_k", "type", "_p").agg(F.count("*").alias("_c"))
+    common = held.join(size, ["_k", "type"]).where("_c = _n").groupBy("_k", "type").agg(F.array_sort(F.collect_list("_p")).alias("_acl"))  # who is in every ACL
+    out = named.groupBy("_k", "type").agg(
+        F.min_by("entity_id", "_o").alias("entity_id"), F.min_by("name", "_o").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_files")))).alias("source_files"),
+        F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.count("*").alias("merged"), F.count("acl_allow").alias("_acls"),
+    )
+    none = F.array().cast("array<string>")
+    return out.join(common, ["_k", "type"], "left").withColumn("acl_allow", F.when(F.col("_acls") > 0, F.coalesce("_acl", none))).drop("_k", "_acls", "_acl")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder (one of our own only where none is set)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder (one of our own only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """df in the shared checkpoint folder."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
-from engram.operators.fusion import minmax, top_k
+from engram.functions.vectors import cosine
+from engram.operators import filters as fl
+from engram.operators.fusion import minmax, parallel_gates, ranked, rerank, top_k
+from engram.operators.vector import nearest_in_pool
 
 K1, B = 1.5, 0.75
 #: Weights of where a block comes from. Fixed values.
@@ -22,9 +25,12 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), tx.tokenize(text).alias("tok"), tx.token_count(text).alias("n_tok"))
 
 
-def postings(tok: DataFrame) -> DataFrame:
-    """(id, term, tf, dl)"""
-    return tok.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(tok: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl), of the given terms only; one exchange, by id, that later groupings by id and more columns share."""
+    rows = tok.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_statistics(tok: DataFrame) -> DataFrame:
@@ -40,14 +46,15 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(tok: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of all pairs that share a term. allowed: ids that may be scored; statistics stay global."""
-    post = postings(tok).join(terms.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    post = postings(tok, terms)
+    df = post.groupBy("term").agg(F.count_if(F.col("tf") <= F.col("dl")).alias("df"))  # always true; both branches read the same columns, so the exchange is reused
     if allowed is not None:
         post = post.join(allowed, "id", "left_semi")
-    rows = terms.join(df, "term").join(post, "term").crossJoin(F.broadcast(corpus_statistics(tok)))  # the statistics are one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "id").agg(F.sum(F.col("qn") * idf * weight).alias("score"))
+    stats = F.broadcast(corpus_statistics(tok))  # one row
+    weighted = terms.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qn") * idf).alias("w"), "avgdl")
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return post.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * gain).alias("score"))
 
 
 def with_zeros(scores: DataFrame, queries: DataFrame, tok: DataFrame) -> DataFrame:
@@ -75,16 +82,22 @@ def hits_boost(hits: Column) -> Column:
 
 
 def recall_factors(blocks: DataFrame) -> DataFrame:
-    """blocks (id, source, project, content, recency_rank, hits) with the query-independent factor of the composite score."""
-    f = source_weight(F.col("source")) / (1 + F.col("recency_rank") * 0.01) * tx.boilerplate(F.col("content")) * tx.richness(F.col("content")) * hits_boost(F.col("hits"))
-    return blocks.withColumn("factor", f)
+    """blocks (id, source, project, content, recency_rank, hits) with the query-independent factors of the composite score."""
+    f = F.col("source_weight") / (1 + F.col("recency_rank") * 0.01) * F.col("boilerplate_penalty") * F.col("lexical_richness") * F.col("query_hits_boost")
+    parts = {"source_weight": source_weight(F.col("source")), "boilerplate_penalty": tx.boilerplate(F.col("content")), "lexical_richness": tx.richness(F.col("content")), "query_hits_boost": hits_boost(F.col("hits"))}
+    return blocks.withColumns(parts).withColumn("factor", f)
+
+
+FACTORS = ("source_weight", "boilerplate_penalty", "lexical_richness", "query_hits_boost")
 
 
 def composite_recall(scores: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Score x factor, doubled where the query names the block's project (four characters or more)."""
-    rows = scores.join(recall_factors(blocks).select("id", "file", "source", "project", "factor"), "id").join(queries.select("query_id", "text"), "query_id")
+    """Score x factor, doubled where the query names the block's project (four characters or more); with the factors and the raw score."""
+    rows = scores.join(recall_factors(blocks).select("id", "file", "source", "project", *FACTORS, "factor"), "id").join(queries.select("query_id", "text"), "query_id")
     named = (F.length("project") >= 4) & F.contains(F.lower("text"), F.lower("project"))
-    return rows.withColumn("score", F.col("score") * F.col("factor") * F.when(F.coalesce(named, F.lit(False)), 2.0).otherwise(1.0)).drop("text", "factor")
+    boost = F.when(F.coalesce(named, F.lit(False)), 2.0).otherwise(1.0)
+    rows = rows.withColumn("bm25_score", F.col("score")).withColumn("mention_boost", boost)
+    return rows.withColumn("score", F.col("score") * F.col("factor") * F.col("mention_boost")).drop("text", "factor")
 
 
 def best_per_file(scores: DataFrame) -> DataFrame:
@@ -93,11 +106,68 @@ def best_per_file(scores: DataFrame) -> DataFrame:
     return scores.where("score > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("score", F.round("score", 4))
 
 
-def recall(docs: DataFrame, queries: DataFrame, k: int, blocks: DataFrame) -> DataFrame:
-    """End to end: BM25, composite factors, best block for each file, top k of each query."""
-    tok = tokens(docs, "id", "content")
-    scores = bm25(tok, query_terms(queries, "query_id", "text"))
-    return top_k(best_per_file(composite_recall(scores, blocks, queries)), k)
+def in_scope(blocks: DataFrame, project: str | None, others: tuple[str, ...], room: str | None, ambient: bool) -> DataFrame:
+    """The blocks that may be recalled: no ambient traces unless asked for; of the project (or the others, or none) and room, where these are given."""
+    if "type" in blocks.columns and not ambient:
+        blocks = blocks.where(fl.not_ambient(F.col("type")))
+    if project is not None:
+        blocks = blocks.where(fl.in_project(F.col("project"), project, others))
+        if room is not None:
+            blocks = blocks.where(fl.in_room(F.col("sub_scope"), room))
+    return blocks
+
+
+def recall(
+    blocks: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, blend: str = "rrf", gates: bool = False, external: DataFrame | None = None,
+    project: str | None = None, others: tuple[str, ...] = (), room: str | None = None, ambient: bool = False, pool: int = 50, snippet: int = 1500,
+) -> DataFrame:
+    """Recall end to end for many queries: scope filters, BM25 over what is in scope, field boost (where blocks have `fields`), composite factors, best
+    block of each file, vector stage, gates, rerank, top k.
+
+    blocks: id, file, source, project, content, recency_rank, hits and, where used, type, sub_scope, fields. vectors: id, embedding; query_vectors: query_id, embedding;
+    external: query_id, id, ext. `pool` is how many files a query's later stages look at. Returns query_id, id, source, score, snippet, rank (from 0), the
+    explain columns and engaged_layers.
+    """
+    kept = in_scope(blocks, project, others, room, ambient)
+    terms = query_terms(queries, "query_id", "text")
+    scores = bm25(tokens(kept, "id", "content"), terms)
+    if "fields" in kept.columns:
+        scores = field_boost(scores, terms, kept.select("id", F.explode(F.flatten(F.transform("fields", tx.tokenize))).alias("term")))
+    found = top_k(best_per_file(composite_recall(scores, kept, queries)), pool)
+    layers = ["bm25"]
+    if vectors is not None and query_vectors is not None:
+        found = vector_stage(found, vectors, query_vectors, max(2 * k, 10), blend)
+        layers.append("embedding")
+        if gates:
+            near = nearest_in_pool(found.where("embedding IS NOT NULL"))
+            found = parallel_gates(found.join(near, ["query_id", "id"], "left").withColumns({"cosine": F.coalesce("cosine", F.lit(0.0)), "nearest": F.coalesce("nearest", F.lit(0.0))}))
+            layers.append("fusion_gates")
+    found = ranked(found, "fused" if "fused" in found.columns else "score")
+    if external is not None:
+        found = rerank(found, external, k).withColumn("rank", F.col("new_rank"))
+        layers.append("reranker")
+    text = kept.select("id", tx.trim_to_sentence(F.btrim("content", F.lit(" \t\n\r\f\x0b")), snippet).alias("snippet"))
+    shown = ["query_id", "id", "source", F.round("score", 6).alias("score"), "snippet", (F.col("rank") - 1).cast("int").alias("rank"), F.round("bm25_score", 4).alias("bm25_score"), "mention_boost", *FACTORS]
+    shown += [F.round("vector_score", 6).alias("vector_score")] if vectors is not None else []
+    return found.where(F.col("rank") <= k).join(text, "id").select(*shown, F.array(*[F.lit(x) for x in layers]).alias("engaged_layers"))
+
+
+def vector_stage(found: DataFrame, vectors: DataFrame, query_vectors: DataFrame, n: int, blend: str) -> DataFrame:
+    """found (ranked pools of query_id, id, score, rank) with embedding, cosine, vector_score (of the best n of a query's pool) and `fused`, by which to rank.
+
+    blend: 'rrf' (60) of the pool's order and the vector order, or 'linear' (0.4 min-max score + 0.6 cosine).
+    """
+    q = query_vectors.select("query_id", F.col("embedding").alias("_q"))
+    both = found.join(vectors.select("id", "embedding"), "id", "left").join(q, "query_id", "left")
+    both = both.withColumn("cosine", F.when(F.col("embedding").isNotNull() & F.col("_q").isNotNull(), cosine(F.col("embedding"), F.col("_q")))).drop("_q")
+    order = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc_nulls_last(), "id")
+    both = both.withColumn("_v", F.when(F.col("cosine").isNotNull(), F.row_number().over(order))).withColumn("_v", F.when(F.col("_v") <= n, F.col("_v")))
+    both = both.withColumn("vector_score", F.when(F.col("_v").isNotNull(), F.col("cosine")))
+    if blend == "linear":
+        fused = 0.4 * minmax("score", ["query_id"]) + 0.6 * F.greatest(F.coalesce("vector_score", F.lit(0.0)), F.lit(0.0))
+    else:
+        fused = 1.0 / (60 + F.col("rank")) + F.coalesce(1.0 / (60 + F.col("_v")), F.lit(0.0))
+    return both.withColumn("fused", fused).drop("_v")
 
 
 def full_text_search(rows: DataFrame, queries: DataFrame, columns: list[str], id_col: str) -> DataFrame:
@@ -106,6 +176,17 @@ def full_text_search(rows: DataFrame, queries: DataFrame, columns: list[str], id
     return bm25(tokens(joined, "id", "all"), query_terms(queries, "query_id", "text"))
 
 
+def search_by_recency(rows: DataFrame, queries: DataFrame, columns: list[str], id_col: str, newest: str, k: int) -> DataFrame:
+    """(query_id, id, rank): the k newest of the rows that match a query by a term; of all rows where none does."""
+    hits = full_text_search(rows, queries, columns, id_col).select("query_id", "id").join(rows.select(F.col(id_col).alias("id"), F.col(newest).alias("_t")), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("_t"), "id")
+    found = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank")
+    latest = rows.select(F.col(id_col).alias("id"), F.col(newest).alias("_t")).orderBy(F.desc("_t"), "id").limit(k)  # k rows
+    latest = latest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_t"), "id"))).select("id", "rank")
+    missed = queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(missed.crossJoin(F.broadcast(latest)))
+
+
 def cached_hybrid(lexical: DataFrame, vector: DataFrame, alpha: float) -> DataFrame:
     """alpha x min-max lexical (flat: 0) + (1 - alpha) x clamped cosine over the valid cached rows."""
     both = lexical.select("query_id", "id", F.col("score").alias("_l")).join(vector.select("query_id", "id", F.col("score").alias("_v")), ["query_id", "id"], "full_outer")
@@ -114,19 +195,30 @@ def cached_hybrid(lexical: DataFrame, vector: DataFrame, alpha: float) -> DataFr
 
 
 def session_relevance(blocks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """0.6 x share of the block's tags in the task + 0.4 x share of the task's words in the block, to six places."""
-    t = tasks.select("task_id", F.array_distinct(tx.tokenize(F.col("task"))).alias("_words"), tx.word_set(F.lower("task")).alias("_tags"))
-    b = blocks.select("id", F.array_distinct(F.transform("tags", F.lower)).alias("_btags"), F.array_distinct(tx.tokenize(F.col("content"))).alias("_bwords"))
-    both = t.crossJoin(b)  # a stated task set against all blocks
-    tag = F.when(F.size("_btags") > 0, F.size(F.array_intersect("_btags", "_tags")) / F.size("_btags")).otherwise(0.0)
-    word = F.when(F.size("_words") > 0, F.size(F.array_intersect("_bwords", "_words")) / F.size("_words")).otherwise(0.0)
-    return both.select("task_id", "id", F.round(0.6 * tag + 0.4 * word, 6).alias("score"))
+    """0.6 x share of the block's tags in the task + 0.4 x share of the task's words in the block, to six places; pairs that share neither are absent (they score 0).
+
+    Tasks meet blocks on a tag or word they share.
+    """
+    t = tasks.select("task_id", F.array_distinct(tx.tokenize(F.col("task"))).alias("words"), tx.word_set(F.lower("task")).alias("tags"))
+    b = blocks.select("id", F.array_distinct(F.transform("tags", F.lower)).alias("tags"), F.array_distinct(tx.tokenize(F.col("content"))).alias("words"))
+
+    def shared(column: str, n_of: DataFrame, key: str) -> DataFrame:
+        """Common entries of each pair, with how many the side `n_of` holds."""
+        left, right = t.select("task_id", F.explode(column).alias("x")), b.select("id", F.explode(column).alias("x"))
+        return left.join(right, "x").groupBy("task_id", "id").agg(F.count("*").alias("c")).join(n_of.select(key, F.size(column).alias("n")), key).select("task_id", "id", (F.col("c") / F.col("n")).alias(column))
+
+    both = shared("tags", b, "id").join(shared("words", t, "task_id"), ["task_id", "id"], "full_outer")
+    return both.select("task_id", "id", F.round(0.6 * F.coalesce("tags", F.lit(0.0)) + 0.4 * F.coalesce("words", F.lit(0.0)), 6).alias("score"))
 
 
 def best_block(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """The block that contains most of a query's distinct words as substrings; the first of equals. A stated query set against all blocks."""
-    q = queries.select("query_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("_w"))
-    both = blocks.withColumn("_t", F.lower("content")).crossJoin(q)
-    score = F.size(F.filter("_w", lambda w: F.contains(F.col("_t"), w))).cast("long")
-    best = both.select("query_id", "id", score.alias("score")).groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
+    """The block that contains most of a query's distinct words as substrings; the first of equals. A stated query set: its distinct words are
+    looked for in every block once, as a broadcast list if it is small."""
+    words = queries.select("query_id", F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("word"))
+    own = words.select("word").distinct()
+    held = blocks.select("id", F.lower("content").alias("_t")).join(own, F.contains(F.col("_t"), F.col("word"))).select("id", "word")
+    score = held.join(words, "word").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+    first = blocks.agg(F.min("id").alias("id")).withColumn("score", F.lit(0).cast("long"))  # one row: where no word occurs
+    every = score.unionByName(queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "id", "score"))
+    best = every.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
     return best.select("query_id", "b.id", "b.score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -12,10 +15,49 @@ from engram.functions.vectors import cosine
 from engram.operators.fusion import top_k
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each query of a stated set against all vectors but itself: (query_id, id, score, vectors' columns)."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    return vectors.crossJoin(q).where("id <> query_id").withColumn("score", cosine(F.col("_q"), F.col("embedding"))).drop("_q")
+#: Vectors and queries of one matrix product.
+SLICE, BLOCK = 8192, 2048
+
+
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a list column as a matrix; zero and null ones, and those of another length than the longest, are zero rows."""
+    size = pc.max(pc.list_value_length(column)).as_py() or 1
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+    m = np.zeros((len(column), size))
+    m[np.asarray(good)] = np.asarray(pc.fill_null(pc.list_flatten(column.filter(good)).cast(pa.float64()), 0.0)).reshape(-1, size)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest vectors (id, embedding) of each query (query_id, embedding) of a stated set, the query's own id left out, by cosine: (query_id, id, score, rank).
+
+    keys: columns of both; a query meets vectors of equal keys only. Exact: slices of vectors meet blocks of queries as matrix products, each pair
+    in a task of its own, and only a slice's best k of a query leave it. Counts both tables while it is called.
+    """
+    slices, blocks = 1 + vectors.count() // SLICE, 1 + queries.count() // BLOCK
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    v = vectors.select(*keys, "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.explode(number(blocks)).alias("block"))
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(number(slices)).alias("slice"))
+
+    def products(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"query_id": [], "id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            order = np.argsort(np.asarray(left["id"].combine_chunks()))
+            ids, own = np.asarray(left["id"].combine_chunks())[order], np.asarray(right["query_id"].combine_chunks())
+            x, y = unit_rows(left["embedding"])[order], unit_rows(right["asked"])
+            if x.shape[1] == y.shape[1]:
+                score = np.round(y @ x.T, 12)
+                if not keys:
+                    score[own[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so the smaller one wins ties
+                kept = np.take_along_axis(score, best, axis=1)
+                row, place = np.nonzero(np.isfinite(kept))
+                out = {"query_id": own[row], "id": ids[best[row, place]], "score": kept[row, place]}
+        return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in out.items()})
+
+    met = v.groupBy(*keys, "slice", "block").cogroup(q.groupBy(*keys, "slice", "block")).applyInArrow(products, "query_id long, id long, score double")
+    return top_k(met, k)
 
 
 def nearest_in_pool(pool: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from engram.functions import text as tx
 from engram.operators import filters as fl
 from engram.operators import graph as gr
 from engram.operators import joins as jn
+from engram.operators.joins import shared_folder
 from engram.plans.registry import query, table
 
 #: documents as records: ACLs of zero to two principals (null for one in five), a level, a project, a confidence.
@@ -113,10 +114,17 @@ def fl18(spark, sf):
     return e.select("event_id", (fl.lease_expiry(F.col("level"), F.col("ts")) > F.lit("2024-01-10").cast("timestamp_ntz")).alias("valid"))
 
 
-@query("fl19_secret_paths", "SELECT doc_id, doc_id % 4 IN (0, 1, 3) AS secret FROM documents")
+#: Paths of many kinds, made of the documents' words and labels.
+PATHS = """WITH p AS (SELECT doc_id, [source || '/' || lang || '.py', 'home/.ssh/' || lang, source || '/.env', source || '/.env.' || lang, 'keys/' || lang || '.pem', 'a/.aws/' || source, lang || '/id_rsa', source || '/environment.md', 'secrets/' || lang || '.txt', source || '/x.KEY'][1 + doc_id % 10] AS path FROM documents)"""
+
+
+@query("fl19_secret_paths", PATHS + """, q AS (SELECT doc_id, path, string_split(path, '/')[:-2] AS dirs, string_split(path, '/')[-1] AS base FROM p)
+SELECT doc_id, path, len(list_filter(dirs, lambda x: lower(x) IN ('.ssh', '.aws', '.gnupg', 'secrets'))) > 0 OR lower(base) = '.env' OR lower(base) LIKE '.env.%' OR lower(base) LIKE 'id!_rsa%' ESCAPE '!' OR lower(base) LIKE '%.pem' OR lower(base) LIKE '%.key' OR lower(base) LIKE 'credentials%' AS secret FROM q""")
 def fl19(spark, sf):
-    path = F.when(F.col("doc_id") % 4 == 0, "home/.ssh/id_rsa").when(F.col("doc_id") % 4 == 1, F.concat("source", F.lit("/.env.local"))).when(F.col("doc_id") % 4 == 2, F.concat("source", F.lit("/notes.md")))
-    return table(spark, sf, "documents").select("doc_id", fl.is_secret_path(path).alias("secret"))
+    lang, source = F.col("lang"), F.col("source")
+    kinds = F.array(F.concat(source, F.lit("/"), lang, F.lit(".py")), F.concat(F.lit("home/.ssh/"), lang), F.concat(source, F.lit("/.env")), F.concat(source, F.lit("/.env."), lang), F.concat(F.lit("keys/"), lang, F.lit(".pem")), F.concat(F.lit("a/.aws/"), source), F.concat(lang, F.lit("/id_rsa")), F.concat(source, F.lit("/environment.md")), F.concat(F.lit("secrets/"), lang, F.lit(".txt")), F.concat(source, F.lit("/x.KEY")))
+    d = table(spark, sf, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 10).cast("int")).alias("path"))
+    return d.select("doc_id", "path", fl.is_secret_path(F.col("path")).alias("secret"))
 
 
 @query("fl20_admission_gate", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN len(w) <= 20 THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, least(1.0::DOUBLE, len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) / 0.2::DOUBLE)) END AS r FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]{2,}') AS w FROM documents)) WHERE r >= 0.9")
@@ -169,15 +177,18 @@ def jn2(spark, sf):
     return jn.recent_duplicates(e.where("id % 2 = 1"), e.where("id % 2 = 0"), 50, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("jn3_contradictions", r"""WITH t AS (SELECT doc_id AS id, source AS project, (doc_id % 10) / 10 AS confidence, doc_id % 2 = 0 AS neg, list_distinct(list_filter(regexp_split_to_array(lower(left(t, 60)), '\s+'), lambda x: x <> '')) AS w
-FROM (SELECT *, regexp_replace(text, '(?i)[a-z]*[^\x00-\x7F][^\s]*|\b(not|never|no)\b', '', 'g') AS t FROM documents)),
-p AS (SELECT id, project, neg, confidence, len(w) AS n, unnest(w) AS x FROM t), c AS (SELECT a.id AS i, b.id AS j, count(*) / any_value(greatest(a.n, b.n)) AS o, any_value(least(a.confidence, b.confidence)) AS m FROM p a JOIN p b ON a.project = b.project AND a.x = b.x AND a.neg AND NOT b.neg GROUP BY ALL)
-SELECT least(i, j) AS a, greatest(i, j) AS b, round(o, 6) AS overlap, CASE WHEN m > 0.8 THEN 'high' ELSE 'medium' END AS severity, m >= 0.85 AS auto_emit FROM c WHERE o > 0.1""")
+NEG = r"(^|[^\p{L}\p{N}_])(not|never|no|isn''t|aren''t|doesn''t|don''t|won''t|cannot|can''t)($|[^\p{L}\p{N}_])"
+
+
+@query("jn3_contradictions", rf"""WITH t AS (SELECT doc_id AS id, source AS project, (doc_id % 10) / 10 AS confidence, doc_id % 7 = 0 AS pinned, regexp_matches(lower(text), '{NEG}') AS neg,
+list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '{NEG}', '\1\3', 'g'), '{NEG}', '\1\3', 'g'), '\s+'), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT id, project, neg, confidence, len(w) AS n, unnest(w) AS x FROM t), c AS (SELECT a.id AS i, b.id AS j, count(*) / any_value(greatest(a.n, b.n)) AS o, any_value(least(a.confidence, b.confidence)) AS m FROM p a JOIN p b ON a.project = b.project AND a.x = b.x AND a.neg AND NOT b.neg GROUP BY ALL),
+r AS (SELECT least(i, j) AS a, greatest(i, j) AS b, o, m FROM c WHERE o > 0.4)
+SELECT a, b, round(o, 6) AS overlap, CASE WHEN m > 0.8 THEN 'high' ELSE 'medium' END AS severity, m >= 0.85 AS auto_emit, CASE WHEN a % 7 = 0 THEN a WHEN b % 7 = 0 THEN b END AS pinned_winner FROM r""")
 def jn3(spark, sf):
     d = table(spark, sf, "documents")
-    t = F.substring(F.regexp_replace("text", r"(?i)[a-z]*[^\x00-\x7F][^\s]*|\b(not|never|no)\b", ""), 1, 60)
-    rows = d.select(F.col("doc_id").alias("id"), F.col("source").alias("project"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.concat(F.when(F.col("doc_id") % 2 == 0, "never ").otherwise(""), t).alias("text"))
-    return jn.contradictions(rows, 0.1).withColumn("overlap", F.round("overlap", 6))
+    rows = d.select(F.col("doc_id").alias("id"), F.col("source").alias("project"), ((F.col("doc_id") % 10) / 10).alias("confidence"), (F.col("doc_id") % 7 == 0).alias("pinned"), "text")
+    return jn.contradictions(rows).withColumn("overlap", F.round("overlap", 6))
 
 
 SESS = r"""WITH ses AS (SELECT conv_id AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id * 20 AS INTEGER)) AS ts, list_distinct(flatten(list(list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9_]{2,}'), lambda x: lower(x))))) AS v FROM conversations GROUP BY conv_id)
@@ -201,9 +212,9 @@ def jn4(spark, sf):
     return links(spark, sf)
 
 
-@query("jn5_co_work", "WITH s AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_custkey % 50 AS e FROM orders WHERE o_custkey < 100) SELECT DISTINCT least(a.e, b.e) AS a, greatest(a.e, b.e) AS b FROM s a JOIN s b ON a.id < b.id AND a.e <> b.e AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 48 * 3600 * 1000000::BIGINT")
+@query("jn5_co_work", "WITH s AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_custkey % 50 AS e FROM orders) SELECT DISTINCT least(a.e, b.e) AS a, greatest(a.e, b.e) AS b FROM s a JOIN s b ON a.id < b.id AND a.e <> b.e AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 48 * 3600 * 1000000::BIGINT")
 def jn5(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey < 100")
+    o = table(spark, sf, "orders")
     return jn.co_work(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts")), o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("entity")))
 
 
@@ -219,10 +230,10 @@ def jn7(spark, sf):
     return refs.join(table(spark, sf, "documents").select("doc_id"), "doc_id").distinct()
 
 
-@query("jn8_session_records", "WITH k AS (SELECT user_id, ts, CAST(props->>'$.k' AS BIGINT) AS k FROM events), m AS (SELECT doc_id AS k, lang FROM documents WHERE doc_id < 60) SELECT user_id, array_to_string(list_sort(list_distinct(list(lang) FILTER (lang IS NOT NULL))), ',') AS vocabulary, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM k LEFT JOIN m USING (k) GROUP BY 1")
+@query("jn8_session_records", "WITH k AS (SELECT user_id, ts, CAST(props->>'$.k' AS BIGINT) AS k FROM events), m AS (SELECT doc_id AS k, lang FROM documents) SELECT user_id, array_to_string(list_sort(list_distinct(list(lang) FILTER (lang IS NOT NULL))), ',') AS vocabulary, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM k LEFT JOIN m USING (k) GROUP BY 1")
 def jn8(spark, sf):
     e = table(spark, sf, "events").select("user_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    m = table(spark, sf, "documents").where("doc_id < 60").select(F.col("doc_id").alias("k"), "lang")
+    m = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), "lang")
     return e.join(m, "k", "left").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("vocabulary"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
@@ -352,10 +363,19 @@ def hits(spark, sf):
     return ranked(sessions(spark, sf).select((F.col("id") % 10).alias("query_id"), "id", (1.0 / (1 + F.col("id"))).alias("score")))
 
 
-@query("gr4_query_expansion", EDGE + " SELECT DISTINCT h.id AS query, b AS node FROM (SELECT id FROM ses WHERE id % 4 = 0) h JOIN e ON a = h.id WHERE b % 4 <> 0")
+#: Words of the sessions' vocabularies as entities: the node is a session, its name its least word (every third written as a call), and a session's confidence cycles.
+NAMED = EDGE + """, en AS (SELECT id AS node, list_min(v) AS name, CASE WHEN id % 5 = 0 THEN 0.6 ELSE 0.9 END AS confidence FROM ses WHERE list_min(v) IS NOT NULL), ok AS (SELECT * FROM en WHERE confidence >= 0.7),
+qn AS (SELECT DISTINCT item_id AS query_id, text, node FROM benchmark JOIN ok ON regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || name || '($|[^\\p{L}\\p{N}_])')),
+nb AS (SELECT query_id, ok.name AS term, min(struct_pack(node := qn.node, b := e.b)) AS o FROM qn JOIN e ON e.a = qn.node JOIN ok ON ok.node = e.b WHERE NOT contains(lower(text), ok.name) GROUP BY ALL),
+ex AS (SELECT query_id, string_agg(term, ' ' ORDER BY o.node, o.b) AS x FROM nb GROUP BY 1)"""
+
+
+@query("gr4_query_expansion", NAMED + " SELECT item_id AS query_id, text || coalesce(' ' || x, '') AS expanded FROM benchmark LEFT JOIN ex ON ex.query_id = item_id")
 def gr4(spark, sf):
-    q = sessions(spark, sf).where("id % 4 = 0").select(F.col("id").alias("node"))
-    return gr.edges_of(graph_edges(spark, sf), q).where("b % 4 <> 0").select(F.col("node").alias("query"), F.col("b").alias("node")).distinct()
+    word = F.array_min("vocabulary")
+    named = sessions(spark, sf).where(word.isNotNull()).select(F.col("id").alias("node"), F.when(F.col("id") % 3 == 0, F.concat(word, F.lit("()"))).otherwise(word).alias("name"), F.when(F.col("id") % 5 == 0, 0.6).otherwise(0.9).alias("confidence"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return gr.expand_queries(q, named, graph_edges(spark, sf))
 
 
 @query("gr5_score_boost", HITS + ", m AS (SELECT id, id % 6 AS entity FROM ses), k AS (SELECT DISTINCT query_id, query_id % 6 AS entity, 0.5 + query_id / 4 AS weight FROM h) SELECT h.query_id, h.id, round(score + CASE WHEN weight IS NULL THEN 0 ELSE least(weight * 0.1, 0.3) END, 6) AS score FROM h JOIN m USING (id) LEFT JOIN k ON k.query_id = h.query_id AND k.entity = m.entity")
@@ -404,9 +424,16 @@ def gr10(spark, sf):
     return table(spark, sf, "events").where("event_type = 'error' AND user_id % 4 = 2").orderBy(F.desc("ts"), "event_id").limit(30).select("event_id")
 
 
-@query("gr11_link_and_store", LINKS + " SELECT count(*) AS edges, count(DISTINCT source_id) AS later, count(DISTINCT target_id) AS earlier FROM l")
+@query("gr11_link_and_store", LINKS + """, i AS (SELECT id, left(sha256(CAST(id AS VARCHAR) || 'session' || 'p' || CAST(id % 3 AS VARCHAR)), 12) AS eid, 'p' || CAST(id % 3 AS VARCHAR) AS project FROM ses)
+SELECT left(sha256(s.eid || t.eid || 'PRECEDED_BY'), 12) AS edge_id, s.eid AS source_id, t.eid AS target_id, s.project AS acl, overlap, (SELECT count(*) FROM ses) AS sessions, (SELECT count(*) FROM l) AS edges_added FROM l JOIN i s ON s.id = source_id JOIN i t ON t.id = target_id""")
 def gr11(spark, sf):
-    return links(spark, sf).agg(F.count("*").alias("edges"), F.count_distinct("source_id").alias("later"), F.count_distinct("target_id").alias("earlier"))
+    e, n = shared_folder(spark, "edges"), shared_folder(spark, "entities")
+    ses = sessions(spark, sf).withColumn("project", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))
+    found = links(spark, sf)
+    gr.link_and_store(ses, found, n, e, dry_run=True)
+    for _ in range(2):  # storing again adds nothing
+        done = gr.link_and_store(ses, found, n, e)
+    return spark.read.parquet(e).select("edge_id", "source_id", "target_id", F.col("acl_allow")[0].alias("acl"), "overlap").crossJoin(F.broadcast(done.select("sessions", "edges_added")))
 
 
 @query("gr12_publish", "SELECT left(sha256(event_type || CAST(user_id % 9 AS VARCHAR)), 12) AS memory_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, count(*) AS published, count(DISTINCT user_id) AS agents FROM events GROUP BY 1")

@@ -9,6 +9,7 @@ from engram.operators import folds
 from engram.operators import lifecycle as lc
 from engram.operators.fusion import ranked
 from engram.plans.registry import query, table
+from engram.plans.retrieval import STOP
 
 MEM = """WITH mem AS (SELECT doc_id AS stem, lang AS project, text AS content, (doc_id % 11) / 10 AS importance, (doc_id % 50) / 10 AS salience, doc_id % 13 = 0 AS pinned, CASE WHEN doc_id % 17 = 0 THEN DATE '2026-01-10' ELSE DATE '2026-01-01' END AS last_decay,
 doc_id % 200 AS age, doc_id % 19 = 0 AS superseded, CASE WHEN doc_id % 3 = 0 THEN 'stale' ELSE 'active' END AS status FROM documents),
@@ -68,9 +69,9 @@ def lc6(spark, sf):
     return lc.override(mem(spark, sf), c, "stem", "importance", 0.0, 1.0).select("stem", F.round("importance", 6).alias("importance"))
 
 
-@query("lc7_decision_records", "SELECT doc_id, 'decision-' || left(sha256(text), 12) AS record_id, '[' || lang || '] ' || source AS title FROM documents WHERE doc_id % 5 = 0")
+@query("lc7_decision_records", "SELECT doc_id, 'decision-' || left(sha256(text), 12) AS record_id, '[' || lang || '] ' || source AS title FROM documents")
 def lc7(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.concat(F.lit("decision-"), F.substring(F.sha2("text", 256), 1, 12)).alias("record_id"), F.format_string("[%s] %s", "lang", "source").alias("title"))
 
 
@@ -79,9 +80,9 @@ def lc8(spark, sf):
     return mem(spark, sf).where("importance >= 0.8").select("stem", "project")
 
 
-@query("lc9_quarantine", """WITH a AS (SELECT user_id AS doc, ts, event_type = 'purchase' AS ok FROM events WHERE event_id % 37 = 0) SELECT doc, count(*) FILTER (NOT ok) AS failures, CASE WHEN bool_or(ok) THEN 'done' WHEN count(*) FILTER (NOT ok) >= 3 THEN 'exhausted' WHEN max(ts) + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-20' THEN 'retryable' ELSE 'waiting' END AS state FROM a GROUP BY 1""")
+@query("lc9_quarantine", """WITH a AS (SELECT event_id % 4001 AS doc, ts, event_type = 'purchase' AS ok FROM events) SELECT doc, count(*) FILTER (NOT ok) AS failures, CASE WHEN bool_or(ok) THEN 'done' WHEN count(*) FILTER (NOT ok) >= 3 THEN 'exhausted' WHEN max(ts) + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-20' THEN 'retryable' ELSE 'waiting' END AS state FROM a GROUP BY 1""")
 def lc9(spark, sf):
-    a = table(spark, sf, "events").where("event_id % 37 = 0").select(F.col("user_id").alias("doc"), "ts", (F.col("event_type") == "purchase").alias("ok"))
+    a = table(spark, sf, "events").select((F.col("event_id") % 4001).alias("doc"), "ts", (F.col("event_type") == "purchase").alias("ok"))
     return lc.quarantine(a, F.lit("2024-01-20").cast("timestamp_ntz")).select("doc", "failures", "state")
 
 
@@ -162,17 +163,28 @@ def ev3(spark, sf):
     return s.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
-@query("ev4_bootstrap_mean")
+#: Draws of 5000 resamples by hash, as the operator states them.
+BOOT = """, v AS (SELECT {x} AS x FROM {rows}), gr AS (SELECT list_sort(list(x)) AS xs, avg(x) AS mean, count(*) AS n FROM v), b AS (SELECT unnest(range(1, 5001)) AS b),
+bm AS (SELECT b, avg(xs[1 + CAST(('0x' || left(md5('7:' || CAST(b AS VARCHAR) || ':' || CAST(d AS VARCHAR)), 8)) AS BIGINT) % n]) AS m FROM b, (SELECT *, unnest(range(1, n + 1)) AS d FROM gr) GROUP BY b),
+e AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm) SELECT 'ndcg' AS grp, round(mean, 6) AS mean, n, round(low, 6) AS low, round(high, 6) AS high"""
+RIVAL = ", h2 AS (SELECT doc_id % 40 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY (doc_id * 104729) % 1009, doc_id) AS rank FROM documents), g2 AS (SELECT query_id, sum(gain / log2(rank + 1)) AS dcg FROM h2 JOIN j USING (query_id, id) WHERE rank <= 10 GROUP BY 1), m2 AS (SELECT query_id, coalesce(g2.dcg / ideal, 0) AS n2 FROM i LEFT JOIN g2 USING (query_id))"
+
+
+def interval(ci):
+    return ci.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
+
+
+@query("ev4_bootstrap_mean", EVAL + BOOT.format(x="ndcg", rows="m") + " FROM gr, e")
 def ev4(spark, sf):
-    return ev.bootstrap_mean(metrics(spark, sf).select(F.lit("ndcg").alias("grp"), F.col("ndcg").alias("x")), 500)
+    return interval(ev.bootstrap_mean(metrics(spark, sf).select(F.lit("ndcg").alias("grp"), F.col("ndcg").alias("x"))))
 
 
-@query("ev5_delta_verdict")
+@query("ev5_delta_verdict", EVAL + RIVAL + BOOT.format(x="n2 - ndcg", rows="m JOIN m2 USING (query_id)") + ", CASE WHEN n < 5 THEN 'insufficient' WHEN low > 0 THEN 'improved' WHEN high < 0 THEN 'regressed' ELSE 'parity' END AS verdict FROM gr, e")
 def ev5(spark, sf):
     a, b = metrics(spark, sf), metrics(spark, sf, 104729)
     d = a.select("query_id", F.col("ndcg").alias("x")).join(b.select("query_id", F.col("ndcg").alias("y")), "query_id")
-    ci = ev.bootstrap_mean(d.select(F.lit("ndcg").alias("grp"), (F.col("y") - F.col("x")).alias("x")), 500)
-    return ci.withColumn("verdict", ev.delta_verdict(F.col("low"), F.col("high"), F.col("n")))
+    ci = ev.bootstrap_mean(d.select(F.lit("ndcg").alias("grp"), (F.col("y") - F.col("x")).alias("x")))
+    return interval(ci.withColumn("verdict", ev.delta_verdict(F.col("low"), F.col("high"), F.col("n"))))
 
 
 PAIRS = "WITH p AS (SELECT user_id AS grp, value AS a, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), d AS (SELECT grp, round(a - b, 9) AS d FROM p WHERE b IS NOT NULL), r AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY grp, abs(d)) AS t FROM d WHERE d <> 0)"
@@ -237,19 +249,24 @@ def ev11(spark, sf):
 # --- ordered folds -----------------------------------------------------------
 
 
-@query("wn9_kept_rows", """WITH RECURSIVE o AS (SELECT user_id % 20 AS k, event_id, ts, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+@query("wn9_kept_rows", """WITH RECURSIVE o AS (SELECT user_id AS k, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f(k, n, last, event_id, kept) AS (SELECT k, n, ts, event_id, true FROM o WHERE n = 1 UNION ALL SELECT o.k, o.n, CASE WHEN epoch_us(o.ts) - epoch_us(f.last) > 1800000000 THEN o.ts ELSE f.last END, o.event_id, epoch_us(o.ts) - epoch_us(f.last) > 1800000000 FROM f JOIN o ON o.k = f.k AND o.n = f.n + 1) SELECT k, event_id FROM f WHERE kept""")
 def wn9(spark, sf):
-    e = table(spark, sf, "events").withColumn("k", F.col("user_id") % 20)
+    e = table(spark, sf, "events").withColumn("k", F.col("user_id"))
     return folds.kept_rows(e, ["k"], 1800)
 
 
-@query("wn11_rate_limit")
+@query("wn11_rate_limit", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, n, event_id, last, before, accepted) AS (SELECT user_id, n, event_id, t, CAST(NULL AS BIGINT), true FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, CASE WHEN coalesce(o.t - before >= 3600000000, true) THEN o.t ELSE last END, CASE WHEN coalesce(o.t - before >= 3600000000, true) THEN last ELSE before END, coalesce(o.t - before >= 3600000000, true) FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, event_id, accepted FROM f""")
 def wn11(spark, sf):
     return folds.rate_limited(table(spark, sf, "events"), "user_id", 2, 3600)
 
 
-@query("wn6_greedy_fit")
+@query("wn6_greedy_fit", """WITH RECURSIVE o AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 13 <> 0, -n_chars % 101, doc_id) AS n FROM documents),
+f(lang, n, used, doc_id, fits) AS (SELECT lang, n, CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END, doc_id, n_chars <= 20000 FROM o WHERE n = 1 UNION ALL SELECT o.lang, o.n, CASE WHEN used + n_chars <= 20000 THEN used + n_chars ELSE used END, o.doc_id, used + n_chars <= 20000 FROM f JOIN o ON o.lang = f.lang AND o.n = f.n + 1)
+SELECT lang, doc_id FROM f WHERE fits""")
 def wn6(spark, sf):
     d = table(spark, sf, "documents")
     return folds.greedy_fit(d, "lang", "n_chars", 20_000, [F.col("doc_id") % 13 != 0, -F.col("n_chars") % 101], "doc_id")
@@ -261,12 +278,17 @@ def rk24(spark, sf):
     return folds.chunk_state(e, "stream", "pos")
 
 
-@query("rk30_compaction")
+@query("rk30_compaction", r"""WITH t AS (SELECT item_id AS task_id, list_distinct(list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+')), lambda x: x NOT IN (""" + STOP + r"""))) AS w FROM benchmark WHERE item_id < 3),
+s AS (SELECT doc_id AS session, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS i, s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS g FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\r\f\x0b')) AS p FROM documents)) WHERE s <> ''),
+c AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+'))), w)) / len(w) ELSE 0 END AS score FROM s, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY session, task_id ORDER BY score, i) - 1 AS k, count(*) OVER (PARTITION BY session, task_id) AS n FROM c),
+h AS (SELECT *, max(score) FILTER (k = floor(n * 0.5)) OVER w AS high, max(score) FILTER (k = floor(n * 0.3)) OVER w AS mid FROM k WINDOW w AS (PARTITION BY session, task_id))
+SELECT task_id, session, string_agg(CASE WHEN score >= high THEN s ELSE '[summary] ' || left(s, 120) END, chr(10) || chr(10) ORDER BY i) AS text FROM h WHERE score > 0 AND (score >= high OR score >= mid) GROUP BY 1, 2""")
 def rk30(spark, sf):
     from engram.operators.compaction import compact
 
     c = table(spark, sf, "documents").select(F.col("doc_id").alias("session"), F.regexp_replace("text", "\n", "\n\n").alias("content"), F.col("lang").alias("project"))
-    task = table(spark, sf, "benchmark").where("item_id = 0").select(F.col("text").alias("task"))
+    task = table(spark, sf, "benchmark").where("item_id < 3").select(F.col("item_id").alias("task_id"), F.col("text").alias("task"))  # a stated set of tasks
     return compact(c, task, 0.5)
 
 

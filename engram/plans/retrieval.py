@@ -106,10 +106,26 @@ def rk6(spark, sf):
     return lx.best_per_file(composite(spark, sf)).select("query_id", "file", "id", "score")
 
 
-@query("rk7_recall", LEX + FACTORS + TOP.format(rows="bf", k=5))
+#: Recall end to end: blocks that aren't ambient traces, a vector for each block and query, gates, and external scores for every second block.
+RECALL = (LEX.replace("WITH docs AS (", "WITH docs0 AS (").replace("FROM documents),", "FROM documents), docs AS (SELECT * FROM docs0 WHERE id % 6 <> 0),") + FACTORS + """, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM bf QUALIFY place <= 50),
+em AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), pv AS (SELECT pool.*, a.x AS e, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN list_cosine_similarity(a.x, b.x) END AS cos FROM pool LEFT JOIN em a ON a.vec_id = pool.id LEFT JOIN em b ON b.vec_id = pool.query_id),
+vr AS (SELECT *, CASE WHEN cos IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC NULLS LAST, id) END AS v FROM pv),
+fu AS (SELECT *, 1.0 / (60 + place) + CASE WHEN v <= 10 THEN 1.0 / (60 + v) ELSE 0 END AS fused FROM vr),
+nr AS (SELECT a.query_id, a.id, max(list_cosine_similarity(a.e, b.e)) AS nearest FROM fu a JOIN fu b ON a.query_id = b.query_id AND a.id <> b.id WHERE a.e IS NOT NULL AND b.e IS NOT NULL GROUP BY ALL),
+ga AS (SELECT *, coalesce(cos, 0) >= 0.3 AND coalesce(nearest, 0) >= 0.3 AND 0.7 * coalesce(cos, 0) + 0.3 * CASE WHEN count(*) OVER w = 1 THEN 1 ELSE percent_rank() OVER (PARTITION BY query_id ORDER BY score) END >= 0.4 AS ok FROM fu LEFT JOIN nr USING (query_id, id) WINDOW w AS (PARTITION BY query_id)),
+kp AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM ga) WHERE ok OR NOT any_ok), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS fr FROM kp),
+ou AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN id % 2 = 0 THEN id % 13 END DESC NULLS LAST, fr) AS r FROM rr)
+SELECT query_id, id, round(score, 6) AS score, round(s.score, 4) AS bm25_score, CASE WHEN v <= 10 THEN round(cos, 6) END AS vector_score, CAST(r - 1 AS INTEGER) AS rank, 'bm25,embedding,fusion_gates,reranker' AS layers, left(regexp_replace(content, '^\\s+', ''), 20) AS snippet
+FROM (SELECT query_id, id, score, v, cos, r FROM ou WHERE r <= 5) o JOIN (SELECT query_id, id, score FROM s) s USING (query_id, id) JOIN (SELECT id, content FROM docs) d USING (id)""").replace("SELECT query_id, id, round(score, 6) AS score, round(s.score, 4)", "SELECT query_id, id, round(o.score, 6) AS score, round(s.score, 4)")
+
+
+@query("rk7_recall", RECALL)
 def rk7(spark, sf):
-    b = blocks(spark, sf)
-    return out(lx.recall(b, queries(spark, sf), 5, b), "query_id", "id", "rank", "score")
+    b = blocks(spark, sf).withColumn("type", F.when(F.col("id") % 6 == 0, "ambient_trace"))
+    v, q = table(spark, sf, "embeddings").select("vec_id", "embedding"), queries(spark, sf)
+    external = b.where("id % 2 = 0").select("id", (F.col("id") % 13).alias("ext")).crossJoin(F.broadcast(q.select("query_id")))  # a stated query set's external scores
+    found = lx.recall(b, q, 5, v.withColumnRenamed("vec_id", "id"), v.withColumnRenamed("vec_id", "query_id"), gates=True, external=external)
+    return found.select("query_id", "id", "score", "bm25_score", "vector_score", "rank", F.array_join("engaged_layers", ",").alias("layers"), F.substring("snippet", 1, 20).alias("snippet"))
 
 
 @query("rk8_recency_recall", "SELECT doc_id AS id, 0.5 AS score FROM documents ORDER BY doc_id DESC LIMIT 20")
@@ -138,13 +154,22 @@ def rk11(spark, sf):
 FTS = LEX.replace("text AS content", "text || ' ' || lang || ' ' || source AS content").replace(tok_sql("text") + " AS tok FROM documents", tok_sql("text || ' ' || lang || ' ' || source") + " AS tok FROM documents")
 
 
+NEWEST = FTS + ", m AS (SELECT query_id, id FROM s UNION ALL SELECT query_id, id FROM q, docs WHERE query_id NOT IN (SELECT query_id FROM s)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 1000 DESC, id) AS rank FROM m QUALIFY rank <= 5"
+
+
+@query("rk12_search_by_recency", NEWEST)
+def rk12_recency(spark, sf):
+    d = table(spark, sf, "documents").withColumn("updated", F.col("doc_id") % 1000)
+    return lx.search_by_recency(d, queries(spark, sf), ["text", "lang", "source"], "doc_id", "updated", 5)
+
+
 @query("rk12_full_text_search", FTS + TOP.format(rows="s", k=5))
 def rk12(spark, sf):
     return out(fu.top_k(lx.full_text_search(table(spark, sf, "documents"), queries(spark, sf), ["text", "lang", "source"], "doc_id"), 5), "query_id", "id", "rank", "score")
 
 
-#: Vector pools: queries are the vectors whose id is divisible by 100, candidates all others.
-VEC = """WITH a AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS y, label FROM embeddings),
+#: Vector pools: queries are the vectors whose id is divisible by 20, candidates all others.
+VEC = """WITH a AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS y, label FROM embeddings),
 v AS (SELECT query_id, id, label, list_cosine_similarity(x, y) AS score FROM a, b WHERE id <> query_id)
 """
 #: One pool of each query: its ten nearest with a score, a rank and a source weight.
@@ -152,19 +177,23 @@ POOL = VEC + """, pool AS (SELECT *, 1 + (id % 7) AS lex, 0.7 + (label % 4) * 0.
 """
 
 
-def vec_scores(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return ve.cosine_scores(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"))
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def vector_hits(spark, sf):
+    e = vectors(spark, sf)
+    return ve.vector_topk(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
 
 
 def pool(spark, sf):
-    p = fu.top_k(vec_scores(spark, sf), 10)
+    p = vector_hits(spark, sf).join(vectors(spark, sf), "id")
     return p.withColumn("lex", 1 + F.col("id") % 7).withColumn("source_weight", 0.7 + (F.col("label") % 4) * 0.1)
 
 
 @query("rk13_vector_topk", VEC + TOP.format(rows="v", k=10))
 def rk13(spark, sf):
-    return out(fu.top_k(vec_scores(spark, sf), 10), "query_id", "id", "rank", "score")
+    return out(vector_hits(spark, sf), "query_id", "id", "rank", "score")
 
 
 @query("rk14_lsh_search")
@@ -245,15 +274,15 @@ def rk23(spark, sf):
     return fu.fail_open(pool(spark, sf), F.col("score") >= 0.45).select("query_id", "id", "fallback")
 
 
-@query("rk25_materialise", VEC + """, i AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, (vec_id % 10) / 10 AS s, label % 2 AS store FROM embeddings WHERE vec_id % 50 = 1), st AS (SELECT vec_id, embedding::DOUBLE[] AS y, label % 2 AS store FROM embeddings WHERE vec_id % 50 = 2),
+@query("rk25_materialise", VEC + """, i AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, (vec_id % 10) / 10 AS s, label % 2 AS store FROM embeddings WHERE vec_id % 2 = 1), st AS (SELECT vec_id, embedding::DOUBLE[] AS y, label % 2 AS store FROM embeddings WHERE vec_id % 2 = 0),
 n AS (SELECT i.id, i.store, s, max(list_cosine_similarity(x, y)) AS nearest FROM i LEFT JOIN st ON st.store = i.store GROUP BY ALL), o AS (SELECT *, CASE WHEN s < 0.1 THEN 'below_score' WHEN coalesce(1 - nearest, 1) < 0.7 THEN 'not_novel' END AS o1 FROM n)
 SELECT id, coalesce(o1, CASE WHEN row_number() OVER (PARTITION BY store, o1 IS NULL ORDER BY round(s, 9) DESC, id) <= 3 THEN 'stored' ELSE 'evicted' END) AS outcome FROM o""")
 def rk25(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("store", F.col("label") % 2)
-    new = e.where("vec_id % 50 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), ((F.col("vec_id") % 10) / 10).alias("score"), "store")
-    old = e.where("vec_id % 50 = 2").select(F.col("embedding").alias("y"), "store")
-    near = new.join(old, "store", "left").groupBy("id", "store", "score").agg(F.max(F.when(F.col("y").isNotNull(), vx.cosine(F.col("x"), F.col("y")))).alias("nearest"))
-    return fu.materialise(near.withColumn("known", F.lit(False)), capacity=3, novelty=0.7).select("id", "outcome")
+    new = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), "embedding", ((F.col("vec_id") % 10) / 10).alias("s"), "store")
+    near = ve.vector_topk(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding", "store"), new, 1, ("store",))
+    items = new.join(near.select("query_id", F.col("score").alias("nearest")), "query_id", "left").select(F.col("query_id").alias("id"), "store", F.col("s").alias("score"), "nearest", F.lit(False).alias("known"))
+    return fu.materialise(items, capacity=3, novelty=0.7).select("id", "outcome")
 
 
 @query("rk26_composite_score", POOL + """SELECT query_id, id, round(least(greatest(0.25 * score + 0.18 * CASE WHEN max(lex) OVER w > min(lex) OVER w THEN (lex - min(lex) OVER w) / (max(lex) OVER w - min(lex) OVER w) ELSE 0.5 END + 0.15 * 0.7 + 0.08 * (1.0 / rank), 0.0), 1.0), 6) AS composite FROM pool WINDOW w AS (PARTITION BY query_id)""")
@@ -277,7 +306,7 @@ def rk28(spark, sf):
 
 @query("rk29_session_relevance", LEX + """, t AS (SELECT query_id, list_distinct(tok) AS w, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS g FROM q),
 bl AS (SELECT id, list_distinct([lower(project), lower(source), 'the']) AS g, list_distinct(tok) AS w FROM docs),
-r AS (SELECT query_id, id, round(0.6 * len(list_intersect(bl.g, t.g)) / len(bl.g) + CASE WHEN len(t.w) > 0 THEN 0.4 * len(list_intersect(bl.w, t.w)) / len(t.w) ELSE 0 END, 6) AS score FROM t, bl)""" + TOP.format(rows="r", k=5))
+r AS (SELECT query_id, id, round(0.6 * len(list_intersect(bl.g, t.g)) / len(bl.g) + CASE WHEN len(t.w) > 0 THEN 0.4 * len(list_intersect(bl.w, t.w)) / len(t.w) ELSE 0 END, 6) AS score FROM t, bl)""" + TOP.format(rows="(SELECT * FROM r WHERE score > 0)", k=5))
 def rk29(spark, sf):
     b = blocks(spark, sf).withColumn("tags", F.array(F.col("project"), F.col("source"), F.lit("the")))
     rel = lx.session_relevance(b, queries(spark, sf).select(F.col("query_id").alias("task_id"), F.col("text").alias("task")))

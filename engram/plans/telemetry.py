@@ -106,9 +106,8 @@ round(avg(cost_usd) / nullif(avg(CASE WHEN quality_verdict = 'pass' THEN 1.0 ELS
 FROM (SELECT *, duration_ms AS latency_ms FROM tele) GROUP BY 1, 2"""
 
 
-def observed(spark, sf, most: int | None = None):
-    rows = telemetry(spark, sf).withColumn("latency_ms", F.col("duration_ms"))
-    return t.observed_models(rows if most is None else rows.where(F.col("session_id") < most))
+def observed(spark, sf):
+    return t.observed_models(telemetry(spark, sf).withColumn("latency_ms", F.col("duration_ms")))
 
 
 @query("ag11_observed_models", BASE + OBSERVED)
@@ -180,13 +179,13 @@ def ag25(spark, sf):
     return rows.agg(F.count("*").alias("records"), F.round(F.avg(F.col("error").cast("double")), 6).alias("error_rate")).crossJoin(picked)
 
 
-@query("jn13_blend_priors", BASE + """, o AS (SELECT model_id, task_category, count(*) AS n, avg(CASE WHEN quality_verdict = 'pass' THEN 1.0 ELSE 0.0 END) AS q FROM tele WHERE session_id < 12 GROUP BY 1, 2),
+@query("jn13_blend_priors", BASE + """, o AS (SELECT model_id, task_category, count(*) AS n, avg(CASE WHEN quality_verdict = 'pass' THEN 1.0 ELSE 0.0 END) AS q FROM tele GROUP BY 1, 2),
 p AS (SELECT DISTINCT 'm' || CAST(user_id % 9 AS VARCHAR) AS model_id, 'c1' AS task_category, 0.5 AS prior FROM events)
 SELECT model_id, task_category, coalesce(n, 0) AS n, round(CASE WHEN q IS NULL THEN prior WHEN prior IS NULL OR n >= 10 THEN q ELSE (n * q + 10 * prior) / (n + 10) END, 6) AS quality_rate,
 CASE WHEN q IS NULL THEN 'prior' WHEN prior IS NULL OR n >= 10 THEN 'observed' ELSE 'blended' END AS source FROM o FULL JOIN p USING (model_id, task_category)""")
 def jn13(spark, sf):
     priors = table(spark, sf, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 9).cast("string")).alias("model_id"), F.lit("c1").alias("task_category"), F.lit(0.5).alias("quality_rate")).distinct()
-    return r(t.blend_priors(observed(spark, sf, 12), priors), quality_rate=6)
+    return r(t.blend_priors(observed(spark, sf), priors), quality_rate=6)
 
 
 @query("wn1_think_time", BASE + """SELECT event_id, CASE WHEN e IS NOT NULL THEN round(greatest(epoch_us(recorded_at) / 1000.0 - e, 0.0), 1) END AS think_ms FROM (SELECT *, lag(epoch_us(recorded_at) / 1000.0 + duration_ms) OVER (PARTITION BY session_id ORDER BY recorded_at, event_id) AS e FROM tele)""")

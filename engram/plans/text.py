@@ -48,9 +48,9 @@ def tx6(spark, sf):
     return docs(spark, sf).select("doc_id", tx.trim_to_sentence(F.col("text"), 200).alias("snippet"))
 
 
-@query("tx7_slug", r"SELECT doc_id, trim(left(regexp_replace(lower(trim(left(text, 60), E' \t\n\r\f\x0b')), '[^a-z0-9-]', '-', 'g'), 40), '-') AS slug FROM documents")
+@query("tx7_slug", r"SELECT doc_id, trim(left(regexp_replace(lower(trim(text, E' \t\n\r\f\x0b')), '[^a-z0-9-]', '-', 'g'), 40), '-') AS slug FROM documents")
 def tx7(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf).select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("tx8_project_of_stem", "SELECT doc_id, regexp_replace(regexp_replace(s, '^\\d{4}-\\d{2}-\\d{2}-', ''), '(^|-)session$', '') AS project FROM (SELECT doc_id, '2026-01-02-' || source || CASE WHEN doc_id % 2 = 0 THEN '-session' ELSE '' END AS s FROM documents)")

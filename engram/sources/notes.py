@@ -19,12 +19,17 @@ def scan_notes(spark: SparkSession, folders: dict[str, str], newest: int | None
         spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path).select(F.lit(label).alias("source"), "path", F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("content"))
         for label, path in folders.items()
     ]
-    files = reduce(DataFrame.unionByName, one).withColumn("_name", F.element_at(F.split("path", "/"), -1)).where(~F.col("_name").isin(*skip) & (F.btrim("content", F.lit(BLANK)) != ""))
-    files = files.withColumn("file_stem", F.regexp_replace("_name", r"\.md$", "")).drop("_name")
+    return choose_notes(reduce(DataFrame.unionByName, one), newest, skip)
+
+
+def choose_notes(files: DataFrame, newest: int | None = None, skip: tuple[str, ...] = ("MEMORY.md", "README.md")) -> DataFrame:
+    """files (source, path, mtime, content) with file_stem, without blank and index files; the newest N of each source if asked."""
+    named = files.withColumn("_name", F.element_at(F.split("path", "/"), -1)).where(~F.col("_name").isin(*skip) & (F.btrim("content", F.lit(BLANK)) != ""))
+    named = named.withColumn("file_stem", F.regexp_replace("_name", r"\.md$", "")).drop("_name")
     if newest is None:
-        return files
+        return named
     w = Window.partitionBy("source").orderBy(F.desc("mtime"), "path")
-    return files.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= newest).drop("_r")
+    return named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= newest).drop("_r")
 
 
 def _front(content: Column) -> Column:
@@ -159,7 +164,11 @@ def generic_export(rows: DataFrame) -> DataFrame:
     return as_json.unionByName(speaker_turns(plain, "conversation", "json"))
 
 
-PARSERS = {"mapping": mapping_export, "turn_pairs": turn_pair_export, "layered": layered_export, "generic": generic_export}
+#: Parsers by layout, provider and MIME type.
+PARSERS = {
+    "mapping": mapping_export, "turn_pairs": turn_pair_export, "layered": layered_export, "generic": generic_export, "chatgpt": mapping_export, "gemini": turn_pair_export, "deepseek": layered_export,
+    "application/json": generic_export, "text/plain": generic_export, "text/markdown": generic_export,
+}
 
 
 def ingest_conversation(messages: DataFrame, provider: str) -> DataFrame:
@@ -254,3 +263,8 @@ def file_states(index: DataFrame, incoming: DataFrame) -> DataFrame:
     both = now.join(index.select("path", F.col("sha256").alias("_old")), "path", "full_outer")
     state = F.when(F.col("_now").isNull(), "vanished").when(F.col("_old").isNull(), "new").when(F.col("_now") == F.col("_old"), "same").otherwise("changed")
     return both.select("path", state.alias("state"))
+
+
+def changed_files(index: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming rows that are new or changed against the index, with their state; unchanged ones aren't read again."""
+    return incoming.join(file_states(index, incoming).where("state IN ('new', 'changed')"), "path")

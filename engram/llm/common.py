@@ -56,8 +56,10 @@ def kept_in_worker(make: Callable, *args: Any, key: Any = None) -> Any:
     return _KEPT[key]
 
 
-def release() -> None:
-    """Give what a finished task's arrays held back to the system, so that reused Python workers stay small."""
+def release(kept: bool = False) -> None:
+    """Give what a finished task's arrays held back to the system, so that reused Python workers stay small; with what is kept, unless the operator uses it."""
+    if not kept:
+        _KEPT.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -173,7 +175,7 @@ _R_INV = pow(_R, -1, 1 << 64)
 BYTE_CODES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _R, U64), np.full(n, _R_INV, U64)
     up[0] = down[0] = 1

@@ -210,7 +210,7 @@ def _scanner(block, name: str, rest: list[str], text_col: str) -> Callable:
                 names.append(sorted(items.union(old_names[row])))
             kind = batch.schema
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(n_words, pa.int64()), pa.array(spans, kind.field("hit_spans").type), pa.array(names, kind.field("hit_items").type)], schema=kind)
-        release()
+        release(kept=True)
 
     return scan
 

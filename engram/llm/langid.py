@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, fresh, kept_in_worker, mix, powers, release, row_chunks, rows_of, slice_hashes, small_batches, table, words, written
 from engram.llm.pretokens import Memo
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of a word that is handled in a matrix of words of its length (a product of so many probabilities stays a float64).
 SHORT = 31
 #: Languages in one pass.
@@ -40,11 +40,11 @@ ROUNDS = 1
 #: No piece is rarer than this in a model.
 FLOOR = 1e-8
 #: Bytes of what a worker remembers of words.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 40 << 20
 #: Words whose pieces are summed at once.
-GROUP_WORDS = 60_000
+GROUP_WORDS = 40_000
 #: Distinct words that a training task holds before it hands their counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 250_000
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -267,7 +267,7 @@ def _expect(path: str, model: Callable[[], np.ndarray] | None, langs: int) -> Ca
                 sums += np.bincount(keys, weights=share, minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at // pieces.n, pa.int32()), pa.array(at % pieces.n, pa.int32()), pa.array(sums[at])], names=["lang", "piece", "n"])
-        release()
+        release(kept=True)
 
     return run
 
@@ -334,7 +334,7 @@ def _predictor(path: str, langs: list[str], shared, name: str, text: int) -> Cal
             mass = np.logaddexp(mass, np.logaddexp.reduce(total, axis=1))
             made = [pa.array(best, pa.string()), pa.array(np.maximum(top, high)), pa.array(mass)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *made], schema=batch.schema)
-        release()
+        release(kept=True)
 
     return run
 

@@ -86,6 +86,7 @@ def _signer(depth: int) -> Callable:
                 digest = [hashlib.blake2b(codes[bounds[r] : bounds[r + 1]].tobytes(), digest_size=16).digest() for r in rows.tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * TREES + 1, TREES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).take(pa.array(rows)), pa.array(np.diff(offsets)[rows]), pa.array(digest, pa.binary()), lists], names=["doc_id", "size", "digest", "keys"])
+        release()
 
     return run
 

@@ -14,7 +14,7 @@ from typing import Any
 
 import numpy as np
 
-from engram.llm.common import U64, byte_set, slice_hashes
+from engram.llm.common import U64, byte_set, row_chunks, slice_hashes
 
 #: Classes of bytes: 0 for other than ASCII, white space, letters, digits, punctuation (controls included).
 OTHER, SPACE, LETTER, DIGIT, PUNCT = range(5)
@@ -167,9 +167,19 @@ def by_row(sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def numbers_of(memo: Memo, data: np.ndarray, offsets: np.ndarray, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
     """(memo number of each piece, first piece of each row); encode(pieces) gives what is remembered of new ones."""
-    starts, ends, bounds = cut(data, offsets)
+    parts: list[tuple[np.ndarray, ...]] = []
+    first_piece, total = [np.zeros(1, np.int64)], 0
+    for row, _, part, at in row_chunks(data, offsets):
+        starts, ends, bounds = cut(part, at)
+        parts.append((starts + offsets[row], ends + offsets[row], slice_hashes(part, starts, ends)))
+        first_piece.append(bounds[1:] + total)
+        total += len(starts)
+    bounds = np.concatenate(first_piece)
+    if not total:
+        return np.zeros(0, np.int64), bounds
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts))
 
     def make(first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return encode([data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
 
-    return (memo.numbers(slice_hashes(data, starts, ends), make) if len(starts) else np.zeros(0, np.int64)), bounds
+    return memo.numbers(h, make), bounds

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, gram_hashes, group_count, part_of, row_chunks, slice_hashes, text_bytes, words
+from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, gram_hashes, group_count, part_of, release, row_chunks, slice_hashes, text_bytes, words
 
 PART_BYTES = 8 << 20
 #: Text bytes whose windows meet in one bucket, as packed strings if they survive the ranking.
@@ -149,6 +149,7 @@ def _rank_part(units: Units, buckets: int) -> Callable:
         cuts = np.flatnonzero(np.diff(to)) + 1
         names = to[np.concatenate([[0], cuts]).astype(int)] if len(to) else to
         hs, ns = (np.split(x, cuts) if len(to) else [] for x in (h, n))
+        release()
         return pa.table({"bucket": pa.array(names, pa.int32()), "_part": pa.array([part] * len(hs), pa.int32()), "hashes": pa.array([x.tobytes() for x in hs], pa.binary()), "counts": pa.array([x.tobytes() for x in ns], pa.binary())})
 
     return run
@@ -216,10 +217,13 @@ def _travel(units: Units, buckets: int) -> Callable:
                     texts.append(text)
         name = rows["_part"][0].as_py() if rows.num_rows else ranks["_part"][0].as_py()
         pack = zstandard.ZstdCompressor(level=1).compress
+        pending = seen = None
         made = [(b, name, np.array(heads, _HEAD).tobytes(), pack(b"".join(texts))) for b, (heads, texts) in out.items()]
         if known:
             made.append((name % buckets, name, np.array([(*x, 0) for x in known], _HEAD).tobytes(), None))
         cols = list(zip(*made)) or [(), (), (), ()]
+        out = made = None
+        release()
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "_part", "head", "text"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
     return run
@@ -240,6 +244,8 @@ def _judge(units: Units) -> Callable:
                 texts.append(unpack(text))
         if heads:
             runs.append(_repeats(units, np.concatenate(heads), np.concatenate(parts), np.frombuffer(b"".join(texts), np.uint8)))
+        heads = texts = None
+        release()
         part = np.concatenate([p for p, _ in runs])
         head = np.concatenate([x for _, x in runs])
         order = np.argsort(part, kind="stable")

@@ -111,7 +111,7 @@ def _encoder(path: str, pattern: str, end_id: int, added_tokens: bool) -> Callab
                 made = [batch.column(0).slice(at, rows), pa.array(np.full(rows, file, np.int32)), pa.array(np.arange(row, row + rows)), pa.array(np.diff(ends)), lists]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "file", "row", "n_tokens", "ids"])
                 at, row = at + rows, row + rows
-        release()
+        release(kept=True)
 
     return run
 

@@ -168,7 +168,7 @@ def is_wrapper(text: Column) -> Column:
 
 def category(text: Column) -> Column:
     """The category of most keyword hits in lower-cased plus original words; the first of equals; `other` without any."""
-    low, own = F.array_distinct(matches(F.lower(text), r"\b\w+\b")), F.array_distinct(matches(text, r"\b\w+\b"))
+    low, own = F.array_distinct(matches(F.lower(text), r"(?U)\b\w+\b")), F.array_distinct(matches(text, r"(?U)\b\w+\b"))
     hits = [F.size(F.array_intersect(low, _strings(k))) + F.size(F.array_intersect(own, _strings(k))) for k in CATEGORIES.values()]
     best = F.greatest(*hits)
     out = F.when(best <= 0, "other")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engram.operators import evaluation as ev
+from engram.operators import extraction as ex
 from engram.operators import folds
 from engram.operators import lifecycle as lc
 from engram.operators.fusion import ranked
@@ -272,10 +273,14 @@ def wn6(spark, sf):
     return folds.greedy_fit(d, "lang", "n_chars", 20_000, [F.col("doc_id") % 13 != 0, -F.col("n_chars") % 101], "doc_id")
 
 
-@query("rk24_chunk_state")
+@query("rk24_chunk_state", """WITH RECURSIVE o AS (SELECT label AS stream, vec_id AS pos, CASE WHEN vec_id % 5 <> 0 THEN embedding::DOUBLE[] END AS e, (vec_id % 10) / 10 AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+f(stream, n, pos, total, topic, drift) AS (SELECT stream, n, pos, score, list_transform(e, lambda v: v / 2), false FROM o WHERE n = 1
+UNION ALL SELECT o.stream, o.n, o.pos, total + o.score, CASE WHEN o.e IS NULL THEN topic WHEN topic IS NULL THEN list_transform(o.e, lambda v: v / (o.n + 1)) ELSE list_transform(list_zip(topic, o.e), lambda z: z[1] + (z[2] - z[1]) / (o.n + 1)) END,
+  o.e IS NOT NULL AND topic IS NOT NULL AND coalesce(list_cosine_similarity(topic, o.e) < 0.3, false) FROM f JOIN o ON o.stream = f.stream AND o.n = f.n + 1)
+SELECT stream, pos, n AS seen, round(total / n, 6) AS mean_score, drift, round(coalesce(sqrt(list_inner_product(topic, topic)), 0), 6) AS topic_norm FROM f""")
 def rk24(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("stream"), F.col("vec_id").alias("pos"), F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("embedding"), ((F.col("vec_id") % 10) / 10).alias("score"))
-    return folds.chunk_state(e, "stream", "pos")
+    return folds.chunk_state(e, "stream", "pos").withColumns({c: F.round(c, 6) for c in ("mean_score", "topic_norm")})
 
 
 @query("rk30_compaction", r"""WITH t AS (SELECT item_id AS task_id, list_distinct(list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+')), lambda x: x NOT IN (""" + STOP + r"""))) AS w FROM benchmark WHERE item_id < 3),
@@ -300,17 +305,35 @@ def rk31(spark, sf):
     return composite_score(rows).select("stem", F.round("composite", 6).alias("composite")).orderBy(F.desc("composite"), "stem").limit(10)
 
 
-@query("tx15_decisions")
-def tx15(spark, sf):
-    from engram.operators.extraction import decisions
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
-    c = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), F.concat(F.lit("We decided to "), F.col("text")).alias("content"))
-    return decisions(c, "doc", "content")
 
+def decisions_sql() -> str:
+    found = [(p, prose) for prose, patterns in ((False, ex.ANNOTATED), (True, ex.PROSE)) for p in patterns]
+    each = " UNION ALL ".join(f"SELECT doc, {i} AS p, {prose} AS prose, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM (SELECT doc, list_transform(regexp_extract_all(content, {quoted(p)}, 1), lambda v: trim(v)) AS x FROM c)" for i, (p, prose) in enumerate(found))
+    return f"""WITH c AS (SELECT conv_id || '/' || turn AS doc, CASE turn % 3 WHEN 0 THEN 'We decided to ' WHEN 1 THEN 'DECISION: ' ELSE '→ keep it' || chr(10) || 'Policy: ' END || text AS content FROM conversations), m AS ({each}),
+    g AS (SELECT * FROM m WHERE t <> '' AND (NOT prose OR (length(t) >= 25 AND NOT regexp_matches(t, {quoted(ex.TOPICS)})))), d AS (SELECT doc, t, min(struct_pack(p := p, k := k)) AS spot FROM g GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY length(t) DESC, spot.p, spot.k) AS n FROM d), w AS (SELECT a.* FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc = a.doc AND b.n < a.n AND contains(lower(b.t), lower(a.t))))
+    SELECT doc, t AS text, CAST(row_number() OVER (PARTITION BY doc ORDER BY n) AS INTEGER) AS i, 0.6::DOUBLE AS confidence FROM w QUALIFY i <= 50"""
+
+
+def negatives_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT doc, {i} AS p, unnest(x) AS what, unnest(y) AS why, generate_subscripts(x, 1) AS k FROM (SELECT doc, list_transform(regexp_extract_all(content, {quoted(p)}, 1), lambda v: trim(v)) AS x, list_transform(regexp_extract_all(content, {quoted(p)}, 2), lambda v: trim(coalesce(v, ''))) AS y FROM c)" for i, p in enumerate(ex.NEGATIVE))
+    return f"""WITH c AS (SELECT conv_id || '/' || turn AS doc, 'We tried ' || left(text, 30) || ' but it failed because ' || text AS content FROM conversations), m AS ({each}),
+    f AS (SELECT * FROM m WHERE what <> '' QUALIFY row_number() OVER (PARTITION BY doc, lower(what) ORDER BY p, k) = 1)
+    SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY p, k) AS INTEGER) AS i, what, why, 0.7::DOUBLE AS confidence FROM f QUALIFY i <= 30"""
 
-@query("tx16_negatives")
-def tx16(spark, sf):
-    from engram.operators.extraction import negatives
 
+@query("tx15_decisions", decisions_sql())
+def tx15(spark, sf):
+    m = F.col("turn") % 3
+    lead = F.when(m == 0, "We decided to ").when(m == 1, "DECISION: ").otherwise("→ keep it\nPolicy: ")
+    c = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), F.concat(lead, F.col("text")).alias("content"))
+    return ex.decisions(c, "doc", "content")
+
+
+@query("tx16_negatives", negatives_sql())
+def tx16(spark, sf):
     c = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), F.concat(F.lit("We tried "), F.substring("text", 1, 30), F.lit(" but it failed because "), F.col("text")).alias("content"))
-    return negatives(c, "doc", "content")
+    return ex.negatives(c, "doc", "content")

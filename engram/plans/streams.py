@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from engram.plans.governance import LINKS
 from engram.plans.registry import query, table
 from engram.streaming import operators as st
 
@@ -68,7 +69,10 @@ def st5(spark, sf):
     return drained(spark, st.kept_rows(stream(spark, sf), "user_id", 7200)).where("accepted").select("key", "event_id")
 
 
-@query("st6_rate_limit")
+@query("st6_rate_limit", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, n, event_id, last, before, accepted) AS (SELECT user_id, n, event_id, t, CAST(NULL AS BIGINT), true FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, CASE WHEN coalesce(o.t - before >= 3600000000, true) THEN o.t ELSE last END, CASE WHEN coalesce(o.t - before >= 3600000000, true) THEN last ELSE before END, coalesce(o.t - before >= 3600000000, true) FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id AS key, event_id, accepted FROM f""")
 def st6(spark, sf):
     return drained(spark, st.rate_limit(stream(spark, sf), "user_id", 2, 3600))
 
@@ -90,7 +94,7 @@ def st9(spark, sf):
     return drained(spark, st.every_n(stream(spark, sf), "event_type", 50))
 
 
-@query("st10_incremental_links")
+@query("st10_incremental_links", LINKS + " SELECT source_id, target_id, overlap, delta_hours, left(sha256(source_id || '' || target_id || 'PRECEDED_BY'), 12) AS edge_id FROM l")
 def st10(spark, sf):
     from engram.plans.governance import sessions
 

@@ -98,9 +98,22 @@ def tx14(spark, sf):
     return so.session_keywords(table(spark, sf, "conversations"), 5, ("the", "and"))
 
 
-@query("tx14_session_category")
+def category_sql() -> str:
+    """The category rule as SQL over t(conv_id, t)."""
+    words = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in tx.CATEGORIES.items()}
+    counts = ", ".join(f"len(list_intersect(low, {w})) + len(list_intersect(own, {w})) AS {k}" for k, w in words.items())
+    return f"""WITH t AS (SELECT conv_id, string_agg(text || CASE turn % 4 WHEN 0 THEN ' plan Sprint' WHEN 1 THEN ' KeyError' WHEN 2 THEN '' ELSE ' api endpoint design' END, ' ' ORDER BY turn) FILTER (conv_id % 4 <> 3 OR turn = 0) AS t FROM conversations GROUP BY 1),
+    w AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS low, list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS own FROM t), c AS (SELECT conv_id, {counts} FROM w)
+    SELECT conv_id, CASE WHEN greatest({", ".join(words)}) <= 0 THEN 'other' {" ".join(f"WHEN {k} = greatest({', '.join(words)}) THEN '{k}'" for k in words)} END AS category FROM c"""
+
+
+@query("tx14_session_category", category_sql())
 def tx14b(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("t")).select("conv_id", tx.category(F.col("t")).alias("category"))
+    m = F.col("turn") % 4
+    more = F.when(m == 0, " plan Sprint").when(m == 1, " KeyError").when(m == 2, "").otherwise(" api endpoint design")
+    c = table(spark, sf, "conversations").where("conv_id % 4 <> 3 OR turn = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("text", more).alias("t")))).alias("s"))
+    every = table(spark, sf, "conversations").select("conv_id").distinct().join(c, "conv_id", "left")
+    return every.select("conv_id", tx.category(F.array_join(F.transform("s", lambda x: x["t"]), " ")).alias("category"))
 
 
 @query("tx17_key_lines", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'NOTE: ' || replace(left(text, 80), chr(10), ' ') || chr(10) ELSE '' END || text AS t FROM documents), f AS (SELECT doc_id, trim(unnest(regexp_extract_all(t, '(?im)^NOTE:\s*(.{10,300})', 1))) AS x FROM d WHERE length(trim(t)) >= 20)
@@ -232,10 +245,11 @@ def src8(spark, sf):
     return o.where(so.in_days(F.col("o_orderdate"), "1996-03-01", "1996-03-31")).select("o_orderkey")
 
 
-@query("src12_generic_turns")
+@query("src12_generic_turns", r"""SELECT conv_id, turn + 1 AS turn, CASE WHEN turn % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, trim(text, E' \t\n\r\f\x0b') AS content FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text FROM conversations) WHERE trim(text, E' \t\n\r\f\x0b') <> ''""")
 def src12(spark, sf):
-    c = table(spark, sf, "conversations")
-    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), t["text"])), "\n").alias("text"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    who = lambda i: F.when(i % 3 == 0, "User").when(i % 3 == 1, "assistant").otherwise("MODEL")
+    texts = c.select("conv_id", F.array_join(F.transform("t", lambda t, i: F.concat(who(i), F.lit(": "), t["text"])), "\n").alias("text"))
     return so.speaker_turns(texts, "conv_id", "text")
 
 

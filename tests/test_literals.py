@@ -225,3 +225,33 @@ def test_sinks(spark, tmp_path):
 def test_decay_bounds(spark):
     m = spark.createDataFrame([(0.9, 1.0, False, None), (0.1, 0.01, False, None), (0.5, 2.0, True, None)], "importance double, salience double, pinned boolean, last_decay date")
     assert [r["outcome"] for r in lifecycle.decay(m, 1, "2026-01-01").collect()] == ["decayed", "archived", "pinned"]
+
+
+def test_decisions_that_differ_in_case(spark):
+    from engram.operators.extraction import decisions
+
+    text = "DECISION: Use Redis cluster for caching\nDECISION: use redis cluster for caching\nNOTE: Use Redis cluster"
+    got = decisions(spark.createDataFrame([(1, text)], "doc long, content string"), "doc", "content").collect()
+    assert [(r["i"], r["text"]) for r in got] == [(1, "Use Redis cluster for caching")]
+
+
+def test_query_expansion(spark):
+    q = spark.createDataFrame([(1, "Ask the RouterNode now"), (2, "router nodes"), (3, "load_file is old")], "query_id long, text string")
+    e = spark.createDataFrame([(1, "RouterNode", 0.9), (2, "load_file()", 0.8), (3, "Cache", 0.9), (4, "Weak", 0.5), (5, "the", 0.9)], "node long, name string, confidence double")
+    edges = spark.createDataFrame([("a", 1, 2), ("b", 3, 1), ("c", 1, 4), ("d", 5, 1), ("e", 2, 1)], "edge_id string, source_id long, target_id long")
+    got = {r["query_id"]: r["expanded"] for r in graph.expand_queries(q, e, edges).collect()}
+    assert got == {1: "Ask the RouterNode now load_file Cache", 2: "router nodes", 3: "load_file is old RouterNode"}
+
+
+def test_pinned_contradiction(spark):
+    rows = [(1, "p", 0.9, False, "we never use the red cache here"), (2, "p", 0.95, True, "we use the red cache here"), (3, "q", 0.9, False, "we use the red cache here"), (4, "p", 0.5, False, "nothing like it at all")]
+    got = joins.contradictions(spark.createDataFrame(rows, "id long, project string, confidence double, pinned boolean, text string")).collect()
+    assert [(r["a"], r["b"], r["overlap"], r["severity"], r["auto_emit"], r["pinned_winner"]) for r in got] == [(1, 2, 1.0, "high", True, 2)]
+
+
+def test_entities_with_one_acl_each(spark):
+    e = spark.createDataFrame([(i, "Node A", "t", ["f"], 0.5, i, ["a", f"b{i}"]) for i in range(5)] + [(9, "node-a", "t", ["g"], 0.7, 9, None)], "entity_id long, name string, type string, source_files array<string>, confidence double, first_seen long, acl_allow array<string>")
+    [r] = joins.merge_entities(e).collect()
+    assert (r["entity_id"], r["merged"], r["acl_allow"], r["source_files"]) == (0, 6, [], ["f", "g"])
+    [r] = joins.merge_entities(e.where("acl_allow IS NOT NULL")).collect()
+    assert r["acl_allow"] == ["a"]

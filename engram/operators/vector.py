@@ -82,7 +82,7 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFram
     return top_k(hits if allowed is None else hits.join(allowed, "id", "left_semi"), k)
 
 
-def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, clusters: int = 16, visits: int = 6) -> DataFrame:
+def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, clusters: int = 16, visits: int = 12) -> DataFrame:
     """k-means by cosine; a query looks at the vectors of its nearest clusters."""
     v, q = _unit(vectors), _unit(queries)
     model = KMeans(k=clusters, featuresCol="unit", predictionCol="cluster", distanceMeasure="cosine", seed=1, maxIter=10).fit(v)

@@ -36,10 +36,10 @@ def drained(spark, df):
     return st.run_now(df, f"{at}/out", f"{at}/log")
 
 
-@query("st1_publish_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events)")
+@query("st1_publish_dedup", "SELECT DISTINCT event_type, user_id FROM events")
 def st1(spark, sf):
     s = stream(spark, sf).withColumn("content", F.concat("event_type", F.col("user_id").cast("string")))
-    return drained(spark, st.publish(s, watermark="3650 days").select("event_type", "user_id")).agg(F.count("*").alias("n"))
+    return drained(spark, st.publish(s, watermark="3650 days").select("event_type", "user_id"))
 
 
 @query("st2_subscribe", "SELECT event_id FROM events WHERE user_id % 4 = 1 AND event_id > 100")
@@ -84,9 +84,13 @@ def st7(spark, sf):
     return out.join(F.broadcast(end), out["first_day"] < end["e"]).drop("e")
 
 
-@query("st8_sessions")
+@query("st8_sessions", """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM o),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, count(*) AS n FROM g GROUP BY user_id, g) SELECT user_id AS principal_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS end, n FROM s WHERE b <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def st8(spark, sf):
-    return drained(spark, st.sessions(stream(spark, sf), "6 hours"))
+    out = drained(spark, st.sessions(stream(spark, sf), "6 hours"))
+    closed = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL '1' HOUR")).alias("w"))  # what the watermark has passed
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.join(F.broadcast(closed), out["end"] <= closed["w"]).select("principal_id", day("start"), day("end"), "n")
 
 
 @query("st9_every_n", "SELECT event_type AS scope, count(*) AS count FROM events GROUP BY 1 HAVING count(*) >= 50")

@@ -208,7 +208,16 @@ def ev6p(spark, sf):
     return ev.signed_rank_p(ev.signed_rank(pairs(spark, sf)))
 
 
-@query("ev7_greedy_matches")
+BOW = r"""WITH w AS (SELECT conv_id AS file, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations), b AS (SELECT file, turn, w, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT file, turn, sqrt(sum(c * c)) AS n FROM b GROUP BY ALL),
+s AS (SELECT x.file, x.turn AS i, y.turn AS j, sum(x.c * y.c) / any_value(p.n) / any_value(q.n) AS sim FROM b x JOIN b y ON x.file = y.file AND x.w = y.w AND x.turn % 2 = 0 AND y.turn % 2 = 1 JOIN n p ON p.file = x.file AND p.turn = x.turn JOIN n q ON q.file = y.file AND q.turn = y.turn GROUP BY ALL)"""
+
+
+MATCHES = BOW.replace("WITH w AS", "WITH RECURSIVE w AS") + """, o AS (SELECT file, i, j, row_number() OVER (PARTITION BY file ORDER BY round(sim, 9) DESC, i, j) AS n FROM s WHERE sim >= 0.2),
+f(file, n, a, b) AS (SELECT file, n, [i], [j] FROM o WHERE n = 1 UNION ALL SELECT o.file, o.n, CASE WHEN list_contains(a, o.i) OR list_contains(b, o.j) THEN a ELSE list_append(a, o.i) END, CASE WHEN list_contains(a, o.i) OR list_contains(b, o.j) THEN b ELSE list_append(b, o.j) END FROM f JOIN o ON o.file = f.file AND o.n = f.n + 1),
+t AS (SELECT file, max(len(a)) AS tp FROM f GROUP BY 1) SELECT conv_id AS file, coalesce(any_value(tp), 0) AS tp, count(*) FILTER (turn % 2 = 1) - coalesce(any_value(tp), 0) AS fp, count(*) FILTER (turn % 2 = 0) - coalesce(any_value(tp), 0) AS fn FROM conversations LEFT JOIN t ON t.file = conv_id GROUP BY 1"""
+
+
+@query("ev7_greedy_matches", MATCHES)
 def ev7(spark, sf):
     c = table(spark, sf, "conversations")
     want = c.where("turn % 2 = 0").select(F.col("conv_id").alias("file"), F.col("turn").alias("i"), "text")
@@ -216,10 +225,6 @@ def ev7(spark, sf):
     return ev.greedy_matches(want, got, 0.2)
 
 
-BOW = r"""WITH w AS (SELECT conv_id AS file, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations), b AS (SELECT file, turn, w, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT file, turn, sqrt(sum(c * c)) AS n FROM b GROUP BY ALL),
-s AS (SELECT x.file, x.turn AS i, y.turn AS j, sum(x.c * y.c) / any_value(p.n) / any_value(q.n) AS sim FROM b x JOIN b y ON x.file = y.file AND x.w = y.w AND x.turn % 2 = 0 AND y.turn % 2 = 1 JOIN n p ON p.file = x.file AND p.turn = x.turn JOIN n q ON q.file = y.file AND q.turn = y.turn GROUP BY ALL)"""
-
-
 @query("ev8_missed_targets", BOW + " SELECT c.conv_id AS file, c.turn AS i, round(coalesce(max(sim), 0), 6) AS best FROM conversations c LEFT JOIN s ON s.file = c.conv_id AND s.i = c.turn WHERE c.turn % 2 = 0 GROUP BY ALL")
 def ev8(spark, sf):
     c = table(spark, sf, "conversations")

@@ -37,7 +37,10 @@ def tx4(spark, sf):
     return d.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join("c", "|").cast("binary")).alias("h"))
 
 
-@query("tx5_sentence_chunks")
+@query("tx5_sentence_chunks", r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, h) AS n, substr(x, CAST(h * 400 + 1 AS BIGINT), 400) AS piece FROM (SELECT doc_id, k, x, unnest(range(0, (length(x) - 1) // 400 + 1)) AS h FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS k FROM s))),
+f(doc_id, n, i, now) AS (SELECT doc_id, n, 0, piece FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, CASE WHEN length(now) + 1 + length(piece) <= 400 THEN i ELSE i + 1 END, CASE WHEN length(now) + 1 + length(piece) <= 400 THEN now || ' ' || piece ELSE piece END FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1)
+SELECT doc_id, i, arg_max(now, n) AS chunk FROM f GROUP BY doc_id, i""")
 def tx5(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"), 400)).alias("i", "chunk"))
 

@@ -16,6 +16,8 @@ from engram.operators.fusion import minmax, parallel_gates, ranked, rerank, top_
 from engram.operators.vector import nearest_in_pool
 
 K1, B = 1.5, 0.75
+#: Rows (query, term) that are broadcast at most; the number is checked.
+QUERY_TERMS = 500_000
 #: Weights of where a block comes from. Fixed values.
 SOURCE_WEIGHTS = {"memory": 1.0, "rule": 0.95, "discovery": 0.85, "session": 0.70}
 
@@ -27,7 +29,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def postings(tok: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, dl), of the given terms only; one exchange, by id, that later groupings by id and more columns share."""
-    rows = tok.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term"))
+    rows = tok.select("id", F.size("tok").alias("dl"), F.explode_outer("tok").alias("term")).where("term IS NOT NULL")  # not explode: its inferred filter would tokenise twice
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
@@ -41,19 +43,22 @@ def corpus_statistics(tok: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, term, qn): a repeated term counts as often as it occurs."""
     tok = tokens(queries, id_col, text_col)
-    return tok.select(F.col("id").alias("query_id"), F.explode("tok").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    return tok.select(F.col("id").alias("query_id"), F.explode_outer("tok").alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("qn"))
 
 
 def bm25(tok: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score) of all pairs that share a term. allowed: ids that may be scored; statistics stay global."""
+    """(query_id, id, score) of all pairs that share a term. allowed: ids that may be scored; statistics stay global. Counts the query terms while it is called."""
     post = postings(tok, terms)
     df = post.groupBy("term").agg(F.count_if(F.col("tf") <= F.col("dl")).alias("df"))  # always true; both branches read the same columns, so the exchange is reused
     if allowed is not None:
         post = post.join(allowed, "id", "left_semi")
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     stats = F.broadcast(corpus_statistics(tok))  # one row
+    few = terms.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS  # then postings stay where they are, dealt by id
     weighted = terms.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qn") * idf).alias("w"), "avgdl")
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if few:
+        weighted = F.broadcast(weighted)
     return post.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * gain).alias("score"))
 
 

@@ -31,11 +31,11 @@ from engram.llm.common import buffers, fresh, kept_in_worker, release, row_chunk
 from engram.llm.pretokens import Memo, by_row, numbers_of, pretokens, ragged
 
 #: Bytes of text whose new words are encoded together.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Words in one recursive query.
-WORDS = 50_000
+WORDS = 25_000
 #: Bytes of what a worker remembers of pieces.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 #: A longer word (in bytes) is encoded in stretches of so many.
 LONG = 64
 #: A longer window around a seam is contracted by a query for each pair instead of a recursive one.
@@ -68,7 +68,7 @@ class DuckBpe:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         tokens, ids = list(self.ranks), list(self.ranks.values())
         self.db.register("tokens", pa.table({"token": pa.array(tokens, pa.binary()), "id": pa.array(ids, pa.int32())}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex(token) AS hex, octet_length(token) AS size FROM tokens")

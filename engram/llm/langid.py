@@ -40,11 +40,11 @@ ROUNDS = 1
 #: No piece is rarer than this in a model.
 FLOOR = 1e-8
 #: Bytes of what a worker remembers of words.
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 32 << 20
 #: Words whose pieces are summed at once.
-GROUP_WORDS = 40_000
+GROUP_WORDS = 25_000
 #: Distinct words that a training task holds before it hands their counts on.
-HELD_WORDS = 250_000
+HELD_WORDS = 150_000
 
 
 def vocabulary(path: str) -> list[bytes]:

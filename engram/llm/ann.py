@@ -104,7 +104,10 @@ def _search(k: int, prefix: int, rerank: int) -> Callable:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """For each query row (same columns as vectors): query_id, rank, vec_id and score of the k best vectors found but itself."""
+    """For each query row (same columns as vectors): query_id, rank, vec_id and score of the k best vectors found but itself.
+
+    Jobs run while it is called: the vectors are counted, the pivots chosen, and it is asked whether any query met fewer than k.
+    """
     base = usable(vectors, id_col, vec_col)
     n = base.count()
     spark = vectors.sparkSession

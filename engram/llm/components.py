@@ -16,6 +16,8 @@ def _signature(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of edges (u, v), where component is the least node of its component.
 
+    Edges with a null end and loops are left out (a node with loops alone isn't returned), repeated edges count once; no edges give no rows.
+
     Every round is a map-side combined minimum and an equi-join that AQE can split at a hot node, and is
     written to the shared checkpoint folder; only a count and a checksum reach the driver.
     """

@@ -229,6 +229,39 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text")
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", least_words: int = 1, least_share: int = 20) -> DataFrame:
+    """docs without contaminated ones (see judge), and with hit spans of `least_words` words or more cut out of the other texts.
+
+    A span is cut from the start of its first word to the end of its last; what stands around it stays. Texts without such a span, null and
+    empty ones stay as they are; columns, whatever their names, are kept.
+    """
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = docs.columns.index(text_col)
+    found = judge(find_items(own, items, f"c{text}"), least_share).where("not contaminated").select(*own.columns, "hit_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.column(text).to_pylist()
+            hit = [[(x["first"], x["last"]) for x in spans if x["last"] - x["first"] >= least_words] for spans in batch["hit_spans"].to_pylist()]
+            for first, _, data, offsets in row_chunks(*buffers(batch.column(text))):
+                starts, ends, bounds = words(LOWER[data], offsets, ALNUM)
+                raw = data.tobytes()
+                for i in range(len(offsets) - 1):
+                    if hit[first + i]:
+                        kept, at = [], int(offsets[i])
+                        for a, b in hit[first + i]:
+                            kept.append(raw[at : starts[bounds[i] + a]])
+                            at = int(ends[bounds[i] + b - 1])
+                        out[first + i] = b"".join([*kept, raw[at : offsets[i + 1]]]).decode()
+            columns = list(batch.columns[:-1])
+            columns[text] = pa.array(out, batch.column(text).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        release(kept=True)
+
+    cut = found.mapInArrow(run, own.schema)
+    return cut.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold windows of benchmark items, and how many of their words."""
     found = judge(find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))

@@ -175,7 +175,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_col
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those whose group has a document of smaller doc_id; rows with null ids stay."""
+    """docs without those whose group has a document of smaller doc_id.
+
+    Rows with null ids, null texts or texts without words stay; rows that share an id stay or go together. Columns may have any names.
+    """
     gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(fresh("gone", docs.columns))).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")
 

@@ -233,6 +233,17 @@ def test_contamination(spark, docs, empty):
     assert {r["hit_items"] == [] for r in decontaminate.find_items(docs, bench.where("false")).collect()} == {True}
 
 
+def test_spans_are_removed(spark):
+    item = " ".join(f"i{k}" for k in range(15))
+    plain = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, f"{plain}, {item}! {plain}", "x"), (2, item, "x"), (3, plain, "x"), (4, None, "x"), (5, "", "x"), (6, f"é {plain} tail {item.upper()}", "x"), (6, f"é {plain} tail {item.upper()}", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hit_spans string")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["text"], r["hit_spans"]) for r in decontaminate.remove_spans(df, bench).collect())
+    assert [x[:2] for x in got] == [(1, f"{plain}, ! {plain}"), (3, plain), (4, None), (5, ""), (6, f"é {plain} tail "), (6, f"é {plain} tail ")] and {x[2] for x in got} == {"x"}
+    assert {r["text"] for r in decontaminate.remove_spans(df.where("doc_id = 1"), bench, least_words=16).collect()} == {rows[0][1]}
+
+
 def test_bpe_round_trip(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     P = pytest.importorskip("public_tokenizers")

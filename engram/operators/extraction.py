@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# --- fixed values: patterns that results must equal, in their order ------------
-ANNOTATED = (
-    r"(?m)^→\s+(.{10,300})",
-    r"(?im)^DECISION:\s*(.{10,300})",
-    r"(?im)^NOTE:\s*(.{10,300})",
-    r"(?im)^IMPORTANT:\s*(.{10,300})",
-    r"(?im)^WARNING:\s*(.{10,300})",
-    r"(?m)^\*\*(.{10,150})\*\*",
-)
+from engram.functions.text import KEY_LINES as ANNOTATED
+
+# --- fixed values: patterns that results must equal, in their order; TOPICS is one alternation of five, and empty second groups stand for a missing reason ---
 PROSE = (
     r"(?i)(?:I'?m |we'?re |going )?going with\s+(.{10,200}?)(?:[.;,\n]|$)",
     r"(?i)settled on\s+(.{10,200}?)(?:[.;,\n]|$)",

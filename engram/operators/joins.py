@@ -17,11 +17,12 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     Pairs meet on shared words among the rarest that a qualifying pair must share (prefix filter), so no project is
     crossed with itself; the lower confidence merges into the higher, the smaller id wins ties.
     """
-    sets = rows.select("id", "project", "confidence", tx.word_set(F.lower("text")).alias("w")).where("size(w) > 0")
-    pairs = _prefix_pairs(sets.select("id", "project", "w"), threshold).select("id", "id2")
-    a = sets.select("id", F.col("w").alias("wa"), F.col("confidence").alias("ca"))
-    b = sets.select(F.col("id").alias("id2"), F.col("w").alias("wb"), F.col("confidence").alias("cb"))
-    scored = pairs.join(a, "id").join(b, "id2").withColumn("similarity", tx.overlap_max(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold)
+    sets = rows.select("id", "project", tx.word_set(F.lower("text")).alias("w"))
+    pairs = _prefix_pairs(sets, threshold)
+    a = rows.select("id", F.col("text").alias("ta"), F.col("confidence").alias("ca"))
+    b = rows.select(F.col("id").alias("id2"), F.col("text").alias("tb"), F.col("confidence").alias("cb"))
+    overlap = tx.overlap_max(tx.word_set(F.lower("ta")), tx.word_set(F.lower("tb")))  # only of texts that are in a candidate pair
+    scored = pairs.join(a, "id").join(b, "id2").withColumn("similarity", overlap).where(F.col("similarity") >= threshold)
     winner = F.when(F.col("cb") > F.col("ca"), F.col("id2")).otherwise(F.col("id"))
     return scored.select("id", "id2", "similarity", winner.alias("winner"))
 
@@ -30,10 +31,10 @@ def _prefix_pairs(sets: DataFrame, threshold: float, side: str | None = None) ->
     """sets (id, project, w, ...): distinct (id, id2) of a project that may share `threshold` of the larger set: they meet on one of the rarest words that
     such a pair must share. side: a boolean column; pairs have it true for id and false for id2. Else id < id2."""
     extra = [side] if side else []
-    df = sets.select("project", F.explode("w").alias("word")).groupBy("project", "word").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", "project", *extra, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, ["project", "word"])
+    words = sets.select("id", "project", *extra, F.size("w").alias("n"), F.explode_outer(F.transform("w", lambda x: F.xxhash64(x))).alias("word")).where("word IS NOT NULL")  # hashes travel, not words
+    df = words.groupBy("project", "word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = ordered.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "project", *extra, "word", "n", "p")
+    prefix = words.join(df, ["project", "word"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "project", *extra, "word", "n", "p")
     left, right = (prefix.where(side), prefix.where(~F.col(side))) if side else (prefix, prefix)
     other = right.select(F.col("id").alias("id2"), "project", "word", F.col("n").alias("n2"), F.col("p").alias("p2"))
     pairs = left.join(other, ["project", "word"]).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))

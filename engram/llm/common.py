@@ -10,7 +10,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions.names import fresh  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text handled at once by the numpy kernels (a longer text is handled alone).
 CHUNK = 1 << 20
@@ -35,14 +37,6 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
-def fresh(name: str, taken: Iterable[str]) -> str:
-    """A column name that none of the taken ones equals, whatever their case."""
-    low = {c.lower() for c in taken}
-    while name in low:
-        name += "_"
-    return name
-
-
 _KEPT: dict[tuple, Any] = {}
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from engram.functions import text as tx
 
 
+#: Products of sizes and thresholds may come out this much too high.
+TINY = 1e-9
+
+
 def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     """rows (id, project, confidence, text): pairs of a project whose word sets overlap by the threshold (common over larger).
 
@@ -34,12 +38,12 @@ def _prefix_pairs(sets: DataFrame, threshold: float, side: str | None = None) ->
     words = sets.select("id", "project", *extra, F.size("w").alias("n"), F.explode_outer(F.transform("w", lambda x: F.xxhash64(x))).alias("word")).where("word IS NOT NULL")  # hashes travel, not words
     df = words.groupBy("project", "word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = words.join(df, ["project", "word"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "project", *extra, "word", "n", "p")
+    prefix = words.join(df, ["project", "word"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - TINY) + 1).select("id", "project", *extra, "word", "n", "p")
     left, right = (prefix.where(side), prefix.where(~F.col(side))) if side else (prefix, prefix)
     other = right.select(F.col("id").alias("id2"), "project", "word", F.col("n").alias("n2"), F.col("p").alias("p2"))
-    pairs = left.join(other, ["project", "word"]).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2"))
+    pairs = left.join(other, ["project", "word"]).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - TINY)
     # words of both prefixes stand in one order, so at a first common word at places p and p2 no more than the rest of either set can be common
-    pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + F.least("p", "p2") >= threshold * F.greatest("n", "n2"))
+    pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + F.least("p", "p2") >= threshold * F.greatest("n", "n2") - TINY)
     return (pairs if side else pairs.where("id < id2")).select("id", "id2").distinct()
 
 

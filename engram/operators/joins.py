@@ -21,12 +21,11 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     Pairs meet on shared words among the rarest that a qualifying pair must share (prefix filter), so no project is
     crossed with itself; the lower confidence merges into the higher, the smaller id wins ties.
     """
-    sets = rows.select("id", "project", tx.word_set(F.lower("text")).alias("w"))
-    pairs = _prefix_pairs(sets, threshold)
-    a = rows.select("id", F.col("text").alias("ta"), F.col("confidence").alias("ca"))
-    b = rows.select(F.col("id").alias("id2"), F.col("text").alias("tb"), F.col("confidence").alias("cb"))
-    overlap = tx.overlap_max(tx.word_set(F.lower("ta")), tx.word_set(F.lower("tb")))  # only of texts that are in a candidate pair
-    scored = pairs.join(a, "id").join(b, "id2").withColumn("similarity", overlap).where(F.col("similarity") >= threshold)
+    sets = rows.select("id", "project", "confidence", tx.word_set(F.lower("text")).alias("w"))
+    pairs = _prefix_pairs(sets.select("id", "project", "w"), threshold)
+    a = sets.select("id", F.col("w").alias("wa"), F.col("confidence").alias("ca"))
+    b = sets.select(F.col("id").alias("id2"), F.col("w").alias("wb"), F.col("confidence").alias("cb"))
+    scored = pairs.join(a, "id").join(b, "id2").withColumn("similarity", tx.overlap_max(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold)
     winner = F.when(F.col("cb") > F.col("ca"), F.col("id2")).otherwise(F.col("id"))
     return scored.select("id", "id2", "similarity", winner.alias("winner"))
 

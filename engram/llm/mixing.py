@@ -8,11 +8,11 @@ join and an aggregate over that table. Sums are decimals, so no order of additio
 
 Rates become whole copies by systematic rounding: the classes of a source in order of size, a class gets the whole steps between
 its first and its last cumulative rate, so a source is off by one longest document at most. What is left is settled by adding or
-taking whole copies in classes whose size fits into the gap, the largest first, until none fits. The copies of a class go to
+taking whole copies in the class that leaves the least gap, until none leaves less. The copies of a class go to
 its documents in hash order; a class of any share of all rows is ranked in buckets of rows.
 
 Defined results: a size is the number of `[^ \\t-\\r]+` in the text; null and empty texts have none, stay in the result and take no word. Null is a
-source of its own, the last. A source without words has target 0. Rows of equal id and text are separate documents and interchangeable.
+source of its own, the last. A source without words has target 0; a document without words has one copy. Rows of equal id and text are separate documents and interchangeable.
 An empty table gives an empty result. Columns of the input that clash with added ones are replaced.
 """
 
@@ -73,7 +73,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
 
 
 def rate(most: int) -> Column:
-    return F.when(F.col("full"), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("dual") * F.col("size") / F.col("mean"))))
+    return F.when(F.col("size") == 0, 1.0).when(F.col("full"), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("dual") * F.col("size") / F.col("mean"))))
 
 
 def solve(classes: DataFrame, shares: DataFrame, most: int) -> DataFrame:
@@ -83,7 +83,7 @@ def solve(classes: DataFrame, shares: DataFrame, most: int) -> DataFrame:
     aggregate of the classes of sources that aren't solved yet.
     """
     least = classes.where("size > 0").groupBy("key").agg(F.min("size").alias("least"))
-    share, mean = F.col("target") / F.col("words"), F.col("words") / F.col("docs")
+    share, mean = F.col("target") / F.greatest("words", F.lit(1)), F.greatest("words", F.lit(1)) / F.col("docs")
     state = shares.withColumnRenamed("size", "words").join(least, "key", "left").withColumn("mean", mean)
     unit = F.col("least") / F.col("mean")
     state = state.withColumn("low", F.when(share < 1, F.log(share) / unit).otherwise(0.0)).withColumn("high", F.when(share > 1, log(most) / unit).otherwise(0.0))
@@ -121,13 +121,16 @@ def whole_copies(classes: DataFrame, solved: DataFrame, most: int) -> DataFrame:
 
 
 def settle(classes: DataFrame, most: int) -> DataFrame:
-    """classes whose copies come so near the target that no copy of a class fits into what is left: one class of each source is changed a round, the largest that fits."""
+    """classes whose copies come so near the target that no change of one class brings them nearer: each round, the class of each source that leaves the least
+    gap gets or loses whole copies. Gaps shrink by a word a round at least, as a rule to a few words in some rounds."""
     classes = written(classes, "mix-copies")
     while True:
         gaps = classes.groupBy("key").agg((F.first(F.round("target").cast("decimal(38,0)")) - F.sum(exact(F.col("k") * F.col("size")))).cast("long").alias("gap"))
         room = F.when(F.col("gap") > 0, F.col("docs") * most - F.col("k")).otherwise(F.col("k"))
-        fits = classes.join(gaps.where("gap <> 0"), "key").withColumn("room", room).where("size > 0 AND size <= abs(gap) AND room > 0")
-        best = fits.groupBy("key").agg(F.max(F.struct("size", "room", "gap")).alias("b")).select("key", "b.size", (F.least(F.col("b.room"), F.expr("abs(b.gap) div b.size")) * F.signum("b.gap")).cast("long").alias("move"))
+        wide = F.abs("gap")
+        near = classes.where("size > 0").join(gaps.where("gap <> 0"), "key").withColumn("room", room).where((F.col("room") > 0) & (F.col("size") < 2 * wide))
+        near = near.withColumn("q", F.least(F.col("room"), F.greatest(F.lit(1), F.floor(wide / F.col("size") + 0.5)))).withColumn("left", F.abs(wide - F.col("q") * F.col("size"))).where(F.col("left") < wide)
+        best = near.groupBy("key").agg(F.min(F.struct("left", "size", "q", "gap")).alias("b")).select("key", "b.size", (F.col("b.q") * F.signum("b.gap")).cast("long").alias("move"))
         best = written(best, "mix-moves")
         if best.isEmpty():
             return classes

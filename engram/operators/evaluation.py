@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erfc, sqrt
+from math import erfc, exp, factorial, sqrt
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,52 @@ def benchmark_regressions(baseline: DataFrame, results: DataFrame, threshold: fl
 def win_rate(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     both = a.select("query_id", F.col(metric).alias("x")).join(b.select("query_id", F.col(metric).alias("y")), "query_id")
     return both.agg(F.avg((F.col("x") > F.col("y")).cast("double")).alias("win_rate"), F.count("*").alias("n"))
+
+
+#: Weights of a Poisson variable of mean 1: a draw below the k-th of these, of 2**32, weighs k.
+POISSON = [int(2**32 * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(12)]
+MASK = (1 << 64) - 1
+
+
+def draws(keys: np.ndarray, seed: int, resamples: int) -> np.ndarray:
+    """Weights (0 to 12) of each key in each resample: a function of the key, the seed and the resample's number alone."""
+    z = (keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, resamples + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return np.searchsorted(np.array(POISSON, np.uint64), z >> np.uint64(32), side="right")
+
+
+def bootstrap_sums(scores: DataFrame, seed: int = 7, resamples: int = 5000) -> DataFrame:
+    """scores (grp, key, x), key a long that is unique in its group: mean, n and the 95 % interval (low, high) of the resampled means of each group.
+
+    A score weighs Poisson(1) in each resample, drawn by counter from its key, so every task adds up its own rows' weights and
+    weighted scores and the sums of all tasks are added by Spark: no group is gathered, and any partitioning gives the same draws. Null
+    scores don't count; resamples of weight 0 have no mean.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            groups, keys, x = batch["grp"].to_pylist(), np.asarray(batch["key"]), np.asarray(batch["x"])
+            where: dict = {}
+            for i, g in enumerate(groups):
+                where.setdefault(g, []).append(i)
+            for g, own in where.items():
+                weight, total = held.setdefault(g, (np.zeros(resamples, np.int64), np.zeros(resamples)))
+                for a in range(0, len(own), 512):
+                    w = draws(keys[own[a : a + 512]], seed, resamples)
+                    weight += w.sum(axis=0)
+                    total += x[own[a : a + 512]] @ w
+        lists = [pa.array([h[i].tolist() for h in held.values()], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), batch_type), *lists], names=["grp", "w", "s"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = scores.where("x IS NOT NULL AND key IS NOT NULL").select("grp", F.col("key").cast("long").alias("key"), F.col("x").cast("double").alias("x"))
+    batch_type, kind = to_arrow_type(rows.schema["grp"].dataType), rows.schema["grp"].dataType.simpleString()
+    parts = rows.mapInArrow(run, f"grp {kind}, w array<long>, s array<double>").select("grp", F.posexplode(F.arrays_zip("w", "s")).alias("b", "z"))
+    means = parts.groupBy("grp", "b").agg(F.sum("z.w").alias("w"), F.sum("z.s").alias("s")).where("w > 0").withColumn("m", F.col("s") / F.col("w"))
+    ends = means.groupBy("grp").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    ends = ends.withColumnRenamed("grp", "_g")
+    return rows.groupBy("grp").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).join(ends, F.col("grp").eqNullSafe(F.col("_g"))).select("grp", "mean", "n", "low", "high")

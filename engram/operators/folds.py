@@ -102,3 +102,36 @@ def chunk_state(rows: DataFrame, stream: str, order: str, drift_below: float = 0
 
     made = {"seen": "long", "mean_score": "double", "drift": "boolean", "topic_norm": "double"}
     return fold(rows.select(stream, order, "embedding", "score"), [stream], [F.col(order)], ["embedding", "score"], lambda: (0, 0.0, None), step, made).select(stream, order, *made)
+
+
+def chunk_boundaries(rows: DataFrame, stream: str, order: str, most: int = 50, base: float = 0.95, floor: float = 0.1, drift_below: float = 0.3) -> DataFrame:
+    """rows (stream, order, embedding or null, entities or null, score) with the state after each chunk: seen (i), topic (starting at zero, it moves by 1 / (i + 1) of the way),
+    drift (the cosine of a chunk to a state before of the same length is below `drift_below`), score_min, score_max, score_mean, decay (base to the i, `floor` at
+    least) and entities_kept: the `most` entities met last, a chunk's own first in their order, then those of before, equal ones (trimmed, without regard to case) as last spelt.
+
+    The state of a stream is one vector and `most` entities. An embedding of another length than the first leaves the topic as it is; blank entities don't count.
+    """
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        i, topic, low, high, total, held = state
+        e, entities, score = values
+        i, drift = i + 1, False
+        if e is not None and all(x is not None for x in e):
+            v = np.asarray(e, float)
+            before = np.zeros(len(v)) if topic is None else topic
+            if len(before) == len(v):
+                size = np.linalg.norm(before) * np.linalg.norm(v)
+                drift = bool(i > 1 and (before @ v / size if size > 0 else 0.0) < drift_below)
+                topic = before + (v - before) / (i + 1)
+        merged: dict[str, str] = {}
+        for name in [x.strip() for x in entities or () if x] + held:
+            if name:
+                merged.setdefault(name.lower(), name)
+        held = list(merged.values())[:most]
+        low, high, total = (score, score, score) if low is None else (min(low, score), max(high, score), total + score)
+        shown = None if topic is None else topic.tolist()
+        return (i, topic, low, high, total, held), (i, shown, drift, low, high, total / i, max(floor, base**i), held)
+
+    made = {"seen": "long", "topic": "array<double>", "drift": "boolean", "score_min": "double", "score_max": "double", "score_mean": "double", "decay": "double", "entities_kept": "array<string>"}
+    narrow = rows.select(stream, order, "embedding", "entities", "score").where("score IS NOT NULL")
+    return fold(narrow, [stream], [F.col(order)], ["embedding", "entities", "score"], lambda: (0, None, None, None, 0.0, []), step, made).select(stream, order, *made)

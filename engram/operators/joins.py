@@ -30,17 +30,21 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.92) -> DataFrame:
     return scored.select("id", "id2", "similarity", winner.alias("winner"))
 
 
-def _prefix_pairs(sets: DataFrame, threshold: float, side: str | None = None) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, threshold: float, side: str | None = None, near: str | None = None) -> DataFrame:
     """sets (id, project, w, ...): distinct (id, id2) of a project that may share `threshold` of the larger set: they meet on one of the rarest words that
-    such a pair must share. side: a boolean column; pairs have it true for id and false for id2. Else id < id2."""
-    extra = [side] if side else []
+    such a pair must share. side: a boolean column; pairs have it true for id and false for id2. Else id < id2. near: a bucket number; pairs are of
+    one bucket or of neighbours."""
+    extra = [c for c in (side, near) if c]
     words = sets.select("id", "project", *extra, F.size("w").alias("n"), F.explode_outer(F.transform("w", lambda x: F.xxhash64(x))).alias("word")).where("word IS NOT NULL")  # hashes travel, not words
     df = words.groupBy("project", "word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     prefix = words.join(df, ["project", "word"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - TINY) + 1).select("id", "project", *extra, "word", "n", "p")
     left, right = (prefix.where(side), prefix.where(~F.col(side))) if side else (prefix, prefix)
-    other = right.select(F.col("id").alias("id2"), "project", "word", F.col("n").alias("n2"), F.col("p").alias("p2"))
-    pairs = left.join(other, ["project", "word"]).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - TINY)
+    keys = ["project", "word", *([near] if near else [])]
+    other = right.select(F.col("id").alias("id2"), *keys, F.col("n").alias("n2"), F.col("p").alias("p2"))
+    if near:
+        left = left.withColumn(near, F.explode(F.array(F.col(near) - 1, F.col(near), F.col(near) + 1)))
+    pairs = left.join(other, keys).where(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - TINY)
     # words of both prefixes stand in one order, so at a first common word at places p and p2 no more than the rest of either set can be common
     pairs = pairs.where(F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + F.least("p", "p2") >= threshold * F.greatest("n", "n2") - TINY)
     return (pairs if side else pairs.where("id < id2")).select("id", "id2").distinct()
@@ -74,15 +78,22 @@ def contradictions(rows: DataFrame, threshold: float = 0.4) -> DataFrame:
 def link_sessions(sessions: DataFrame, hours: float = 168.0, least: int = 5) -> DataFrame:
     """sessions (id, ts, vocabulary): PRECEDED_BY edges from the later to the earlier of two sessions at most `hours` apart with `least` common words.
 
-    Sessions meet on a word and a time bucket (their own or the next), never as pairs of all.
+    Sessions meet on a time bucket (their own or the next) and a word that isn't among the least - 1 most frequent of either: two sets that share
+    `least` words share such a one, as all stand in one order. A word of every session therefore makes no pairs. What has met is counted exactly, on hashes.
     """
     width = int(hours * 3600)
-    timed = sessions.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("bucket", F.floor(F.col("s") / (width * 1_000_000)))
-    word = timed.select("id", "s", "bucket", F.explode(F.array_distinct("vocabulary")).alias("word"))
-    later = word.select(F.col("id").alias("source_id"), F.col("s").alias("s1"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), "word")
-    earlier = word.select(F.col("id").alias("target_id"), F.col("s").alias("s0"), "bucket", "word")
-    both = later.join(earlier, ["bucket", "word"]).where((F.col("s1") - F.col("s0") <= width * 1_000_000) & ((F.col("s0") < F.col("s1")) | ((F.col("s0") == F.col("s1")) & (F.col("target_id") < F.col("source_id")))))
-    edges = both.groupBy("source_id", "target_id").agg(F.count("*").alias("overlap"), F.max((F.col("s1") - F.col("s0")) / 3.6e9).alias("delta_hours")).where(F.col("overlap") >= least)
+    timed = sessions.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), F.array_distinct(F.transform("vocabulary", lambda w: F.xxhash64(w))).alias("w"))
+    timed = timed.where(F.size("w") >= least).withColumn("bucket", F.floor(F.col("s") / (width * 1_000_000)))
+    word = timed.select("id", "bucket", F.explode("w").alias("word"))
+    often = word.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "word"))
+    rare = word.join(often, "word").withColumn("p", place).where(F.col("p") >= least).select("id", "bucket", "word")
+    later = rare.select(F.col("id").alias("source_id"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), "word")
+    met = later.join(rare.withColumnRenamed("id", "target_id"), ["bucket", "word"]).where("source_id <> target_id").select("source_id", "target_id").distinct()
+    side = lambda name, n: timed.select(F.col("id").alias(name), F.col("s").alias(f"s{n}"), F.col("w").alias(f"w{n}"))
+    both = met.join(side("source_id", 1), "source_id").join(side("target_id", 0), "target_id")
+    both = both.where((F.col("s1") - F.col("s0") <= width * 1_000_000) & ((F.col("s0") < F.col("s1")) | ((F.col("s0") == F.col("s1")) & (F.col("target_id") < F.col("source_id")))))
+    edges = both.select("source_id", "target_id", F.size(F.array_intersect("w1", "w0")).cast("long").alias("overlap"), ((F.col("s1") - F.col("s0")) / 3.6e9).alias("delta_hours")).where(F.col("overlap") >= least)
     return edges.withColumn("delta_hours", F.round("delta_hours", 3)).withColumn("edge_id", tx.short_id(F.col("source_id"), F.col("target_id"), F.lit("PRECEDED_BY")))
 
 
@@ -93,13 +104,18 @@ def co_occurrences(rows: DataFrame, block: str, item: str) -> DataFrame:
 
 
 def co_work(sessions: DataFrame, entities: DataFrame, hours: float = 48.0) -> DataFrame:
-    """Entity pairs of two sessions at most `hours` apart: sessions (id, ts) in time buckets, entities (id, entity)."""
-    width = int(hours * 3600)
-    t = sessions.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("bucket", F.floor(F.col("s") / (width * 1_000_000))).join(entities, "id")
-    a = t.select(F.col("id").alias("a_id"), F.col("s").alias("sa"), F.explode(F.array("bucket", F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), F.col("entity").alias("a"))
-    b = t.select(F.col("id").alias("b_id"), F.col("s").alias("sb"), "bucket", F.col("entity").alias("b"))
-    near = a.join(b, "bucket").where((F.col("a_id") < F.col("b_id")) & (F.abs(F.col("sa") - F.col("sb")) <= width * 1_000_000) & (F.col("a") != F.col("b")))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Entity pairs of two sessions at most `hours` apart: sessions (id, ts) in time buckets, entities (id, entity).
+
+    An entity's sessions of a bucket become one range of times: within a bucket all are near enough, and two of neighbouring buckets are near
+    if the last of the earlier and the first of the later are. So pairs of entities meet, once a bucket, not pairs of sessions.
+    """
+    width = int(hours * 3600) * 1_000_000
+    timed = sessions.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("bucket", F.floor(F.col("s") / width)).join(entities, "id")
+    ranges = timed.where("entity IS NOT NULL").groupBy("bucket", "entity").agg(F.min("s").alias("first"), F.max("s").alias("last"), F.min("id").alias("low"), F.max("id").alias("high"))
+    side = lambda n: ranges.select("bucket", *[F.col(c).alias(f"{c}{n}") for c in ("entity", "first", "last", "low", "high")])
+    same = side(0).join(side(1), "bucket").where("entity0 < entity1 AND NOT (low0 = high0 AND low1 = high1 AND low0 = low1)")  # not in one session only
+    after = side(0).join(side(1).withColumn("bucket", F.col("bucket") - 1), "bucket").where((F.col("entity0") != F.col("entity1")) & (F.col("first1") - F.col("last0") <= width))
+    return same.unionByName(after).select(F.least("entity0", "entity1").alias("a"), F.greatest("entity0", "entity1").alias("b")).distinct()
 
 
 def first_wins(rows: DataFrame, hash_of: str, key: str) -> DataFrame:

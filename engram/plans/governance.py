@@ -322,6 +322,40 @@ def ag23(spark, sf):
     return jn.connected(pairs.select(F.col("id").alias("u"), F.col("id2").alias("v"))).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
 
 
+JACCARD = REC.replace("WITH rec", "WITH RECURSIVE rec") + f""", s AS (SELECT id, project, epoch_us(TIMESTAMP '2024-01-01') + id * 5400000000 AS tm, text, {WORDS} AS w FROM rec WHERE project IS NOT NULL), p AS (SELECT project, id, tm, len(w) AS n, unnest(w) AS x FROM s),
+l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.project = b.project AND a.x = b.x AND a.id <> b.id AND abs(a.tm - b.tm) <= 86400000000 GROUP BY ALL HAVING count(*) / (any_value(a.n + b.n) - count(*)) >= 0.75 - 1e-9),
+r(id, root) AS (SELECT id, id FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1),
+m AS (SELECT s.project, c.cluster, s.id, s.tm, replace(left(s.text, 200), chr(10), ' ') AS snippet, row_number() OVER (PARTITION BY s.project, c.cluster ORDER BY s.tm DESC, s.id) AS r FROM s JOIN c USING (id)),
+g AS (SELECT project, cluster, count(*) AS size, strftime(make_timestamp(min(tm)), '%Y-%m-%d %H:%M UTC') AS earliest, strftime(make_timestamp(max(tm)), '%Y-%m-%d %H:%M UTC') AS latest, string_agg(snippet, ' | ' ORDER BY r) FILTER (r <= 3) AS snippets, max(tm) AS last FROM m GROUP BY ALL)
+"""
+
+
+def scenarios(spark, sf):
+    from engram.operators.scenarios import memory_clusters
+
+    r = rec(spark, sf)
+    return memory_clusters(r.select("id", "project", F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.col("id") * 5_400_000_000).alias("ts"), F.col("text").alias("content")))
+
+
+@query("ag23_scenarios", JACCARD + "SELECT project, cluster, size, earliest, latest, 'Scene ' || earliest AS name, snippets, row_number() OVER (PARTITION BY project ORDER BY last DESC, cluster) - 1 AS place FROM g")
+def ag23b(spark, sf):
+    return scenarios(spark, sf).withColumn("snippets", F.array_join("snippets", " | "))
+
+
+@query("rk32_scenario_summary", JACCARD + r""", bl AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY last DESC, cluster) - 1 AS position, 'Scene ' || earliest || E'\n\n*' || size || ' memories — latest: ' || latest || E'*\n' || (SELECT string_agg(E'\n- ' || snippet, '' ORDER BY r) FROM m WHERE m.project = g.project AND m.cluster = g.cluster AND m.r <= 3) || E'\n' AS content FROM g),
+q AS (SELECT item_id AS query_id, ['de', 'en', 'es', 'fr'][1 + item_id % 4] AS project, CASE WHEN item_id % 5 = 0 THEN '' ELSE text END AS text FROM benchmark),
+t AS (SELECT query_id, project, """ + WORDS + r""" AS w FROM q), f AS (SELECT query_id, project, position, content, len(list_filter(w, lambda x: contains(lower(content), x))) AS score FROM t JOIN bl USING (project)),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) = 1), z AS (SELECT *, string_split(trim(content, E' \t\n\r'), E'\n') AS ls FROM o)
+SELECT query_id, project, position, score, CASE WHEN project = 'en' THEN E'Persona\n\n' ELSE '' END || '## ' || trim(ls[1], E' \t\n\r') || E'\n' || trim(array_to_string(ls[2:5], E'\n'), E' \t\n\r') AS summary FROM z""")
+def rk32b(spark, sf):
+    from engram.operators.scenarios import block_summaries, scenario_block
+
+    b = scenarios(spark, sf).select("project", F.col("place").alias("position"), scenario_block().alias("content"))
+    names = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.get(names, (F.col("item_id") % 4).cast("int")).alias("project"), F.when(F.col("item_id") % 5 != 0, F.col("text")).otherwise("").alias("text"))
+    return block_summaries(b, q, spark.createDataFrame([("en", "Persona")], "project string, text string"))
+
+
 # --- graph: nations and their suppliers and customers as nodes, links of sessions as edges ---
 
 EDGE = LINKS + ", e AS (SELECT source_id AS a, target_id AS b, overlap, delta_hours FROM l UNION ALL SELECT target_id, source_id, overlap, delta_hours FROM l)"

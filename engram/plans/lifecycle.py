@@ -188,6 +188,27 @@ def ev5(spark, sf):
     return interval(ci.withColumn("verdict", ev.delta_verdict(F.col("low"), F.col("high"), F.col("n"))))
 
 
+#: Poisson weights of 5000 resamples by counter, as the operator states them.
+WEIGHTS = """, v AS (SELECT query_id AS key, {x} AS x FROM {rows}), z0 AS (SELECT b, x, xor((((key % 18446744073709551616)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT), (b + 7000021)::UHUGEINT) AS z FROM v, range(1, 5001) t(b)),
+z1 AS (SELECT b, x, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM z0), z2 AS (SELECT b, x, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM z1),
+w AS (SELECT b, x, (xor(z, z >> 31) >> 32)::BIGINT AS u FROM z2), pw AS (SELECT b, x, len(list_filter({cuts}, lambda c: c <= u)) AS w FROM w),
+bm AS (SELECT b, sum(w * x) / sum(w) AS m FROM pw GROUP BY b HAVING sum(w) > 0), e AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm), gr AS (SELECT avg(x) AS mean, count(*) AS n FROM v)
+SELECT 'ndcg' AS grp, round(mean, 6) AS mean, n, round(low, 6) AS low, round(high, 6) AS high"""
+
+
+@query("ev4_mergeable_bootstrap", EVAL + WEIGHTS.format(x="ndcg", rows="m", cuts=ev.POISSON) + " FROM gr, e")
+def ev4b(spark, sf):
+    return interval(ev.bootstrap_sums(metrics(spark, sf).select(F.lit("ndcg").alias("grp"), F.col("query_id").alias("key"), F.col("ndcg").alias("x"))))
+
+
+@query("ev5_mergeable_delta", EVAL + RIVAL + WEIGHTS.format(x="n2 - ndcg", rows="m JOIN m2 USING (query_id)", cuts=ev.POISSON) + ", CASE WHEN n < 5 THEN 'insufficient' WHEN low > 0 THEN 'improved' WHEN high < 0 THEN 'regressed' ELSE 'parity' END AS verdict FROM gr, e")
+def ev5b(spark, sf):
+    a, b = metrics(spark, sf), metrics(spark, sf, 104729)
+    d = a.select("query_id", F.col("ndcg").alias("x")).join(b.select("query_id", F.col("ndcg").alias("y")), "query_id")
+    ci = ev.bootstrap_sums(d.select(F.lit("ndcg").alias("grp"), F.col("query_id").alias("key"), (F.col("y") - F.col("x")).alias("x")))
+    return interval(ci.withColumn("verdict", ev.delta_verdict(F.col("low"), F.col("high"), F.col("n"))))
+
+
 PAIRS = "WITH p AS (SELECT user_id AS grp, value AS a, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), d AS (SELECT grp, round(a - b, 9) AS d FROM p WHERE b IS NOT NULL), r AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY grp, abs(d)) AS t FROM d WHERE d <> 0)"
 
 
@@ -288,6 +309,25 @@ def rk24(spark, sf):
     return folds.chunk_state(e, "stream", "pos").withColumns({c: F.round(c, 6) for c in ("mean_score", "topic_norm")})
 
 
+@query("rk24_boundaries", """WITH RECURSIVE o AS (SELECT label AS stream, vec_id AS pos, CASE WHEN vec_id % 5 <> 0 THEN embedding::DOUBLE[] END AS e, (vec_id % 10) / 10 AS score, CASE WHEN vec_id % 7 <> 0 THEN ['Node ' || vec_id % 13, ' node ' || vec_id % 4 || ' ', '', 'e' || vec_id % 37] END AS ents,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+f(stream, n, pos, low, high, total, topic, drift, held) AS (SELECT stream, n, pos, score, score, score, list_transform(e, lambda v: v / 2), false, list_filter(list_transform(coalesce(ents, []), lambda x: trim(x)), lambda x: x <> '') FROM o WHERE n = 1
+UNION ALL SELECT o.stream, o.n, o.pos, least(low, o.score), greatest(high, o.score), total + o.score, CASE WHEN o.e IS NULL THEN topic WHEN topic IS NULL THEN list_transform(o.e, lambda v: v / (o.n + 1)) ELSE list_transform(list_zip(topic, o.e), lambda z: z[1] + (z[2] - z[1]) / (o.n + 1)) END,
+  o.e IS NOT NULL AND (topic IS NULL OR list_cosine_similarity(topic, o.e) < 0.3),
+  list_concat(list_filter(list_transform(coalesce(o.ents, []), lambda x: trim(x)), lambda x: x <> ''), held)[1:60] FROM f JOIN o ON o.stream = f.stream AND o.n = f.n + 1),
+d AS (SELECT *, list_filter(held, lambda x, i: list_position(list_transform(held, lambda y: lower(y)), lower(x)) = i)[1:8] AS kept FROM f)
+SELECT stream, pos, n AS seen, drift, low AS score_min, high AS score_max, round(total / n, 6) AS score_mean, round(greatest(0.1, 0.95 ** n), 6) AS decay, array_to_string(kept, '|') AS entities, round(coalesce(sqrt(list_inner_product(topic, topic)), 0), 6) AS topic_norm FROM d""")
+def rk24b(spark, sf):
+    from engram.functions.vectors import norm
+
+    m = F.col("vec_id")
+    text = lambda p, n, q="": F.concat(F.lit(p), (m % n).cast("string"), F.lit(q))
+    names = F.when(m % 7 != 0, F.array(text("Node ", 13), text(" node ", 4, " "), F.lit(""), text("e", 37)))
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("stream"), m.alias("pos"), F.when(m % 5 != 0, F.col("embedding")).alias("embedding"), ((m % 10) / 10).alias("score"), names.alias("entities"))
+    b = folds.chunk_boundaries(e, "stream", "pos", most=8)
+    return b.select("stream", "pos", "seen", "drift", "score_min", "score_max", F.round("score_mean", 6).alias("score_mean"), F.round("decay", 6).alias("decay"), F.array_join("entities_kept", "|").alias("entities"), F.round(F.coalesce(norm(F.col("topic")), F.lit(0.0)), 6).alias("topic_norm"))
+
+
 @query("rk30_compaction", r"""WITH t AS (SELECT item_id AS task_id, list_distinct(list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+')), lambda x: x NOT IN (""" + STOP + r"""))) AS w FROM benchmark WHERE item_id < 3),
 s AS (SELECT doc_id AS session, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS i, s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS g FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\r\f\x0b')) AS p FROM documents)) WHERE s <> ''),
 c AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+'))), w)) / len(w) ELSE 0 END AS score FROM s, t),

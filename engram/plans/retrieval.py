@@ -202,7 +202,31 @@ def rk14(spark, sf):
     return out(ve.lsh_search(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")
 
 
-@query("rk20_cluster_search")
+GUARDED = """WITH a AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x, ['g' || vec_id % 3, 'u' || vec_id % 7] AS principals FROM embeddings WHERE vec_id % 20 = 0),
+b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS y, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN [] ELSE ['g' || label % 3, 'u' || vec_id % 5] END AS acl FROM embeddings),
+v AS (SELECT query_id, id, greatest(least(list_cosine_similarity(x, y), 1), 0) AS score FROM a, b WHERE id <> query_id AND list_has_any(acl, principals))"""
+
+
+def guarded(spark, sf):
+    """Vectors with ACLs (some null, some empty) and queries with principals."""
+    e, m = vectors(spark, sf), F.col("id")
+    name = lambda p, c, n: F.concat(F.lit(p), (c % n).cast("string"))
+    acl = F.when(m % 11 == 0, None).when(m % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(name("g", F.col("label"), 3), name("u", m, 5)))
+    q = e.where("id % 20 = 0").select(m.alias("query_id"), "embedding", F.array(name("g", m, 3), name("u", m, 7)).alias("principals"))
+    return e.select("id", "embedding", acl.alias("acl")), q
+
+
+@query("rk14_acl_search")
+def rk14b(spark, sf):
+    return out(ve.lsh_search(*guarded(spark, sf), 10), "query_id", "id", "rank", "score")
+
+
+@query("rk14_acl_exact_mode", GUARDED + TOP.format(rows="v", k=10))
+def rk14c(spark, sf):
+    return out(ve.lsh_search(*guarded(spark, sf), 10, exact=True), "query_id", "id", "rank", "score")
+
+
+@query("rk20_cluster_search", VEC + TOP.format(rows="v", k=10))
 def rk20(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return out(ve.cluster_search(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10), "query_id", "id", "rank", "score")

@@ -3,12 +3,12 @@
 A bounded sample of distinct vectors serves as pivots. Every vector is represented by its PREFIX nearest
 pivots in order and posted in the inverted files of the first POSTS of them; a query visits the files of its
 own nearest pivots (64, or a fourteenth of all if that is more; the same rule at every size). In a file, postings are ranked by the footrule distance of their pivot orders to the
-query's, the best RERANK of them are reranked by the exact inner product, and the best k of all files win.
+query's, the best RERANK_SHARE of them (RERANK at least) are reranked by the exact inner product, and the best k of all files win.
 
 A file of more than FILE_ROWS postings, or asked by more than FILE_QUERIES queries, is dealt over several tasks (the numbers of
 postings and of queries of each pivot are tables of at most MAX_PIVOTS rows), so one vector may make up any share of the
 rows. Queries that met fewer than k vectors visit all files. The pivots grow with the square root of the rows up to MAX_PIVOTS, and so does the
-work of a query; every row is indexed.
+work of a query; every row is indexed. `exact`: all files are visited and all postings reranked.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, vectors without an id and those of
 another length than the commonest take no part; rows with one id count as one vector, that of best score; ties go to
@@ -18,7 +18,7 @@ the smaller id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import isqrt
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ POSTS = 8
 #: A query visits the files of one pivot in VISIT_SHARE, and of LEAST_VISITS at least.
 VISIT_SHARE = 14
 LEAST_VISITS = 64
+#: Of a file part's postings, those of least footrule distance are reranked: this share, RERANK at least.
+RERANK_SHARE = 0.9
 RERANK = 1000
 FILE_ROWS = 4096
 FILE_QUERIES = 2048
@@ -80,7 +82,7 @@ def _orders(pivots, prefix: int) -> Callable:
     return run
 
 
-def _search(k: int, prefix: int, rerank: int) -> Callable:
+def _search(k: int, prefix: int, share: float) -> Callable:
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if posted.num_rows and asked.num_rows:
@@ -88,6 +90,7 @@ def _search(k: int, prefix: int, rerank: int) -> Callable:
             place = np.full((int(near.max()) + 1, len(ids)), prefix, np.int16)  # of each pivot in each posting's order
             place[near.ravel(), np.repeat(np.arange(len(ids)), near.shape[1])] = np.tile(np.arange(near.shape[1]), len(ids))
             order = np.argsort(ids, kind="stable")
+            rerank = max(RERANK, ceil(share * len(ids)))
             qids, qv, qnear = np.asarray(asked["id"].combine_chunks()), matrix(asked["v"].combine_chunks()), matrix(asked["pivots"].combine_chunks()).astype(np.int64)
             for q, x, pivots in zip(qids.tolist(), qv, qnear):
                 rank = np.flatnonzero(pivots < len(place))
@@ -103,7 +106,7 @@ def _search(k: int, prefix: int, rerank: int) -> Callable:
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """For each query row (same columns as vectors): query_id, rank, vec_id and score of the k best vectors found but itself.
 
     Jobs run while it is called: the vectors are counted, the pivots chosen, and it is asked whether any query met fewer than k.
@@ -114,7 +117,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     pivots = choose_pivots(base, min(MAX_PIVOTS, max(16, 4 * isqrt(n))))
     m = max(1, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
-    visits = min(m, max(LEAST_VISITS, m // VISIT_SHARE))
+    visits = m if exact else min(m, max(LEAST_VISITS, m // VISIT_SHARE))
     schema = base.select("id", "v", F.array().cast("array<int>").alias("pivots")).schema
     indexed = base.mapInArrow(_orders(shared, PREFIX), schema)
     files = indexed.withColumn("file", F.explode(F.slice("pivots", 1, POSTS)))
@@ -129,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         asks = asks.join(F.broadcast(cut), "file").withColumn("side", F.pmod(F.xxhash64("id"), "sides").cast("int")).withColumn("part", every("parts"))
         asks = asks.select("file", "part", "side", "id", "v", F.slice("pivots", 1, PREFIX).alias("pivots"))
         met = posted.select("file", "part", "side", "id", "v", "pivots").groupBy("file", "part", "side").cogroup(asks.groupBy("file", "part", "side"))
-        return met.applyInArrow(_search(k, PREFIX, RERANK), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return met.applyInArrow(_search(k, PREFIX, 1.0 if exact else RERANK_SHARE), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = visit(asked, visits)

@@ -33,13 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import BYTE_CODES, NOT_SPACE, U64, buffers, gram_hashes, group_count, part_of, release, row_chunks, slice_hashes, text_bytes, words
+from engram.llm.common import BYTE_CODES, CHUNK, NOT_SPACE, U64, buffers, gram_hashes, group_count, part_of, release, row_chunks, slice_hashes, text_bytes, words
 
 PART_BYTES = 8 << 20
 #: Text bytes whose windows meet in one bucket, as packed strings if they survive the ranking.
 BUCKET_BYTES = 4 << 20
 #: Occurrences from which a minimiser's windows travel one by one.
 HOT = 400
+#: Windows of frequent minimisers that are told apart at once.
+AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -124,18 +126,28 @@ class Part:
         self.same_as = dict(zip(order[same].tolist(), first[same].tolist()))
 
     def chunks(self, units: Units, text: bool = True):
-        """(row of the part for each row of the chunk, Chunk); repeated rows hold no units."""
+        """(row of the part of the chunk's first row, unit of that row at which it starts, Chunk). A row much longer than a chunk comes in pieces that
+        overlap by a window less one unit, so that every window is in one piece."""
         for first, end, data, offsets in row_chunks(self.data, self.offsets):
-            yield first, Chunk(units, data, offsets, text)
+            if end - first > 1 or len(data) <= 2 * CHUNK:
+                yield first, 0, Chunk(units, data, offsets, text)
+                continue
+            starts, ends = words(data, offsets, NOT_SPACE)[:2] if units.words else (None, None)
+            total = len(starts) if units.words else len(data)
+            step = max(1, total * CHUNK // len(data))
+            for i in range(0, max(1, total), step):
+                j = min(total, i + step + units.width - 1)
+                piece = data[starts[i] : ends[j - 1]] if units.words and j > i else data[i:j]
+                yield first, i, Chunk(units, piece, np.array([0, len(piece)]), text)
 
     def segments(self, units: Units, text: bool):
-        """(chunk, row in the part, first unit in the row, first window in the chunk, windows, hash)."""
-        for base, chunk in self.chunks(units, text):
+        """(chunk, row in the part, first unit in the row, first window in the chunk, windows, hash); repeated rows hold no units."""
+        for base, start, chunk in self.chunks(units, text):
             row, first, n, h = chunk.segments()
             if self.same_as:
                 own = np.array([int(r) not in self.same_as for r in row + base], bool)
                 row, first, n, h = row[own], first[own], n[own], h[own]
-            yield chunk, row + base, first - chunk.bounds[row], first, n, h
+            yield chunk, row + base, first - chunk.bounds[row] + start, first, n, h
 
 
 def _rank_part(units: Units, buckets: int) -> Callable:
@@ -180,32 +192,69 @@ _HEAD = np.dtype([("id", "<i8"), ("number", "<i8"), ("first", "<i4"), ("n", "<i4
 _TRAVEL = "bucket int, _part int, head binary, text binary"
 
 
+def first_windows(units: Units, chunk: Chunk, hashes: np.ndarray, rank: np.ndarray, unit: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some windows of a chunk (hashes: of all its windows; their rows' ranks, first units in their rows and in the chunk) in document order: (places of those that come first of their content, first
+    places and lengths of runs of consecutive others). Contents are told apart by hash and compared run by run; what only shares a hash counts as first."""
+    order = np.lexsort((unit, rank))
+    _, lead, inverse = np.unique(hashes[window[order]], return_index=True, return_inverse=True)
+    lead = lead[inverse]
+    later = np.flatnonzero(lead != np.arange(len(lead)))
+    none = np.zeros(0, np.int64)
+    if not len(later):
+        return order, none, none
+    after = lambda places: (np.diff(rank[order[places]]) == 0) & (np.diff(unit[order[places]]) == 1)
+    begin = np.flatnonzero(np.concatenate([[True], ~(after(later) & after(lead[later]))]))
+    size = np.diff(np.append(begin, len(later)))
+    a, b = window[order[later[begin]]], window[order[lead[later[begin]]]]
+    last_a, last_b = a + size + units.width - 1, b + size + units.width - 1
+    if units.words:
+        a, b, last_a, last_b = chunk.at[a], chunk.at[b], chunk.at[last_a] - 1, chunk.at[last_b] - 1
+    raw = memoryview(np.ascontiguousarray(chunk.text))
+    equal = np.array([raw[w:x] == raw[y:z] for w, x, y, z in zip(a.tolist(), last_a.tolist(), b.tolist(), last_b.tolist())], bool)
+    known = np.zeros(len(lead), bool)
+    known[later] = np.repeat(equal, size)
+    return order[~known], order[later[begin[equal]]], size[equal]
+
+
 def _travel(units: Units, buckets: int) -> Callable:
     def run(rows: pa.Table, ranks: pa.Table) -> pa.Table:
         out: dict[int, tuple[list, list]] = {}
         known: list[tuple] = []  # repeats that are clear inside the part
+        clear: list[np.ndarray] = []  # runs of repeats that are clear inside a chunk
         if rows.num_rows and ranks.num_rows:
             h = np.concatenate([np.frombuffer(x, "<u8") for x in ranks["hashes"].to_pylist()])
             hot = np.concatenate([np.frombuffer(x, bool) for x in ranks["hot"].to_pylist()])
             order = np.argsort(h)
             h, hot = h[order], hot[order]
             part = Part(rows)
+            rank = np.empty(len(part.ids), np.int64)
+            rank[np.lexsort((part.number, part.ids))] = np.arange(len(rank))
             seen: dict[bytes, tuple] = {}
             pending: list[tuple[tuple, int, bytes]] = []
             for chunk, row, unit, first, n, own in part.segments(units, True):
                 place = np.searchsorted(h, own)
                 place[place == len(h)] = 0
                 good = np.flatnonzero(h[place] == own)
-                to = bucket(own[good], buckets).tolist()
-                if (is_hot := hot[place[good]]).any():
-                    whole = gram_hashes(chunk.codes, units.width)
-                ids, numbers = part.ids[row[good]].tolist(), part.number[row[good]].tolist()
-                for i, number, u, f, m, b, each in zip(ids, numbers, unit[good].tolist(), first[good].tolist(), n[good].tolist(), to, is_hot.tolist()):
-                    if each:
-                        bs = bucket(whole[f : f + m], buckets).tolist()
-                        pending += [((i, number, u + j, 1), bs[j], chunk.packed(f + j, 1)) for j in range(m)]
-                    else:
-                        pending.append(((i, number, u, m), b, chunk.packed(f, m)))
+                is_hot = hot[place[good]]
+                cool = good[~is_hot]
+                ids, numbers = part.ids[row[cool]].tolist(), part.number[row[cool]].tolist()
+                for i, number, u, f, m, b in zip(ids, numbers, unit[cool].tolist(), first[cool].tolist(), n[cool].tolist(), bucket(own[cool], buckets).tolist()):
+                    pending.append(((i, number, u, m), b, chunk.packed(f, m)))
+                hot_ones = good[is_hot]
+                if len(hot_ones):
+                    hashes = gram_hashes(chunk.codes, units.width)
+                for each in np.split(hot_ones, np.flatnonzero(np.diff(np.cumsum(n[hot_ones]) // AT_ONCE)) + 1) if len(hot_ones) else ():
+                    # windows by themselves; those that repeat among these never travel
+                    within = np.arange(int(n[each].sum())) - np.repeat(np.cumsum(n[each]) - n[each], n[each])
+                    wide = [np.repeat(x[each], n[each]) for x in (row, unit, first)]
+                    row_, unit_, window = wide[0], wide[1] + within, wide[2] + within
+                    new, begin, size = first_windows(units, chunk, hashes, rank[row_], unit_, window)
+                    bs = bucket(hashes[window[new]], buckets).tolist()
+                    heads = zip(part.ids[row_[new]].tolist(), part.number[row_[new]].tolist(), unit_[new].tolist())
+                    pending += [((*head, 1), b, chunk.packed(f, 1)) for head, b, f in zip(heads, bs, window[new].tolist())]
+                    runs = np.zeros(len(begin), _HEAD)
+                    runs["id"], runs["number"], runs["first"], runs["n"] = part.ids[row_[begin]], part.number[row_[begin]], unit_[begin], size
+                    clear.append(runs)
             pending.sort(key=lambda x: x[0])
             for head, b, text in pending:
                 if text in seen:
@@ -220,7 +269,9 @@ def _travel(units: Units, buckets: int) -> Callable:
         pending = seen = None
         made = [(b, name, np.array(heads, _HEAD).tobytes(), pack(b"".join(texts))) for b, (heads, texts) in out.items()]
         if known:
-            made.append((name % buckets, name, np.array([(*x, 0) for x in known], _HEAD).tobytes(), None))
+            clear.append(np.array([(*x, 0) for x in known], _HEAD))
+        if clear := [x for x in clear if len(x)]:
+            made.append((name % buckets, name, np.concatenate(clear).tobytes(), None))
         cols = list(zip(*made)) or [(), (), (), ()]
         out = made = None
         release()

@@ -31,6 +31,27 @@ def category_stats(scores: DataFrame) -> DataFrame:
     return scores.groupBy("category").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
 
 
+def composite(stats: DataFrame, scale: float = 100.0) -> DataFrame:
+    """category_stats with the normalised score of each category (its mean over `scale`, within [0, 1]) and the composite, the unweighted mean of the categories' means."""
+    total = stats.agg(F.avg("mean").alias("composite"))  # one row
+    return stats.withColumn("normalised", F.least(F.greatest(F.col("mean") / scale, F.lit(0.0)), F.lit(1.0))).crossJoin(F.broadcast(total))
+
+
+def match_rates(matches: DataFrame) -> DataFrame:
+    """greedy_matches of all files as one row: tp, fp, fn, precision and recall (null where nothing was extracted or expected)."""
+    s = matches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    return s.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+
+
+def miss_rates(best: DataFrame, extracted: DataFrame, clean: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """best (file, i, best) of expected negatives, extracted (file, ...) and clean (file: nothing should be found): targets, found, miss_rate (null without targets), clean_files and
+    false_positives (extractions of clean files)."""
+    t = best.agg(F.count("*").alias("targets"), F.count_if(F.round("best", 9) >= threshold).alias("found"))
+    f = clean.select("file").distinct().agg(F.count("*").alias("clean_files"))
+    e = extracted.join(clean.select("file").distinct(), "file", "left_semi").agg(F.count("*").alias("false_positives"))
+    return t.withColumn("miss_rate", 1 - F.try_divide("found", F.col("targets"))).crossJoin(F.broadcast(f)).crossJoin(F.broadcast(e))
+
+
 def bootstrap_mean(values: DataFrame, resamples: int = 5000, seed: int = 7) -> DataFrame:
     """values (grp, x): 95 % interval of the mean over resamples.
 

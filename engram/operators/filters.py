@@ -145,3 +145,22 @@ def session_events(rows: DataFrame, mode: str | None, first: Column | None, last
             kept = kept.where(F.coalesce(inside(F.col("timestamp")), F.lit(True)))
     total = kept.agg(F.count("*").alias("total"))
     return kept.orderBy(F.asc_nulls_first("timestamp"), "event_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
+def discovery_page(records: DataFrame, ids: list[str] | None = None, first: str | None = None, last: str | None = None, project: str | None = None, agent: str | None = None, tags: tuple[str, ...] = (), offset: int = 0, limit: int = 100, order: str = "id") -> DataFrame:
+    """records (id, date, project, agent, tags, acl) that a principal may see and that match all that is given, in order, one page: with total (of all matches) and next_offset (null on
+    the last page). Undated records pass date bounds; ids None: no ACL filter; a missing or empty ACL is seen by no principal."""
+    rows = records
+    if ids is not None:
+        rows = rows.where(acl_closed(F.col("acl"), ids))
+    for bound, ok in ((first, lambda d, x: d >= x), (last, lambda d, x: d <= x)):
+        if bound is not None:
+            rows = rows.where(F.col("date").isNull() | ok(F.col("date"), F.lit(bound).cast("date")))
+    for column, value in (("project", project), ("agent", agent)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    if tags:
+        rows = rows.where(all_of(F.col("tags"), list(tags)))
+    total = rows.agg(F.count("*").alias("total"))
+    page = rows.orderBy(order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
+    return page.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit).cast("long")))

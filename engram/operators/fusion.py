@@ -122,6 +122,16 @@ def materialise(items: DataFrame, capacity: int, score: float = 0.1, novelty: fl
     return first.withColumn("outcome", F.coalesce("outcome", F.when(place <= capacity, "stored").otherwise("evicted")))
 
 
+def materialise_into(items: DataFrame, store: DataFrame, capacity: int, score: float = 0.1, novelty: float = 0.2) -> DataFrame:
+    """items (store, id, score, nearest, known) and what is in the stores (store, id, score): the outcome of each item and each old row. Items are refused by score or novelty; what
+    is left competes with the old rows of its store, and the lowest beyond `capacity` are evicted (on equal scores the larger id, a new row before an old one)."""
+    new = F.coalesce(1 - F.col("nearest"), F.when(F.col("known"), 0.0).otherwise(1.0))
+    judged = items.select("store", "id", "score", F.lit(True).alias("is_new"), F.when(F.col("score") < score, "below_score").when(new < novelty, "not_novel").alias("outcome"))
+    every = judged.unionByName(store.select("store", "id", "score", F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("outcome")))
+    place = F.row_number().over(Window.partitionBy("store", F.col("outcome").isNull()).orderBy(F.round("score", 9).desc(), "is_new", "id"))
+    return every.withColumn("outcome", F.coalesce("outcome", F.when(place > capacity, "evicted").when(F.col("is_new"), "stored").otherwise("kept")))
+
+
 def fail_open(pool: DataFrame, passes: Column) -> DataFrame:
     """Rows that pass, or a query's whole pool if none does; `fallback` says which."""
     kept = F.count_if(passes).over(Window.partitionBy("query_id"))

@@ -85,6 +85,18 @@ def publish(events: DataFrame) -> DataFrame:
     return events.groupBy(h.alias("memory_id")).agg(F.min("ts").alias("first_seen"), F.count("*").alias("published"), F.count_distinct("agent").alias("agents"))
 
 
+def publications(events: DataFrame) -> DataFrame:
+    """events (event_id, content, agent, ts) as AGENT_PUBLISHED edges: source_id (the agent), target_id (the memory), edge_id, event_id and ts of its first publication by
+    that agent, publications, and is_duplicate (another event published the memory before)."""
+    h = F.substring(F.sha2("content", 256), 1, 12)
+    when = F.struct("ts", "event_id")
+    rows = events.where("content IS NOT NULL AND agent IS NOT NULL").withColumn("memory_id", h)
+    first = rows.groupBy("memory_id").agg(F.min(when).alias("_first"))
+    edges = rows.groupBy("agent", "memory_id").agg(F.min(when).alias("_own"), F.count("*").alias("publications")).join(first, "memory_id")
+    edge = tx.short_id(F.col("agent"), F.col("memory_id"), F.lit("AGENT_PUBLISHED"))
+    return edges.select(F.col("agent").alias("source_id"), F.col("memory_id").alias("target_id"), edge.alias("edge_id"), F.col("_own.event_id").alias("event_id"), F.col("_own.ts").alias("ts"), "publications", (F.col("_own") != F.col("_first")).alias("is_duplicate"))
+
+
 CONFIDENT = 0.7
 
 

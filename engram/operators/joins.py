@@ -129,11 +129,12 @@ def by_priority(rows: DataFrame, keys: list[str], priority: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merge_entities(entities: DataFrame) -> DataFrame:
-    """Entities of one normalised name and type become one: the first by (first_seen, entity_id), files united, ACLs intersected (null counts as
+def merge_entities(entities: DataFrame, folded: bool = False) -> DataFrame:
+    """Entities of one normalised name and type become one (folded: accents don't count either): the first by (first_seen, entity_id), files united, ACLs intersected (null counts as
     empty, unless all are null), greatest confidence, least first_seen."""
-    norm = F.regexp_replace(F.lower(F.btrim("name")), r"[\s_-]+", "")
-    g = entities.withColumn("_k", norm).withColumn("_o", F.struct("first_seen", "entity_id")).groupBy("_k", "type")
+    from engram.functions.payload import fold_name
+
+    norm = fold_name("name") if folded else F.regexp_replace(F.lower(F.btrim("name")), r"[\s_-]+", "")
     named = entities.withColumn("_k", norm).withColumn("_o", F.struct("first_seen", "entity_id"))
     size = named.groupBy("_k", "type").agg(F.count("*").alias("_n"))
     held = named.select("_k", "type", F.explode(F.array_distinct("acl_allow")).alias("_p")).groupBy("_k", "type", "_p").agg(F.count("*").alias("_c"))

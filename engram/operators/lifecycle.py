@@ -46,20 +46,48 @@ def hygiene(memories: DataFrame, recalled: DataFrame, days: int, today: str) ->
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Current state of each memory from its events (memory_id, event_type, ts, event_id): verified adds a verification and 0.05 confidence up to 1,
-    superseded ends it."""
-    e = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    start = F.struct(F.lit("active").alias("status"), F.lit(0).alias("verifications"), F.lit(0.7).cast("double").alias("confidence"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok = x["event_type"] == "verified"
-        return F.struct(
-            F.when(x["event_type"] == "superseded", "superseded").otherwise(s["status"]).alias("status"),
-            (s["verifications"] + F.when(ok, 1).otherwise(0)).alias("verifications"),
-            F.when(ok, F.least(s["confidence"] + 0.05, F.lit(1.0))).otherwise(s["confidence"]).alias("confidence"),
-        )
-
-    return events.groupBy("memory_id").agg(F.aggregate(e, start, step).alias("s"), F.count("*").alias("events")).select("memory_id", "s.*", "events")
+    """Current state of each memory from its events (memory_id, event_type): verified adds a verification and 0.05 confidence up to 1, superseded
+    ends it. Neither depends on the order, so partial sums of each task add up and no history is gathered."""
+    ok = F.count_if(F.col("event_type") == "verified")
+    status = F.when(F.coalesce(F.bool_or(F.col("event_type") == "superseded"), F.lit(False)), "superseded").otherwise("active")
+    return events.groupBy("memory_id").agg(status.alias("status"), ok.cast("int").alias("verifications"), F.least(0.7 + 0.05 * ok, F.lit(1.0)).alias("confidence"), F.count("*").alias("events"))
+
+
+def nightly_hygiene(memories: DataFrame, recalled: DataFrame, checkpoints: DataFrame, days: int, today: str, threshold: float = 0.92, ttl_days: int = 30) -> DataFrame:
+    """The nightly job of each project: memories (stem, project, content, importance, salience, pinned, last_decay, age, superseded) decay; of near-duplicates the older
+    (on equal ages the larger stem) is superseded; prune candidates are counted; checkpoints (project, created_at) older than ttl_days expire.
+
+    One row a project that has memories or checkpoints: total, decayed, archived, skipped, duplicates_merged, candidates_pruned, checkpoints_expired.
+    """
+    from engram.operators.joins import near_duplicate_pairs
+
+    decayed = decay(memories, days, today)
+    rows = decayed.where("project IS NOT NULL").select(F.col("stem").alias("id"), "project", (-F.col("age")).alias("confidence"), F.col("content").alias("text"))
+    pairs = near_duplicate_pairs(rows, threshold)
+    lost = pairs.select(F.when(F.col("winner") == F.col("id"), F.col("id2")).otherwise(F.col("id")).alias("stem")).distinct().withColumn("_dup", F.lit(True))
+    marked = decayed.join(lost, "stem", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))).withColumn("superseded", F.col("superseded") | F.col("_dup"))
+    gone = prune_candidates(marked, recalled).select("stem", F.lit(True).alias("_pruned"))
+    report = marked.join(gone, "stem", "left").groupBy("project").agg(
+        F.count("*").alias("total"), F.count_if(F.col("outcome") == "decayed").alias("decayed"), F.count_if(F.col("outcome") == "archived").alias("archived"), F.count_if(F.col("outcome").isin("pinned", "already_decayed")).alias("skipped"),
+        F.count_if("_dup").alias("duplicates_merged"), F.count_if(F.coalesce("_pruned", F.lit(False))).alias("candidates_pruned"),
+    )
+    old = checkpoints.where(F.col("created_at") < F.lit(today).cast("timestamp_ntz") - F.expr(f"INTERVAL '{ttl_days}' DAY")).groupBy("project").agg(F.count("*").alias("checkpoints_expired"))
+    known = checkpoints.select("project").distinct().join(old, "project", "left")
+    return report.join(known, "project", "full_outer").fillna(0)
+
+
+def backfill_lines(lines: DataFrame, acl: list[str], level: str) -> DataFrame:
+    """lines (value) of JSON objects: the text with the missing or null keys acl_allow and classification filled in, and what was done: filled, kept or malformed (left as it
+    is). A dry run is the count of each without a write; running it again fills nothing."""
+    kind = "struct<acl_allow:array<string>,classification:string>"
+    whole = F.try_parse_json(F.col("value"))
+    ok = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    parsed = F.from_json("value", kind)
+    need = ok & (parsed["acl_allow"].isNull() | parsed["classification"].isNull())
+    rest = F.regexp_replace(F.regexp_replace("value", r'"(acl_allow|classification)"\s*:\s*null\s*,?', ""), r",?\s*}\s*$", "")
+    added = F.concat_ws(",", F.when(parsed["acl_allow"].isNull(), F.concat(F.lit('"acl_allow":'), F.to_json(F.array(*[F.lit(a) for a in acl])))), F.when(parsed["classification"].isNull(), F.concat(F.lit('"classification":'), F.lit(f'"{level}"'))))
+    new = F.concat(rest, F.when(F.btrim(rest) == "{", "").otherwise(","), added, F.lit("}"))
+    return lines.select("value", F.when(need, new).otherwise(F.col("value")).alias("line"), F.when(~ok, "malformed").when(need, "filled").otherwise("kept").alias("outcome"))
 
 
 def recall_feedback(feedback: DataFrame, recalls: DataFrame, hours: int = 24) -> DataFrame:

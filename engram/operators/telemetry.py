@@ -187,3 +187,31 @@ def regressions(now: DataFrame, before: DataFrame) -> DataFrame:
     both = now.join(b, "capability")
     measured = both.select("capability", F.expr("stack(3, 'p95', try_divide(p95_ms - p0, p0), 0.2D, 'errors', error_rate - e0, 0.05D, 'volume', try_divide(n0 - n, CAST(n0 AS DOUBLE)), 0.3D) AS (rule, change, lim)"))
     return measured.where("change > lim").withColumn("level", F.when(F.col("change") > 2 * F.col("lim"), "alert").otherwise("warn"))
+
+
+def recall_aggregate(events: DataFrame) -> DataFrame:
+    """events (event_id, mode, version, latency_ms, results) as one row: total_events, total, average and p95 latency (by index int(0.95 n), the maximum up to 20), average result
+    count, and histograms of modes (null: unknown) and versions (null and empty don't count) as name=count, sorted. No events: zero and nulls."""
+    from engram.operators.ranking import global_rank
+
+    timed = events.where("latency_ms IS NOT NULL")
+    n = timed.count()
+    place = n - 1 if n <= 20 else n * 95 // 100
+    p95 = global_rank(timed.select("event_id", "latency_ms"), "latency_ms", "event_id").where(F.col("rank") == place).agg(F.max("latency_ms").alias("p95_latency_ms"))
+    facts = events.agg(F.count("*").alias("total_events"), F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("total_latency_ms"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg("results").alias("avg_result_count"))
+
+    def histogram(column, name: str) -> DataFrame:
+        counts = events.select(column.alias("k")).where("k IS NOT NULL AND k <> ''").groupBy("k").agg(F.count("*").alias("c"))
+        return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", F.col("c").cast("string")))), ",").alias(name))
+
+    one = facts
+    for other in (p95, histogram(F.coalesce("mode", F.lit("unknown")), "modes"), histogram(F.col("version"), "versions")):
+        one = one.crossJoin(F.broadcast(other))  # one row each
+    return one
+
+
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """(table, records): one count a table."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("records")).select(F.lit(name).alias("table"), "records") for name, df in tables.items()])

@@ -72,11 +72,11 @@ def nearest_in_pool(pool: DataFrame) -> DataFrame:
 
 
 #: Random directions of a sketch, in 64-bit words; a bucket is named by the first bits of the first word.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 #: Rows that share a bucket on average, and buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 1024, 4096
 #: Buckets' and sketches' distances may lie so many standard deviations above what a neighbour's would be on average.
-PROBE_SIGMAS, SKETCH_SIGMAS = 3.0, 2.5
+PROBE_SIGMAS, SKETCH_SIGMAS = 3.0, 1.6
 #: k-means is fitted on at most so many vectors a cluster; the clusters grow with the square root of the rows up to MAX_CLUSTERS.
 FIT_ROWS, MAX_CLUSTERS = 64, 4096
 #: Rows of a bucket or cluster that one task takes, and queries that it answers.
@@ -236,8 +236,8 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = Fal
                         seen = seen & masks[who]
                     far = np.bitwise_count(words ^ w).sum(axis=1)
                     met = np.flatnonzero(seen & (far <= most))
-                    if best_only and len(met) > 5 * k:
-                        met = met[np.argpartition(far[met], 5 * k)[: 5 * k]]
+                    if best_only and len(met) > 3 * k:
+                        met = met[np.argpartition(far[met], 3 * k)[: 3 * k]]
                     score = x[met] @ y
                     top = met[_best(ids[met], score, k)]
                     out += [(q, i, s, None) for i, s in zip(ids[top].tolist(), np.round(x[top] @ y, 12).tolist())] + [(q, None, None, len(met))]

@@ -328,7 +328,7 @@ def rk24b(spark, sf):
     return b.select("stream", "pos", "seen", "drift", "score_min", "score_max", F.round("score_mean", 6).alias("score_mean"), F.round("decay", 6).alias("decay"), F.array_join("entities_kept", "|").alias("entities"), F.round(F.coalesce(norm(F.col("topic")), F.lit(0.0)), 6).alias("topic_norm"))
 
 
-@query("rk30_compaction", r"""WITH t AS (SELECT item_id AS task_id, list_distinct(list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+')), lambda x: x NOT IN (""" + STOP + r"""))) AS w FROM benchmark WHERE item_id < 3),
+@query("rk30_compaction", r"""WITH t AS (SELECT item_id AS task_id, list_distinct(list_filter(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+')), lambda x: x NOT IN (""" + STOP + r"""))) AS w FROM benchmark),
 s AS (SELECT doc_id AS session, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS i, s FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS g FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\r\f\x0b')) AS p FROM documents)) WHERE s <> ''),
 c AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]+'))), w)) / len(w) ELSE 0 END AS score FROM s, t),
 k AS (SELECT *, row_number() OVER (PARTITION BY session, task_id ORDER BY score, i) - 1 AS k, count(*) OVER (PARTITION BY session, task_id) AS n FROM c),
@@ -338,7 +338,7 @@ def rk30(spark, sf):
     from engram.operators.compaction import compact
 
     c = table(spark, sf, "documents").select(F.col("doc_id").alias("session"), F.regexp_replace("text", "\n", "\n\n").alias("content"), F.col("lang").alias("project"))
-    task = table(spark, sf, "benchmark").where("item_id < 3").select(F.col("item_id").alias("task_id"), F.col("text").alias("task"))  # a stated set of tasks
+    task = table(spark, sf, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("task"))  # a stated set of tasks
     return compact(c, task, 0.5)
 
 

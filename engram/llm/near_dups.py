@@ -187,7 +187,7 @@ def _verify(threshold_num: int, threshold_den: int, depth: int) -> Callable:
         close |= close.T
         i, j = np.nonzero(close)
         similar = common[i, j] / (sizes[i] + sizes[j] - common[i, j])
-        missed = [np.bincount(i, (1 - p) / p, len(sets)) for p in (met(similar, depth + STEP * level) for level in range(LEVELS))]
+        missed = [np.bincount(i, (1 - p) / p, len(sets)).astype(np.float64) for p in (met(similar, depth + STEP * level) for level in range(LEVELS))]
         return close, missed
 
     def run(rows: pa.Table) -> pa.Table:

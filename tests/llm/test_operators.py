@@ -637,3 +637,12 @@ def test_pairs_at_the_threshold_are_found_end_to_end(spark):
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a + [f"w{rng.randrange(10**9)}" for _ in range(5 - i % 2)]))]
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("class_id = doc_id - doc_id % 2 and n_links = 1").count() == 3000
+
+
+def test_candidates_without_a_link():
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h", "a b c d e x y z"]
+    rows = pa.table({"cluster": pa.array([1, 1], pa.int64()), "rep": pa.array([1, 2], pa.int64()), "copies": pa.array([1, 1], pa.int64()), "block": pa.array([0, 0], pa.int32()), "bi": pa.array([0, 0], pa.int32()), "bj": pa.array([0, 0], pa.int32()), "text": texts})
+    out = near_dups._verify(4, 5, 8)(rows)
+    assert out["found"].to_pylist() == [0, 0] and all(out.schema.field(f"missed{k}").type == pa.float64() for k in range(near_dups.LEVELS))

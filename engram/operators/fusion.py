@@ -105,8 +105,8 @@ def composite_score(pool: DataFrame) -> DataFrame:
 
 
 def rerank(pool: DataFrame, external: DataFrame, k: int) -> DataFrame:
-    """pool (query_id, id, rank) reordered by external (query_id, id, ext): scored rows first, then the rest in their order, to k."""
-    both = pool.join(external, ["query_id", "id"], "left")
+    """pool (query_id, id, rank) reordered by external (query_id, id, ext; or id, ext where a score holds for all queries): scored rows first, then the rest in their order, to k."""
+    both = pool.join(external, [c for c in ("query_id", "id") if c in external.columns], "left")
     w = Window.partitionBy("query_id").orderBy(F.col("ext").isNull(), F.desc_nulls_last("ext"), "rank")
     return both.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
 

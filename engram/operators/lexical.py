@@ -130,7 +130,7 @@ def recall(
     block of each file, vector stage, gates, rerank, top k.
 
     blocks: id, file, source, project, content, recency_rank, hits and, where used, type, sub_scope, fields. vectors: id, embedding; query_vectors: query_id, embedding;
-    external: query_id, id, ext. `pool` is how many files a query's later stages look at. Returns query_id, id, source, score, snippet, rank (from 0), the
+    external: query_id, id, ext, or id, ext for all queries. `pool` is how many files a query's later stages look at. Returns query_id, id, source, score, snippet, rank (from 0), the
     explain columns and engaged_layers.
     """
     kept = in_scope(blocks, project, others, room, ambient)

@@ -123,7 +123,7 @@ FROM (SELECT query_id, id, score, v, cos, r FROM ou WHERE r <= 5) o JOIN (SELECT
 def rk7(spark, sf):
     b = blocks(spark, sf).withColumn("type", F.when(F.col("id") % 6 == 0, "ambient_trace"))
     v, q = table(spark, sf, "embeddings").select("vec_id", "embedding"), queries(spark, sf)
-    external = b.where("id % 2 = 0").select("id", (F.col("id") % 13).alias("ext")).crossJoin(F.broadcast(q.select("query_id")))  # a stated query set's external scores
+    external = b.where("id % 2 = 0").select("id", (F.col("id") % 13).alias("ext"))  # scores by block, for every query
     found = lx.recall(b, q, 5, v.withColumnRenamed("vec_id", "id"), v.withColumnRenamed("vec_id", "query_id"), gates=True, external=external)
     return found.select("query_id", "id", "score", "bm25_score", "vector_score", "rank", F.array_join("engaged_layers", ",").alias("layers"), F.substring("snippet", 1, 20).alias("snippet"))
 

@@ -18,6 +18,8 @@ from engram.operators.vector import nearest_in_pool
 K1, B = 1.5, 0.75
 #: Rows (query, term) that are broadcast at most; the number is checked.
 QUERY_TERMS = 500_000
+#: Parts of an entry's blocks where more query terms are shuffled.
+SALTS = 64
 #: Weights of where a block comes from. Fixed values.
 SOURCE_WEIGHTS = {"memory": 1.0, "rule": 0.95, "discovery": 0.85, "session": 0.70}
 
@@ -62,12 +64,6 @@ def bm25(tok: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) ->
     return post.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * gain).alias("score"))
 
 
-def with_zeros(scores: DataFrame, queries: DataFrame, tok: DataFrame) -> DataFrame:
-    """Every (query, document) pair, zeros included: for a stated query set only."""
-    every = queries.crossJoin(tok.select("id"))
-    return every.join(scores, ["query_id", "id"], "left").fillna({"score": 0.0})
-
-
 def field_boost(scores: DataFrame, terms: DataFrame, fields: DataFrame, boost: float = 1.2) -> DataFrame:
     """fields: (id, term) of facts and concepts; a score is boosted when any query term is among the document's."""
     hit = terms.select("query_id", "term").distinct().join(fields.distinct(), "term").select("query_id", "id", F.lit(True).alias("_hit")).distinct()
@@ -202,28 +198,25 @@ def cached_hybrid(lexical: DataFrame, vector: DataFrame, alpha: float) -> DataFr
 def session_relevance(blocks: DataFrame, tasks: DataFrame) -> DataFrame:
     """0.6 x share of the block's tags in the task + 0.4 x share of the task's words in the block, to six places; pairs that share neither are absent (they score 0).
 
-    Tasks meet blocks on a tag or word they share.
+    Blocks' entries that some task asks for are dealt by block, never by tag or word, so one that stands in every block loads no partition. They meet
+    the tasks' entries as a broadcast list of QUERY_TERMS rows at most; more tasks are shuffled by entry and salt, copies of the tasks' rows to each salt.
     """
+
+    def of(kind: str) -> Column:
+        return F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+
+    def entries(rows: DataFrame, key: str, n: str) -> DataFrame:
+        return rows.select(key, n, F.explode(F.concat(of("tags"), of("words"))).alias("e")).select(key, n, "e.kind", "e.x")
+
     t = tasks.select("task_id", F.array_distinct(tx.tokenize(F.col("task"))).alias("words"), tx.word_set(F.lower("task")).alias("tags"))
     b = blocks.select("id", F.array_distinct(F.transform("tags", F.lower)).alias("tags"), F.array_distinct(tx.tokenize(F.col("content"))).alias("words"))
-
-    def shared(column: str, n_of: DataFrame, key: str) -> DataFrame:
-        """Common entries of each pair, with how many the side `n_of` holds."""
-        left, right = t.select("task_id", F.explode(column).alias("x")), b.select("id", F.explode(column).alias("x"))
-        return left.join(right, "x").groupBy("task_id", "id").agg(F.count("*").alias("c")).join(n_of.select(key, F.size(column).alias("n")), key).select("task_id", "id", (F.col("c") / F.col("n")).alias(column))
-
-    both = shared("tags", b, "id").join(shared("words", t, "task_id"), ["task_id", "id"], "full_outer")
-    return both.select("task_id", "id", F.round(0.6 * F.coalesce("tags", F.lit(0.0)) + 0.4 * F.coalesce("words", F.lit(0.0)), 6).alias("score"))
-
-
-def best_block(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """The block that contains most of a query's distinct words as substrings; the first of equals. A stated query set: its distinct words are
-    looked for in every block once, as a broadcast list if it is small."""
-    words = queries.select("query_id", F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("word"))
-    own = words.select("word").distinct()
-    held = blocks.select("id", F.lower("content").alias("_t")).join(own, F.contains(F.col("_t"), F.col("word"))).select("id", "word")
-    score = held.join(words, "word").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    first = blocks.agg(F.min("id").alias("id")).withColumn("score", F.lit(0).cast("long"))  # one row: where no word occurs
-    every = score.unionByName(queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "id", "score"))
-    best = every.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
-    return best.select("query_id", "b.id", "b.score")
+    asked = entries(t.withColumn("n_words", F.size("words")), "task_id", "n_words")
+    held = entries(b.withColumn("n_tags", F.size("tags")), "id", "n_tags").join(asked.select("kind", "x").distinct(), ["kind", "x"], "left_semi")
+    if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
+        met = held.repartition("id").join(F.broadcast(asked), ["kind", "x"])
+    else:
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "x", "salt"])
+    common = met.groupBy("task_id", "id").agg(F.count_if(F.col("kind") == "tags").alias("tags"), F.count_if(F.col("kind") == "words").alias("words"), F.max("n_tags").alias("n_tags"), F.max("n_words").alias("n_words"))
+    share = lambda c: F.when(F.col(c) > 0, F.col(c) / F.col(f"n_{c}")).otherwise(0.0)
+    return common.select("task_id", "id", F.round(0.6 * share("tags") + 0.4 * share("words"), 6).alias("score"))

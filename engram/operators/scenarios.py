@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
@@ -54,13 +54,14 @@ def scenario_block(name: str = "name", size: str = "size", latest: str = "latest
     return F.concat(head, F.array_join(F.transform(snippets, lambda s: F.concat(F.lit("\n- "), s)), ""), F.lit("\n"))
 
 
-def best_blocks(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+def best_blocks(blocks: DataFrame, queries: DataFrame, words: Column | None = None) -> DataFrame:
     """blocks (project, position, content), queries (query_id, project, text): the block of the query's project that contains most of its distinct words as
-    substrings, the first of equals: query_id, position, score. A query without words gets the first block, one of a project without blocks none.
+    substrings, the first of equals: query_id, position, score. A query without words gets the first block, one of a project without blocks none. words: the distinct
+    words of a row of queries, where they aren't the lower-cased text's own.
 
     The words of a stated query set, MAX_QUERIES at a time, go to the tasks as an automaton; a task reads each block once and keeps the best of each query.
     """
-    asked = queries.where("query_id IS NOT NULL AND project IS NOT NULL").select("query_id", "project", tx.word_set(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
+    asked = queries.where("query_id IS NOT NULL AND project IS NOT NULL").select("query_id", "project", (tx.word_set(F.lower(F.coalesce("text", F.lit("")))) if words is None else words).alias("words"))
     asked = written(asked.withColumn("_n", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // MAX_QUERIES))))))
     groups = [r["_n"] for r in asked.select("_n").distinct().orderBy("_n").collect()]
     text = blocks.where("position IS NOT NULL AND project IS NOT NULL").select("project", F.col("position").cast("long").alias("position"), F.lower(F.coalesce("content", F.lit(""))).alias("t"))

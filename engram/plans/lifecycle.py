@@ -219,14 +219,24 @@ def pairs(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("grp"), F.col("value").alias("a"), b.alias("b")).where("b IS NOT NULL")
 
 
-@query("ev6_signed_rank", PAIRS + " SELECT grp, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, CAST(sum(t * t - 1) AS BIGINT) AS ties, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY 1")
+RANKS = " SELECT grp, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, CAST(sum(t * t - 1) AS BIGINT) AS ties, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY 1"
+
+
+@query("ev6_signed_rank", PAIRS + RANKS)
 def ev6(spark, sf):
     return ev.signed_rank(pairs(spark, sf))
 
 
-@query("ev6_signed_rank_p")
+#: ways: how many subsets of the ranks 1 to n have each sum; the error function as a series of positive terms.
+EV6_P = (PAIRS.replace("WITH p", "WITH RECURSIVE p", 1) + ", g AS (" + RANKS + """), ways(n, c) AS (SELECT 0, [1::BIGINT] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda s: coalesce(c[s + 1], 0) + CASE WHEN s > n THEN coalesce(c[s - n], 0) ELSE 0 END) FROM ways WHERE n < 25),
+z AS (SELECT g.*, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS v FROM g), x AS (SELECT z.*, CASE WHEN v > 0 THEN (abs(w - n * (n + 1) / 4) - 0.5) / sqrt(2 * v) ELSE 0 END AS x FROM z)
+SELECT grp, x.n, w_plus, w_minus, ties, w, round(CASE WHEN x.n <= 25 AND ties = 0 THEN least(1, 2 * list_sum(c[1:CAST(floor(w) AS BIGINT) + 1]) / pow(2, x.n)) WHEN x <= 0 THEN 1 WHEN x > 6 THEN 0
+ ELSE 1 - list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5) - x * x))) END, 6) AS p FROM x LEFT JOIN ways ON ways.n = x.n""")
+
+
+@query("ev6_signed_rank_p", EV6_P)
 def ev6p(spark, sf):
-    return ev.signed_rank_p(ev.signed_rank(pairs(spark, sf)))
+    return ev.signed_rank_p(ev.signed_rank(pairs(spark, sf))).withColumn("p", F.round("p", 6))
 
 
 BOW = r"""WITH w AS (SELECT conv_id AS file, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations), b AS (SELECT file, turn, w, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT file, turn, sqrt(sum(c * c)) AS n FROM b GROUP BY ALL),

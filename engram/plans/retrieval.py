@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engram.functions import text as tx
 from engram.functions import vectors as vx
 from engram.functions.text import STOPWORDS
 from engram.operators import fusion as fu
 from engram.operators import lexical as lx
+from engram.operators import scenarios as sc
 from engram.operators import vector as ve
 from engram.operators.ranking import global_rank
 from engram.plans.registry import query, table
@@ -339,4 +341,7 @@ def rk29(spark, sf):
 
 @query("rk32_best_block", LEX + """, t AS (SELECT query_id, unnest(list_distinct(tok)) AS w FROM q), c AS (SELECT query_id, id, count(*) FILTER (contains(lower(content), w)) AS score FROM t, docs GROUP BY ALL) SELECT query_id, id, score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""")
 def rk32(spark, sf):
-    return lx.best_block(blocks(spark, sf).select("id", "content"), queries(spark, sf))
+    one = F.lit("all").alias("project")
+    asked = queries(spark, sf).select("query_id", one, F.array_distinct(F.coalesce(tx.tokenize(F.col("text")), F.array().cast("array<string>"))).alias("own"))
+    found = sc.best_blocks(blocks(spark, sf).select(one, F.col("id").alias("position"), "content"), asked, F.col("own"))
+    return found.select("query_id", F.col("position").alias("id"), "score")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import evaluation as ev
-from engram.operators import folds, joins, logs, scenarios, vector
+from engram.operators import folds, joins, lexical, logs, scenarios, vector
 from engram.operators import lifecycle as lc
 from engram.plans.streams import folder
 
@@ -199,3 +199,23 @@ def test_counts_of_what_is_dropped(spark):
     said = spark.createDataFrame([(1, 0, "user", "please do this long thing"), (1, 1, "user", " Please do this  long thing"), (1, 2, "assistant", "x" * 50), (1, 3, "user", "no"), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
     prompts, counts = logs.mined(said, 10, folder(spark))
     assert prompts.count() == 1 and counts == {"messages": 5, "other_role": 2, "too_short": 1, "wrapper": 0, "candidates": 2, "kept": 1, "duplicates": 1}
+
+
+@pytest.mark.parametrize("terms", [500_000, 3])
+def test_session_relevance(spark, monkeypatch, terms):
+    """One tag and one word stand in every block and task; with few broadcast rows and with salts."""
+    monkeypatch.setattr(lexical, "QUERY_TERMS", terms)
+    rng = random.Random(29)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "Omega"])
+    blocks = [(i, ["Hot", *{word() for _ in range(i % 3)}], f"common {word()} {word()}") for i in range(120)] + [(120, None, None), (121, [], ""), (122, ["hot", "HOT"], None), (123, None, "common beta beta")]
+    tasks = [(i, f"common hot {word()} {word()}") for i in range(12)] + [(12, None), (13, ""), (14, "nothing")]
+    got = lexical.session_relevance(spark.createDataFrame(blocks, "id long, tags array<string>, content string"), spark.createDataFrame(tasks, "task_id long, task string"))
+    assert "Cartesian" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    want = {}
+    for t, task in tasks:
+        asked = set((task or "").lower().split())
+        for b, tags, content in blocks:
+            own, held = {x.lower() for x in tags or []}, set((content or "").lower().split())
+            if own & asked or held & asked:
+                want[t, b] = round(0.6 * (len(own & asked) / len(own) if own else 0) + 0.4 * (len(held & asked) / len(asked) if asked else 0), 6)
+    assert {(r["task_id"], r["id"]): r["score"] for r in got.collect()} == pytest.approx(want)

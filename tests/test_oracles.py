@@ -42,7 +42,7 @@ def test_other_queries_run(spark, sf, name):
 
 
 #: Pair operators must meet on equality keys.
-@pytest.mark.parametrize("name", ["jn1_near_duplicate_pairs", "jn2_recent_duplicates", "jn3_contradictions", "jn4_session_links", "jn5_co_work", "jn6_co_occurrences", "gr3_k_hops", "gr4_query_expansion", "gr6_precedence_boost", "ag17_entity_merge", "rk13_vector_topk", "rk29_session_relevance", "rk2_bm25_topk"])
+@pytest.mark.parametrize("name", ["jn1_near_duplicate_pairs", "jn2_recent_duplicates", "jn3_contradictions", "jn4_session_links", "jn5_co_work", "jn6_co_occurrences", "gr3_k_hops", "gr4_query_expansion", "gr6_precedence_boost", "ag17_entity_merge", "rk13_vector_topk", "rk29_session_relevance", "rk32_best_block", "rk2_bm25_topk"])
 def test_no_product_of_tables(spark, sf, name):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan

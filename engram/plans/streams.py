@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-import tempfile
-
 from pyspark.sql import functions as F
 
+from engram.operators.joins import shared_folder
 from engram.plans.governance import LINKS
 from engram.plans.registry import query, table
 from engram.streaming import operators as st
@@ -14,10 +12,7 @@ from engram.streaming import operators as st
 
 def folder(spark) -> str:
     """A new folder in the shared checkpoint place."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def stream(spark, sf):

@@ -211,7 +211,19 @@ def src14(spark, sf):
     return table(spark, sf, "pages").select("page_id", so.first_heading(F.col("html")).alias("heading"), F.size(tx.matches(F.col("html"), r"(?i)<h[1-6][^>]*>")).alias("headings"))
 
 
-@query("src14_document_chunks")
+PAGE_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)<(/?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article)\b)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"""
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    PAGE_TEXT = f"replace({PAGE_TEXT}, '{_entity}', '{_char}')"
+#: Paragraphs; those of more than 2000 characters are packed from their sentences.
+PAGE_CHUNKS = (r"""WITH RECURSIVE t AS (SELECT page_id, trim(regexp_replace({text}, '\n[ \t]*(\n[ \t]*)+', chr(10) || chr(10), 'g'), {blank}) AS t FROM pages),
+l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(t, '\n[\s\x0B]*\n'), lambda x: trim(x, {blank})), lambda x: x <> '') AS l FROM t), g AS (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM l),
+s AS (SELECT page_id, k, CASE WHEN length(p) <= 2000 THEN [p] ELSE list_filter(string_split(regexp_replace(p, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') END AS s FROM g),
+p AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id, k ORDER BY j, h) AS n, substr(x, CAST(h * 2000 + 1 AS BIGINT), 2000) AS piece FROM (SELECT page_id, k, j, x, unnest(range(0, (length(x) - 1) // 2000 + 1)) AS h FROM (SELECT page_id, k, unnest(s) AS x, generate_subscripts(s, 1) AS j FROM s))),
+f(page_id, k, n, c, now) AS (SELECT page_id, k, n, 0, piece FROM p WHERE n = 1 UNION ALL SELECT p.page_id, p.k, p.n, CASE WHEN length(now) + 1 + length(piece) <= 2000 THEN c ELSE c + 1 END, CASE WHEN length(now) + 1 + length(piece) <= 2000 THEN now || ' ' || piece ELSE piece END FROM f JOIN p ON p.page_id = f.page_id AND p.k = f.k AND p.n = f.n + 1)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k, c) - 1 AS INTEGER) AS i, chunk FROM (SELECT page_id, k, c, arg_max(now, n) AS chunk FROM f GROUP BY ALL)""").replace("{text}", PAGE_TEXT).replace("{blank}", r"E' \t\n\r\f\x0b'")
+
+
+@query("src14_document_chunks", PAGE_CHUNKS)
 def src14b(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", F.posexplode(so.paragraph_chunks(so.html_text(F.col("html")), 2000)).alias("i", "chunk"))

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -219,3 +220,16 @@ def test_session_relevance(spark, monkeypatch, terms):
             if own & asked or held & asked:
                 want[t, b] = round(0.6 * (len(own & asked) / len(own) if own else 0) + 0.4 * (len(held & asked) / len(asked) if asked else 0), 6)
     assert {(r["task_id"], r["id"]): r["score"] for r in got.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("master", "named", "ok"), [("local[4]", None, True), ("local", None, True), ("local-cluster[2,1,1024]", None, False), ("spark://host:7077", None, False), ("yarn", "/shared/cut", True)])
+def test_shared_folder_on_a_cluster(master, named, ok):
+    """A machine's own folder serves a local session alone."""
+    state = {"dir": None}
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: state["dir"], setCheckpointDir=lambda d: state.update(dir=d))
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: named))
+    if ok:
+        assert joins.shared_folder(session, "x").startswith(f"{named or state['dir']}/x-")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            joins.shared_folder(session, "x")

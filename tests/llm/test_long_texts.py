@@ -1,12 +1,14 @@
 """Texts much longer than a chunk, which are cut into overlapping pieces, and frequent windows: results equal brute force."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from engram.llm import repeats, substring_dedup, suffix_dedup
+from engram.llm.common import with_checkpoints
 
 
 def long_rows():
@@ -78,3 +80,17 @@ def test_frequent_windows_travel_once(monkeypatch, at_once):
     raw = text.encode()
     assert len(covered) == len(set(covered)) <= len(raw) - 29
     assert texts <= len({raw[i : i + 30] for i in range(len(raw) - 29)})
+
+
+@pytest.mark.parametrize(("master", "named", "ok"), [("local[8]", None, True), ("local-cluster[3,2,3000]", None, False), ("spark://host:7077", "/shared/cut", True), ("yarn", None, False)])
+def test_checkpoints_on_a_cluster(master, named, ok):
+    """A machine's own folder serves a local session alone."""
+    state = {"dir": None}
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: state["dir"], setCheckpointDir=lambda d: state.update(dir=d))
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: named))
+    if ok:
+        with_checkpoints(session)
+        assert state["dir"] and (named is None or state["dir"] == named)
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            with_checkpoints(session)

@@ -59,12 +59,11 @@ def nightly_hygiene(memories: DataFrame, recalled: DataFrame, checkpoints: DataF
 
     One row a project that has memories or checkpoints: total, decayed, archived, skipped, duplicates_merged, candidates_pruned, checkpoints_expired.
     """
-    from engram.operators.joins import near_duplicate_pairs
+    from engram.operators.joins import near_duplicate_losers
 
     decayed = decay(memories, days, today)
     rows = decayed.where("project IS NOT NULL").select(F.col("stem").alias("id"), "project", (-F.col("age")).alias("confidence"), F.col("content").alias("text"))
-    pairs = near_duplicate_pairs(rows, threshold)
-    lost = pairs.select(F.when(F.col("winner") == F.col("id"), F.col("id2")).otherwise(F.col("id")).alias("stem")).distinct().withColumn("_dup", F.lit(True))
+    lost = near_duplicate_losers(rows, threshold).select(F.col("id").alias("stem"), F.lit(True).alias("_dup"))
     marked = decayed.join(lost, "stem", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))).withColumn("superseded", F.col("superseded") | F.col("_dup"))
     gone = prune_candidates(marked, recalled).select("stem", F.lit(True).alias("_pruned"))
     report = marked.join(gone, "stem", "left").groupBy("project").agg(

@@ -233,3 +233,43 @@ def test_shared_folder_on_a_cluster(master, named, ok):
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             joins.shared_folder(session, "x")
+
+
+def test_near_duplicates_meet_by_class_and_none_is_lost(spark):
+    import random
+
+    from engram.operators import joins as jn
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    sets = [rng.sample(words, rng.randint(1, 40)) for _ in range(40)]
+    for s in sets[:25]:  # near ones of all sizes
+        t = list(s)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        sets += [t, s[::-1]]
+    rows = [(i, rng.choice("ab"), rng.choice([0.1, 0.5, None]), " ".join(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, project string, confidence double, text string")
+    for threshold in (0.4, 0.75, 0.92):
+        want, lost = {}, set()
+        for i, p, c, t in rows:
+            for j, q, d, u in rows:
+                a, b = set(t.split()), set(u.split())
+                if i < j and p == q and len(a & b) / max(len(a), len(b)) >= threshold:
+                    won = j if c is not None and d is not None and d > c else i
+                    want[i, j] = (round(len(a & b) / max(len(a), len(b)), 9), won)
+                    lost.add(i + j - won)
+        got = {(r["id"], r["id2"]): (round(r["similarity"], 9), r["winner"]) for r in jn.near_duplicate_pairs(df, threshold).collect()}
+        assert got == want
+        assert {r["id"] for r in jn.near_duplicate_losers(df, threshold).collect()} == lost
+
+
+def test_copies_make_no_candidates_and_a_common_rare_word_none_either(spark):
+    from engram.operators import joins as jn
+
+    text = " ".join(f"a{i}" for i in range(64))
+    rows = [(i, "p", 0.5, text) for i in range(50)] + [(100 + i, "p", 0.5, " ".join(["rare"] + [f"b{i}x{j}" for j in range(63)])) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, project string, confidence double, text string")
+    members, links = jn.near_duplicate_classes(df, 0.75)
+    assert members.where("class = 0").count() == 50 and links.count() == 0
+    assert jn._prefix_pairs(df.selectExpr("id", "project", "split(text, ' ') AS w").where("id >= 100"), 0.75).count() == 0  # one common word of 64 is too few

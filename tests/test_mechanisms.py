@@ -273,3 +273,15 @@ def test_copies_make_no_candidates_and_a_common_rare_word_none_either(spark):
     members, links = jn.near_duplicate_classes(df, 0.75)
     assert members.where("class = 0").count() == 50 and links.count() == 0
     assert jn._prefix_pairs(df.selectExpr("id", "project", "split(text, ' ') AS w").where("id >= 100"), 0.75).count() == 0  # one common word of 64 is too few
+
+
+def test_scores_are_summed_in_parts_that_grow_with_the_pairs(spark, monkeypatch):
+    from engram.operators import lexical as lx
+
+    docs = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(300)], "id long, text string")
+    terms = lx.query_terms(spark.createDataFrame([(q, f"common word{q}") for q in range(5)], "query_id long, text string"), "query_id", "text")
+    tok = lx.tokens(docs, "id", "text")
+    want = sorted(map(tuple, lx.bm25(tok, terms).collect()))
+    monkeypatch.setattr(lx, "TASK_PAIRS", 100)
+    out = lx.bm25(tok, terms)
+    assert out.rdd.getNumPartitions() == 16 and [r[:2] for r in sorted(map(tuple, out.collect()))] == [r[:2] for r in want]  # 1 + 300 x 5 pairs / 100

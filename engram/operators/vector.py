@@ -21,6 +21,8 @@ from engram.operators.joins import written
 
 #: Vectors and queries of one matrix product.
 SLICE, BLOCK = 8192, 2048
+#: Queries whose scores against a slice a task holds at once, and rows of asked files that leave it at once.
+CHUNK, ASKED = 128, 16_384
 
 
 def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -44,6 +46,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, keys: tuple[str,
     v = vectors.select(*keys, "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.explode(number(blocks)).alias("block"))
     q = queries.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(number(slices)).alias("slice"))
 
+    def best_of(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = np.round(y @ x.T, 12)
+        if not keys:
+            score[own[:, None] == ids[None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so the smaller one wins ties
+        kept = np.take_along_axis(score, best, axis=1)
+        row, place = np.nonzero(np.isfinite(kept))
+        return own[row], ids[best[row, place]], kept[row, place]
+
     def products(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "id": [], "score": []}
         if left.num_rows and right.num_rows:
@@ -51,13 +62,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, keys: tuple[str,
             ids, own = np.asarray(left["id"].combine_chunks())[order], np.asarray(right["query_id"].combine_chunks())
             x, y = unit_rows(left["embedding"])[order], unit_rows(right["asked"])
             if x.shape[1] == y.shape[1]:
-                score = np.round(y @ x.T, 12)
-                if not keys:
-                    score[own[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so the smaller one wins ties
-                kept = np.take_along_axis(score, best, axis=1)
-                row, place = np.nonzero(np.isfinite(kept))
-                out = {"query_id": own[row], "id": ids[best[row, place]], "score": kept[row, place]}
+                found = [best_of(ids, x, own[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(own), CHUNK)]
+                out = {n: np.concatenate([f[j] for f in found]) for j, n in enumerate(out)}
         return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in out.items()})
 
     met = v.groupBy(*keys, "slice", "block").cogroup(q.groupBy(*keys, "slice", "block")).applyInArrow(products, "query_id long, id long, score double")
@@ -307,7 +313,11 @@ def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, clusters: int
     names = np.array(sorted(radius), np.int64)
     wide = np.array([radius[c] for c in names.tolist()])
 
+    def asked_of(b: pa.RecordBatch, unit: np.ndarray, places: list, files: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), b.take(pa.array(places, pa.int64()))["query_id"], _listed(unit[places], pa.float64())], names=["cluster", "query_id", "unit"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows leave as soon as ASKED of them are there: a query may ask every cluster."""
         for b in batches:
             unit = _rows(b, "embedding", size)
             again = "least" in b.schema.names
@@ -323,17 +333,21 @@ def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, clusters: int
                     chosen = rest if s is None else rest[bound >= s - 1e-9]
                 places += [i] * len(chosen)
                 files += names[chosen].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), b.take(pa.array(places, pa.int64()))["query_id"], _listed(unit[places], pa.float64())], names=["cluster", "query_id", "unit"])
+                if len(places) >= ASKED:
+                    yield asked_of(b, unit, places, files)
+                    places, files = [], []
+            yield asked_of(b, unit, places, files)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids = np.asarray(left["id"].combine_chunks())
-            scores = np.round(matrix_of(right["unit"]) @ matrix_of(left["unit"]).T, 12)
-            for q, score in zip(right["query_id"].to_pylist(), scores):
-                met = np.flatnonzero(ids != q)
-                top = met[_best(ids[met], score[met], k)]
-                out += [(q, i, s) for i, s in zip(ids[top].tolist(), score[top].tolist())]
+            ids, x, y = np.asarray(left["id"].combine_chunks()), matrix_of(left["unit"]), matrix_of(right["unit"])
+            asking = right["query_id"].to_pylist()
+            for start in range(0, len(asking), CHUNK):
+                for q, score in zip(asking[start : start + CHUNK], np.round(y[start : start + CHUNK] @ x.T, 12)):
+                    met = np.flatnonzero(ids != q)
+                    top = met[_best(ids[met], score[met], k)]
+                    out += [(q, i, s) for i, s in zip(ids[top].tolist(), score[top].tolist())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
     def visit(asks: DataFrame) -> DataFrame:

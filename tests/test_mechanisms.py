@@ -285,3 +285,21 @@ def test_scores_are_summed_in_parts_that_grow_with_the_pairs(spark, monkeypatch)
     monkeypatch.setattr(lx, "TASK_PAIRS", 100)
     out = lx.bm25(tok, terms)
     assert out.rdd.getNumPartitions() == 16 and [r[:2] for r in sorted(map(tuple, out.collect()))] == [r[:2] for r in want]  # 1 + 300 x 5 pairs / 100
+
+
+def test_vector_searches_hold_a_few_queries_scores_at_once(spark, monkeypatch):
+    import numpy as np
+
+    from engram.operators import vector as ve
+
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    e = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    q = e.withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(ve, "CHUNK", 7)
+    monkeypatch.setattr(ve, "ASKED", 50)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(-s[i])[:3]}
+    for found in (ve.vector_topk(e, q, 3), ve.cluster_search(e, q, 3)):
+        assert {(r["query_id"], r["id"]) for r in found.collect()} == want

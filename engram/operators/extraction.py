@@ -46,13 +46,32 @@ NEGATIVE = (
     r"(?i)(.{10,100}?)\s+breaks?\s+(?:when|if|because)\s+(.{5,150}?)(?:[.,;]|$)",
     r"(?i)(?:codebase|system|application|service|team)\s+uses?\s+(.{10,200}?)()(?:[.,;]|$)",
 )
+#: What every match of a pattern that starts with any characters must hold. Where a text has none of it the pattern isn't tried from each of its places.
+NEEDED = {
+    PROSE[12]: r"(?i)\sover\s",
+    NEGATIVE[2]: r"(?i)\sdid(?:n'?t| not)\s+work\s+because\s",
+    NEGATIVE[3]: r"(?i)\sfailed\s+(?:with|because|due to)\s",
+    NEGATIVE[4]: r"(?i)\sdoesn'?t\s+support\s",
+    NEGATIVE[5]: r"(?i)\sis(?:n'?t)?\s+incompatible\s+with\s",
+    NEGATIVE[6]: r"(?i)\scauses?\s",
+    NEGATIVE[14]: r"(?i)\s(?:hit|hits|hitting)\s",
+    NEGATIVE[15]: r"(?i)\s(?:doesn'?t|wasn'?t|stopped)\s+work",
+    NEGATIVE[16]: r"(?i)\s(?:caused?|led to|resulted in)\s",
+    NEGATIVE[18]: r"(?i)\sbreaks?\s+(?:when|if|because)\s",
+}
 DECISION_CONFIDENCE, NEGATIVE_CONFIDENCE = 0.60, 0.70
 # ---------------------------------------------------------------------------
 
 
+def _all(content: Column, pattern: str, group: int) -> Column:
+    """All matches' group."""
+    found = F.regexp_extract_all(content, F.lit(pattern), group)
+    return F.when(content.rlike(NEEDED[pattern]), found).otherwise(F.array().cast("array<string>")) if pattern in NEEDED else found
+
+
 def _found(content: Column, patterns: tuple[str, ...], prose: bool) -> Column:
     """(text, prose) of all matches' first groups, pattern by pattern."""
-    one = [F.transform(F.regexp_extract_all(content, F.lit(p), 1), lambda x: F.struct(F.btrim(x).alias("text"), F.lit(prose).alias("prose"))) for p in patterns]
+    one = [F.transform(_all(content, p, 1), lambda x: F.struct(F.btrim(x).alias("text"), F.lit(prose).alias("prose"))) for p in patterns]
     return F.flatten(F.array(*one))
 
 
@@ -66,7 +85,7 @@ def decisions(docs: DataFrame, key: str, content: str, least: int = 25, most: in
     none = F.array().cast("array<struct<l:int,p:int,low:string,text:string>>")
     # longest first: a text stays unless a kept one holds it; no more than `most` are ever kept
     kept = F.aggregate(ordered, none, lambda a, x: F.when((F.size(a) >= most) | F.exists(a, lambda o: F.contains(o["low"], x["low"])), a).otherwise(F.array_append(a, x)))
-    each = docs.select(key, F.posexplode(kept).alias("at", "x")).select(key, "at", "x.text")
+    each = docs.select(key, F.posexplode_outer(kept).alias("at", "x")).where("at IS NOT NULL").select(key, "at", "x.text")  # not posexplode: its inferred filter would search twice
     place = F.col("at") + 1
     return each.select(key, "text", place.alias("i"), F.lit(DECISION_CONFIDENCE).alias("confidence"))
 
@@ -75,10 +94,10 @@ def negatives(docs: DataFrame, key: str, content: str, most: int = 30) -> DataFr
     """(key, i, what, why, confidence) of failed approaches, the first of each `what`, `most` at the most."""
 
     def of(p: str) -> Column:
-        what, why = (F.regexp_extract_all(F.col(content), F.lit(p), g) for g in (1, 2))
+        what, why = (_all(F.col(content), p, g) for g in (1, 2))
         return F.arrays_zip(what.alias("what"), why.alias("why"))
 
     pairs = F.flatten(F.array(*[F.transform(of(p), lambda x: F.struct(F.btrim(x["what"]).alias("what"), F.btrim(x["why"]).alias("why"))) for p in NEGATIVE]))
-    rows = docs.select(key, F.posexplode(F.filter(pairs, lambda x: x["what"] != "")).alias("_p", "x")).select(key, "_p", "x.what", "x.why")
+    rows = docs.select(key, F.posexplode_outer(F.filter(pairs, lambda x: x["what"] != "")).alias("_p", "x")).where("_p IS NOT NULL").select(key, "_p", "x.what", "x.why")
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, F.lower("what")).orderBy("_p"))).where("_r = 1")
     return first.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("_p"))).where(F.col("i") <= most).select(key, "i", "what", "why").withColumn("confidence", F.lit(NEGATIVE_CONFIDENCE))

@@ -303,3 +303,22 @@ def test_vector_searches_hold_a_few_queries_scores_at_once(spark, monkeypatch):
     want = {(i, int(j)) for i in range(400) for j in np.argsort(-s[i])[:3]}
     for found in (ve.vector_topk(e, q, 3), ve.cluster_search(e, q, 3)):
         assert {(r["query_id"], r["id"]) for r in found.collect()} == want
+
+
+def test_patterns_are_tried_only_where_a_match_can_be(spark):
+    import re
+    import time
+
+    from engram.operators import extraction as ex
+
+    assert all(p in ex.NEEDED for p in (*ex.PROSE, *ex.NEGATIVE) if p.startswith("(?i)(.{"))
+    said = ["The old cache failed due to memory", "This setup of ours DIDN'T WORK BECAUSE it was slow", "The parser doesn't support comments", "This thing is incompatible with version two", "The retry loop causes a timeout error", "Every import hits the rate limit.",
+            "The whole build stopped working because of it.", "The upgrade of it led to a new crash.", "The nightly run breaks when it rains."]
+    rows = [(i, t) for i, t in enumerate(said)] + [(100, None), (101, "")]
+    got = {(r["d"], r["what"]) for r in ex.negatives(spark.createDataFrame(rows, "d long, t string"), "d", "t").collect()}
+    want = {(i, m[1].strip()) for i, t in enumerate(said) for p in ex.NEGATIVE for m in re.finditer(p.replace("[Tt]", "t"), t)}
+    assert got == want and {i for i, _ in got} == set(range(9))
+    long = spark.createDataFrame([(0, "lorem ipsum " * 60_000)], "d long, t string")
+    start = time.time()
+    assert ex.negatives(long, "d", "t").count() == 0
+    assert time.time() - start < 10

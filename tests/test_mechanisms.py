@@ -322,3 +322,16 @@ def test_patterns_are_tried_only_where_a_match_can_be(spark):
     start = time.time()
     assert ex.negatives(long, "d", "t").count() == 0
     assert time.time() - start < 10
+
+
+def test_named_projects_lower_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from engram.functions import text as tx
+
+    df = spark.createDataFrame([("We use ENGRAM and Café-x",), (None,)], "t string")
+    slugs = F.array(F.lit("engram"), F.lit("Café-X"), F.lit("use"), F.lit("other"))
+    out = df.select(tx.projects_named(F.col("t"), slugs).alias("p"))
+    assert [r["p"] for r in out.collect()] == [["engram", "Café-X"], []]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(lower(t" not in plan

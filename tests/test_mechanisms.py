@@ -335,3 +335,16 @@ def test_named_projects_lower_a_text_once(spark):
     assert [r["p"] for r in out.collect()] == [["engram", "Café-X"], []]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "contains(lower(t" not in plan
+
+
+def test_compaction_moves_places_and_not_texts(spark):
+    from engram.operators.compaction import compact
+
+    s = spark.createDataFrame([(1, "alpha one\n\nbeta two\nmore\n\nalpha beta three\n\nnone here"), (2, "  "), (3, None)], "session long, content string")
+    t = spark.createDataFrame([(7, "alpha beta"), (8, "zulu")], "task_id long, task string")
+    got = lambda p: {(r["task_id"], r["session"]): r["text"] for r in compact(s, t, p).collect()}
+    assert got(1) == {(k, 1): "alpha one\n\nbeta two\nmore\n\nalpha beta three\n\nnone here" for k in (7, 8)}
+    assert got(0.5) == {(7, 1): "alpha one\n\nbeta two\nmore\n\nalpha beta three"}
+    assert got(0) == {(7, 1): "[summary] alpha one\n\n[summary] beta two\n\n[summary] alpha beta three"}
+    plan = compact(s, t, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(i, i" in plan and "whole" in plan.split("collect_list(")[1].split(")")[0]

@@ -75,12 +75,14 @@ def rate_limited(rows: DataFrame, principal: str, most: int, seconds: float, ts:
 def greedy_fit(rows: DataFrame, group: str, size: str, budget: int, order: list[Column], key: str) -> DataFrame:
     """Rows chosen in order; one that doesn't fit is skipped and the next is tried. The state is what is used."""
     chosen = fresh("chosen", rows.columns)
+    sort = [f"_o{i}" for i in range(len(order))]
+    narrow = rows.select(F.col(group), F.col(size), F.col(key), *[c.alias(n) for c, n in zip(order, sort)])  # texts and the like stay behind
 
     def step(used: int, values: tuple) -> tuple[int, tuple]:
         fits = values[0] is not None and used + values[0] <= budget
         return used + (values[0] if fits else 0), (fits,)
 
-    return fold(rows, [group], [*order, F.col(key)], [size], int, step, {chosen: "boolean"}).where(chosen).select(group, key)
+    return fold(narrow, [group], [*map(F.col, sort), F.col(key)], [size], int, step, {chosen: "boolean"}).where(chosen).select(group, key)
 
 
 def chunk_state(rows: DataFrame, stream: str, order: str, drift_below: float = 0.3) -> DataFrame:

@@ -348,3 +348,12 @@ def test_compaction_moves_places_and_not_texts(spark):
     assert got(0) == {(7, 1): "[summary] alpha one\n\n[summary] beta two\n\n[summary] alpha beta three"}
     plan = compact(s, t, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(i, i" in plan and "whole" in plan.split("collect_list(")[1].split(")")[0]
+
+
+def test_a_greedy_fit_reads_no_other_columns(spark):
+    from engram.operators import folds
+
+    rows = spark.createDataFrame([("g", i, 4, "text" * 50) for i in range(5)], "g string, id long, size long, text string")
+    out = folds.greedy_fit(rows, "g", "size", 9, [], "id")
+    assert sorted(r["id"] for r in out.collect()) == [0, 1]
+    assert all("LogicalRDD" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "text" in line)

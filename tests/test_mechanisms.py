@@ -357,3 +357,31 @@ def test_a_greedy_fit_reads_no_other_columns(spark):
     out = folds.greedy_fit(rows, "g", "size", 9, [], "id")
     assert sorted(r["id"] for r in out.collect()) == [0, 1]
     assert all("LogicalRDD" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "text" in line)
+
+
+def test_a_window_of_exports_is_not_read_again_for_each_row(monkeypatch):
+    import json
+    import time
+
+    from engram.streaming import stateful as st
+
+    class Kept:
+        def where(self, _):
+            return self
+
+    steps = []
+    monkeypatch.setattr(st, "ordered_fold", lambda events, key, read, start, step, *rest: steps.append(step) or Kept())
+    st.export_alerts(None, "k", 100, 2, 3)
+    state, seen = [], []
+    for i, second in enumerate([0, 0, 3, 50, 100, 101, 151, 400, 401]):
+        p = None if i == 3 else f"p{i % 3}"
+        seen.append((second, p))
+        state, out = steps[0](json.loads(json.dumps(state)), [[second * 1_000_000, i, p]])
+        near = [x for x in seen if second - x[0] <= 100]
+        n, projects = len(near), len({x for _, x in near if x is not None})
+        assert out == [(n, projects, n > 2, projects >= 3)]
+    st.export_alerts(None, "k", 1_000_000, 2, 3)
+    state, start = [], time.time()
+    for i in range(20_000):
+        state, _ = steps[1](state, [[i * 1_000_000, i, "p"]])
+    assert time.time() - start < 3

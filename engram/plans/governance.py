@@ -463,8 +463,8 @@ def gr10(spark, sf):
 SELECT left(sha256(s.eid || t.eid || 'PRECEDED_BY'), 12) AS edge_id, s.eid AS source_id, t.eid AS target_id, s.project AS acl, overlap, (SELECT count(*) FROM ses) AS sessions, (SELECT count(*) FROM l) AS edges_added FROM l JOIN i s ON s.id = source_id JOIN i t ON t.id = target_id""")
 def gr11(spark, sf):
     e, n = shared_folder(spark, "edges"), shared_folder(spark, "entities")
-    ses = sessions(spark, sf).withColumn("project", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))
-    found = links(spark, sf)
+    ses = jn.stored(sessions(spark, sf).withColumn("project", F.concat(F.lit("p"), (F.col("id") % 3).cast("string"))), "sessions")
+    found = jn.stored(jn.link_sessions(ses), "links")  # three calls read both
     gr.link_and_store(ses, found, n, e, dry_run=True)
     for _ in range(2):  # storing again adds nothing
         done = gr.link_and_store(ses, found, n, e)

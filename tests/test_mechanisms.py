@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from engram.operators import evaluation as ev
 from engram.operators import folds, joins, lexical, logs, scenarios, vector
 from engram.operators import lifecycle as lc
+from engram.plans import governance
 from engram.plans.streams import folder
 
 T0 = datetime(2024, 1, 1)
@@ -42,6 +43,35 @@ def test_words_of_every_session_make_no_pairs(spark):
     assert "CartesianProduct" not in df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_session_links_of_crowded_cells(spark, monkeypatch, block):
+    """Crowded cells are cut into blocks; sessions of one time, before 1970 and exactly at the reach are linked as pair by pair. No words travel for a pair."""
+    monkeypatch.setattr(joins, "BLOCK", block)
+    rng = random.Random(5)
+    hot = [(i, T0 + timedelta(hours=rng.randrange(0, 200)), [f"w{rng.randrange(30)}" for _ in range(12)] + ["a", "b", "c"]) for i in range(50)]
+    thin = [(100 + i, datetime(1969, 12, 1) + timedelta(hours=84 * i), [f"w{k}" for k in range(i % 3, 8)]) for i in range(20)]
+    long = [(200 + i, T0 + timedelta(hours=1000), [f"long{k}" for k in range(6000)]) for i in range(2)]
+    rows, want = [*hot, *thin, *long], set()
+    for (i, a, v), (j, b, w) in combinations(rows, 2):
+        later, earlier = (i, j) if (a, i) > (b, j) else (j, i)
+        if abs(a - b) <= timedelta(hours=168) and len(set(v) & set(w)) >= 5:
+            want.add((later, earlier, len(set(v) & set(w)), round(abs((a - b).total_seconds()) / 3600, 3)))
+    df = joins.link_sessions(spark.createDataFrame(rows, "id long, ts timestamp, vocabulary array<string>"))
+    got = [tuple(r)[:4] for r in df.collect()]
+    assert sorted(got) == sorted(want) and (201, 200, 6000, 0.0) in want and any(s < 120 and h == 168.0 for s, _, _, h in want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and ("source_id" in x or "target_id" in x)]
+
+
+def test_sessions_and_links_are_made_once_to_be_stored(spark, sf, monkeypatch):
+    """Each of gr11's three calls reads stored sessions and links and makes neither of them again."""
+    seen, real = [], governance.gr.link_and_store
+    monkeypatch.setattr(governance.gr, "link_and_store", lambda s, e, *a, **b: seen.extend([s, e]) or real(s, e, *a, **b))
+    governance.gr11(spark, sf)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in seen]
+    assert len(plans) == 6 and all("Relation" in x and "Aggregate" not in x and "Join" not in x and "CoGroup" not in x for x in plans)
+
+
 def test_co_work_equals_pairs_of_sessions(spark):
     rng = random.Random(2)
     rows = [(i, T0 + timedelta(minutes=rng.randrange(0, 60 * 400)), rng.randrange(8)) for i in range(25)] + [(50, T0, 20), (51, T0 + timedelta(hours=900), 21)]

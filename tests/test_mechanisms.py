@@ -1,6 +1,7 @@
 """Joins, clusters, searches, folds and counts against brute force on small tables with hot keys, nulls and ties."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from itertools import combinations
 from types import SimpleNamespace
@@ -317,6 +318,22 @@ def test_scores_are_summed_in_parts_that_grow_with_the_pairs(spark, monkeypatch)
     assert out.rdd.getNumPartitions() == 16 and [r[:2] for r in sorted(map(tuple, out.collect()))] == [r[:2] for r in want]  # 1 + 300 x 5 pairs / 100
 
 
+@pytest.mark.parametrize("name", ["rk15_reciprocal_rank_fusion", "rk16_two_list_fusion", "rk17_linear_blend", "rk18_layer_blend", "rk28_cached_hybrid"])
+def test_fused_lists_are_scored_in_parts_that_grow_with_the_pairs(spark, sf, monkeypatch, name):
+    """Both lists of a fusion deal the documents into a part for each TASK_PAIRS pairs, and a part sends on no more than a query's best 20."""
+    from engram.operators import lexical as lx
+    from engram.plans import catalog
+    from engram.plans.registry import table
+
+    pairs = table(spark, sf, "documents").count() * table(spark, sf, "benchmark").count()
+    monkeypatch.setattr(lx, "TASK_PAIRS", pairs // 40)
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) >= 2 and all(re.search(r"hashpartitioning\(id#\d+L, 4[0-2]\)", x) for x in dealt)
+    limits = [x for x in plan.splitlines() if "WindowGroupLimit" in x and "Partial" in x]
+    assert len([x for x in limits if " 20, Partial" in x]) >= 2
+
+
 def test_vector_searches_hold_a_few_queries_scores_at_once(spark, monkeypatch):
     import numpy as np
 

@@ -318,9 +318,8 @@ def ag19(spark, sf):
 l AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.project = b.project AND a.x = b.x AND a.id <> b.id GROUP BY ALL HAVING count(*) / any_value(greatest(a.n, b.n)) >= 0.75),
 r(id, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id) SELECT root AS cluster, count(*) AS size FROM (SELECT id, min(root) AS root FROM r GROUP BY 1) GROUP BY 1""")
 def ag23(spark, sf):
-    members, links = jn.near_duplicate_classes(rec(spark, sf).where("project IS NOT NULL"), 0.75)
-    copies = members.where("id <> class").select(F.col("id").alias("u"), F.col("class").alias("v"))
-    return jn.connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    found = jn.near_duplicate_clusters(rec(spark, sf).where("project IS NOT NULL"), 0.75)
+    return found.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
 
 
 JACCARD = REC.replace("WITH rec", "WITH RECURSIVE rec") + f""", s AS (SELECT id, project, epoch_us(TIMESTAMP '2024-01-01') + id * 5400000000 AS tm, text, {WORDS} AS w FROM rec WHERE project IS NOT NULL), p AS (SELECT project, id, tm, len(w) AS n, unnest(w) AS x FROM s),

@@ -125,6 +125,49 @@ def test_memory_clusters_equal_brute_force(spark):
     assert scenarios.memory_clusters(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("many", [0, 1 << 20])
+def test_near_duplicate_clusters_equal_brute_force(spark, monkeypatch, many):
+    """Sets of 1 to 3000 words at and beside the threshold, copies, chains, several blocks and rounds."""
+    monkeypatch.setattr(joins, "MANY", many)
+    monkeypatch.setattr(joins, "LEAST_ROWS", 8)
+    rng, rows = random.Random(8), []
+    for base in (1, 4, 20, 63, 64, 100, 130, 300, 1000, 3000):
+        words = [f"b{base}x{k}" for k in range(base)]
+        for c in range(12):
+            gone = rng.randrange(0, base // 3 + 1)
+            rows.append((len(rows), "pq"[c % 2], 0.5, " ".join(rng.sample(words, base - gone) + [f"o{len(rows)}x{k}" for k in range(rng.choice([0, gone, base // 8]))])))
+    rows += [(len(rows) + k, "p", 0.5, " ".join(f"c{j}" for j in range(4 * k, 4 * k + 30))) for k in range(20)]  # a chain: neighbours share 26 of 30
+    rows += [(len(rows) + 50 + k, rows[k][1], 0.1, rows[k][3].upper()) for k in range(0, 60, 7)] + [(900, "p", 0.1, " "), (901, "p", 0.1, None)]
+    sets = {i: (p, set(t.lower().split())) for i, p, _, t in rows if t and t.strip()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sorted(sets), 2):
+        (p, a), (q, b) = sets[i], sets[j]
+        if p == q and len(a & b) / max(len(a), len(b)) >= 0.75:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(rows, "id long, project string, confidence double, text string")
+    got = {r["id"]: r["cluster"] for r in joins.near_duplicate_clusters(df, 0.75).collect()}
+    assert got == {i: find(i) for i in sets} and 20 < len(set(got.values())) < len(got) - 40
+
+
+def test_clusters_don_t_compare_all_pairs_of_a_group(spark, sf, monkeypatch):
+    """Words travel for about a pair a member of a large group of near copies, not for all its pairs; ag23 makes no such pairs."""
+    rows = [(i, "p", 0.5, " ".join([f"w{k}" for k in range(40)] + [f"own{i}"])) for i in range(120)]
+    seen, real = [], joins._verified
+    monkeypatch.setattr(joins, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    monkeypatch.setattr(joins, "MANY", 200)
+    got = joins.near_duplicate_clusters(spark.createDataFrame(rows, "id long, project string, confidence double, text string"), 0.75).collect()
+    assert {r["cluster"] for r in got} == {0} and len(got) == 120 and sum(seen) <= 240
+    monkeypatch.setattr(joins, "near_duplicate_classes", None)
+    governance.ag23(spark, sf)
+    assert len(seen) > 1
+
+
 def test_block_summaries(spark):
     blocks = spark.createDataFrame([("p", 0, "First one\n\nalpha beta\nc\nd\ne\nf"), ("p", 1, "Second\nALPHAbet gamma"), ("p", 2, "Third gamma alpha"), ("q", 0, " \n "), ("p", None, "x"), ("p", 3, None)], "project string, position long, content string")
     queries = spark.createDataFrame([(1, "p", "gamma alphab"), (2, "p", ""), (3, "p", None), (4, "p", "zeta"), (5, "none", "alpha"), (6, "q", "alpha"), (7, "p", "GAMMA alpha alpha")], "query_id long, project string, text string")

@@ -440,6 +440,30 @@ def test_compaction_moves_places_and_not_texts(spark):
     assert "collect_list(struct(i, i" in plan and "whole" in plan.split("collect_list(")[1].split(")")[0]
 
 
+@pytest.mark.parametrize("terms", [3, 500_000])
+def test_compaction_deals_sections_once(spark, monkeypatch, terms):
+    """Whatever the tasks, the sections are all that is shuffled, once; tasks of more words than a broadcast holds come in groups. Against brute force, with ties and repeated sections."""
+    from engram.operators import compaction
+
+    monkeypatch.setattr(compaction, "QUERY_TERMS", terms)
+    rng, names = random.Random(4), [f"word{k}" for k in range(12)]
+    sections = {i: [" ".join(rng.choices(names, k=rng.randrange(1, 5))) if rng.random() < 0.7 else f"none of {i}" for _ in range(rng.randrange(1, 14))] for i in range(25)}
+    tasks = {k: " ".join(rng.choices(names, k=4)) for k in range(9)}
+    want = {}
+    for (i, own), (k, t) in ((x, y) for x in sections.items() for y in tasks.items()):
+        asked = set(t.split())
+        score = [len(asked & set(s.split())) / len(asked) for s in own]
+        high, mid = (sorted(score)[int(len(own) * p)] for p in (0.5, 0.3))
+        kept = [s if x >= high else f"[summary] {s}" for s, x in zip(own, score) if x > 0 and x >= mid]
+        if kept:
+            want[k, i] = "\n\n".join(kept)
+    df = compaction.compact(spark.createDataFrame([(i, "\n\n".join(own)) for i, own in sections.items()] + [(None, "word1")], "session long, content string"), spark.createDataFrame(list(tasks.items()), "task_id long, task string"), 0.5)
+    assert {(r["task_id"], r["session"]): r["text"] for r in df.collect()} == want
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = set(re.findall(r"Exchange (\w+\(\w+).*plan_id=(\d+)", final.replace("BroadcastExchange", "")))
+    assert [x for x, _ in dealt] == ["hashpartitioning(session"]
+
+
 def test_a_greedy_fit_reads_no_other_columns(spark):
     from engram.operators import folds
 
